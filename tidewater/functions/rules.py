@@ -15,6 +15,16 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else (F.col(x) if isinstance(x, str) else F.lit(x))
 
 
+def py_round(x, digits: int = 0) -> Column:
+    """Half-even rounding of the binary value (as Python's round): scale, round, unscale.
+
+    ``bround`` alone rounds the shortest decimal text of the double, so 0.575
+    (binary 0.57499999...) would go up; scaling first keeps the binary side.
+    """
+    f = float(10 ** digits)
+    return F.bround(_c(x) * F.lit(f), 0) / F.lit(f)
+
+
 # --- F4 / F5 -----------------------------------------------------------------
 
 def destination_matches(destination, port_code, port_name) -> Column:
@@ -94,7 +104,7 @@ def eta_text(dist, speed, zone) -> Column:
     d, s, z = _c(dist), _c(speed), _c(zone)
     hours = F.try_divide(d, s)
     whole = F.floor(hours)
-    minutes = F.bround((hours - whole) * 60, 0)
+    minutes = py_round((hours - whole) * 60, 0)
     return (F.when(z == "berth", "Berthed")
             .when(z == "anchor", "Waiting")
             .when(s <= 1.0, "Unknown")
@@ -118,7 +128,7 @@ def congestion_score(total, anchored, avg_speed, max_wave) -> Column:
     wave = F.least(F.lit(1.0), wv / 3.0)
     speed = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 6.0 - sp) / 6.0)
     raw = F.least(F.lit(1.0), 0.65 * ratio + 0.25 * wave + 0.10 * speed)
-    return F.when(t <= 0, F.lit(0.0)).otherwise(F.bround(raw, 2))
+    return F.when(t <= 0, F.lit(0.0)).otherwise(py_round(raw, 2))
 
 
 def coverage_status(port_code, messages_50nm, messages_200nm) -> Column:

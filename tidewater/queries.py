@@ -142,3 +142,89 @@ def q_status_v2(spark, sf_dir):
 @register("congestion_target")
 def q_target(spark, sf_dir):
     return finish(Graph(spark, sf_dir).target)
+
+
+# --- boards --------------------------------------------------------------------
+
+from tidewater.plans import board as BD  # noqa: E402
+
+
+class Board(Graph):
+    @property
+    def vessels(self):
+        return self._get("vessels", lambda: BD.board_vessels(self.inp.positions, self.ports, as_of=self.as_of))
+
+    @property
+    def summary(self):
+        return self._get("summary", lambda: BD.port_summary(self.inp.positions, self.inp.weather, self.ports,
+                                                            as_of=self.as_of))
+
+    @property
+    def trend(self):
+        return self._get("trend", lambda: BD.port_trend(self.inp.positions, self.inp.weather, self.ports,
+                                                        as_of=self.as_of))
+
+    @property
+    def metrics(self):
+        return self._get("metrics", lambda: BD.board_metrics(self.vessels, self.summary, self.ports))
+
+
+VESSEL_COLS = ["port_code", "mmsi", "ship_name", "lat", "lon", "sog", "nav_status", "distance_nm", "received_at",
+               "zone_priority", "dist", "speed", "zone", "eta", "conf", "name"]
+
+
+@register("port_summary")
+def q_port_summary(spark, sf_dir):
+    return finish(Board(spark, sf_dir).summary)
+
+
+@register("port_trend")
+def q_port_trend(spark, sf_dir):
+    return finish(Board(spark, sf_dir).trend)
+
+
+@register("trend_scores")
+def q_trend_scores(spark, sf_dir):
+    b = Board(spark, sf_dir)
+    return BD.trend_scores(b.trend, b.ports)
+
+
+@register("board_vessels")
+def q_board_vessels(spark, sf_dir):
+    return finish(Board(spark, sf_dir).vessels.select(*VESSEL_COLS))
+
+
+@register("vessel_list")
+def q_vessel_list(spark, sf_dir):
+    return finish(BD.vessel_list(Board(spark, sf_dir).vessels.select(*VESSEL_COLS)))
+
+
+@register("arrival_schedule")
+def q_arrival_schedule(spark, sf_dir):
+    return finish(BD.arrival_schedule(Board(spark, sf_dir).vessels))
+
+
+@register("board_metrics")
+def q_board_metrics(spark, sf_dir):
+    return finish(Board(spark, sf_dir).metrics)
+
+
+@register("berth_occupancy")
+def q_berth_occupancy(spark, sf_dir):
+    return BD.berth_occupancy(Board(spark, sf_dir).metrics)
+
+
+@register("zone_mix")
+def q_zone_mix(spark, sf_dir):
+    return finish(BD.zone_mix(Board(spark, sf_dir).vessels))
+
+
+@register("distance_buckets")
+def q_distance_buckets(spark, sf_dir):
+    return BD.distance_buckets(Board(spark, sf_dir).vessels)
+
+
+@register("coverage_diagnostics")
+def q_coverage(spark, sf_dir):
+    b = Board(spark, sf_dir)
+    return finish(BD.coverage_diagnostics(b.inp.positions, b.ports, as_of=b.as_of))
