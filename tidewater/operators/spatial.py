@@ -143,19 +143,40 @@ def point_in_zone(lon: Column, lat: Column) -> Column:
     return in_outer & ~in_hole
 
 
+ZONE_CELL_DEG = 0.05
+
+
 def within_zones(points: DataFrame, zones: DataFrame, *, lat: str = "lat", lon: str = "lon",
-                 zone_rows: int | None = None) -> DataFrame:
+                 zone_rows: int | None = None, cell_deg: float = ZONE_CELL_DEG) -> DataFrame:
     """(point, zone) rows where the zone polygon contains the point.
 
-    Zones are few and small: broadcast behind a size check, joined on the
-    bounding box (a range condition), then the exact ray-casting test.
+    Zones are keyed by the grid cells their bounding box covers and points by
+    their cell, so the join is an equi-join (broadcast behind a size check),
+    followed by the bounding box and the exact ray-casting test.
     """
-    z = maybe_broadcast(zone_edges(zones), zone_rows)
-    cond = ((F.col(lat) >= F.col("min_lat")) & (F.col(lat) <= F.col("max_lat"))
-            & (F.col(lon) >= F.col("min_lon")) & (F.col(lon) <= F.col("max_lon")))
-    j = points.join(z, cond, "inner")
-    return j.filter(point_in_zone(F.col(lon), F.col(lat))).drop(
-        "outer_edges", "outer_points", "holes", "min_lon", "max_lon", "min_lat", "max_lat")
+    z = zone_edges(zones)
+    z = (z.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_lat") / cell_deg),
+                                                  F.floor(F.col("max_lat") / cell_deg))))
+         .withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_lon") / cell_deg),
+                                                 F.floor(F.col("max_lon") / cell_deg)))))
+    z = maybe_broadcast(z, zone_rows)
+    p = points.withColumn("_cy", F.floor(F.col(lat) / cell_deg)).withColumn("_cx", F.floor(F.col(lon) / cell_deg))
+    j = p.join(z, ["_cy", "_cx"], "inner")
+    inside = ((F.col(lat) >= F.col("min_lat")) & (F.col(lat) <= F.col("max_lat"))
+              & (F.col(lon) >= F.col("min_lon")) & (F.col(lon) <= F.col("max_lon"))
+              & point_in_zone(F.col(lon), F.col(lat)))
+    return j.filter(inside).drop("_cy", "_cx", "outer_edges", "outer_points", "holes",
+                                 "min_lon", "max_lon", "min_lat", "max_lat")
+
+
+def best_zone(points: DataFrame, zones: DataFrame, key: list[str], *, lat: str = "lat", lon: str = "lon",
+              zone_cols: list[str] | None = None) -> DataFrame:
+    """First matching zone in file order per point, else nulls (J15): min_by over the zone ordinal."""
+    zone_cols = zone_cols or ["zone_id", "zone_name", "zone_type"]
+    hits = within_zones(points.select(*key, lat, lon), zones, lat=lat, lon=lon)
+    best = (hits.groupBy(*key).agg(F.min_by(F.struct(*zone_cols), F.col("zone_ordinal")).alias("_z"))
+            .select(*key, *[F.col("_z." + c).alias(c) for c in zone_cols]))
+    return points.join(best, key, "left")
 
 
 def in_any_box(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: str = "lon") -> DataFrame:

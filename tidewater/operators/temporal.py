@@ -62,7 +62,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: Co
     summ = summary.withColumn("_side", F.lit(1))
     u = marks.unionByName(summ.select(*by, "_rb", "_side", "_p"))
     if fwd:
-        w = Window.partitionBy(*by).orderBy(F.col("_rb").desc(), F.col("_side").desc()) \
+        w = Window.partitionBy(*by).orderBy(F.col("_rb").desc(), F.col("_side").asc()) \
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     else:
         side_order = F.col("_side").desc() if include_same else F.col("_side").asc()
@@ -79,7 +79,7 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: Co
     lrows = lf.select(*by, "_lb", "_lt").distinct()
     lu = lrows.select(*by, F.col("_lb").alias("_b"), F.col("_lt").alias("_t"),
                       *( [F.lit(None).cast(rt.schema["_tb"].dataType).alias("_tb")] if tiebreak else []),
-                      F.lit(0 if (strict != fwd) else 2).alias("_side"),
+                      F.lit(0 if strict else 2).alias("_side"),
                       F.lit(None).cast(rt.schema["_p"].dataType).alias("_p"))
     ru = rt.select(*by, F.col("_rb").alias("_b"), F.col("_rt").alias("_t"), *( ["_tb"] if tiebreak else []),
                    F.lit(1).alias("_side"), "_p")

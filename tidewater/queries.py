@@ -228,3 +228,114 @@ def q_distance_buckets(spark, sf_dir):
 def q_coverage(spark, sf_dir):
     b = Board(spark, sf_dir)
     return finish(BD.coverage_diagnostics(b.inp.positions, b.ports, as_of=b.as_of))
+
+
+# --- spatial zones -----------------------------------------------------------------
+
+from tidewater.operators import spatial as SP  # noqa: E402
+from tidewater.plans import staging as ST  # noqa: E402
+from tidewater.sources.geo import scan_geojson  # noqa: E402
+
+
+@register("point_in_polygon")
+def q_point_in_polygon(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    zones = scan_geojson(spark)
+    hits = SP.within_zones(inp.positions.select("event_id", "mmsi", "lat", "lon"), zones, zone_rows=64)
+    return finish(hits.select("event_id", "mmsi", "lat", "lon", "zone_ordinal", "zone_id", "zone_type"))
+
+
+@register("best_zone")
+def q_best_zone(spark, sf_dir):
+    inp = Inputs(spark, sf_dir)
+    pts = inp.positions.select("event_id", "mmsi", "lat", "lon")
+    return finish(SP.best_zone(pts, scan_geojson(spark), ["event_id"]))
+
+
+@register("distance_join")
+def q_distance_join(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    sites = g.ports.select("port_code", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon"))
+    pairs = SP.distance_join(g.inp.positions.select("event_id", "lat", "lon"), sites, 200.0, site_rows=10)
+    return finish(pairs.select("event_id", "port_code", "distance_nm"))
+
+
+# --- staging, marts, quality -----------------------------------------------------
+
+class Staging(Graph):
+    @property
+    def staged(self):
+        return self._get("staged", lambda: ST.stage_positions(self.inp.positions, self.ports))
+
+    @property
+    def port_daily(self):
+        return self._get("port_daily", lambda: ST.mart_port_daily(self.staged))
+
+
+@register("stage_positions")
+def q_stage_positions(spark, sf_dir):
+    return finish(Staging(spark, sf_dir).staged.select("event_id", "mmsi", "received_at", "port_code",
+                                                        "distance_nm", "zone"))
+
+
+@register("stage_weather")
+def q_stage_weather(spark, sf_dir):
+    return finish(ST.stage_weather(Inputs(spark, sf_dir).weather))
+
+
+@register("stage_trade")
+def q_stage_trade(spark, sf_dir):
+    return finish(ST.stage_trade(Inputs(spark, sf_dir).trade))
+
+
+@register("stage_macro")
+def q_stage_macro(spark, sf_dir):
+    return finish(ST.stage_macro(Inputs(spark, sf_dir).macro))
+
+
+@register("mart_port_daily")
+def q_mart_port_daily(spark, sf_dir):
+    return finish(Staging(spark, sf_dir).port_daily)
+
+
+@register("mart_vessel_daily")
+def q_mart_vessel_daily(spark, sf_dir):
+    return finish(ST.mart_vessel_daily(Staging(spark, sf_dir).staged))
+
+
+@register("quality_checks")
+def q_quality(spark, sf_dir):
+    g = Staging(spark, sf_dir)
+    return ST.quality_checks(g.inp.positions, g.port_daily, ST.stage_macro(g.inp.macro), g.inp.weather, g.ports,
+                             g.attribution, ST.stage_trade(g.inp.trade), g.as_of)
+
+
+@register("point_in_time_join")
+def q_point_in_time(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    labels = g.target.select("port_code", "observation_hour", "is_congested_24h")
+    return finish(ST.point_in_time_features(labels, g.weather_h, ["avg_wave_height", "avg_wind_kn"]))
+
+
+@register("hours_to_high_tide")
+def q_tide(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    port_hours = g.inbound.select("port_code", "observation_hour").distinct()
+    tides = g.inp.tides.select("port_code", F.col("tide_ts").cast("timestamp_ntz").alias("tide_ts"),
+                               "tide_level_m", "tide_type")
+    return finish(ST.hours_to_high_tide(port_hours, tides, ST.tide_stations(spark)))
+
+
+@register("load_mapped")
+def q_load_mapped(spark, sf_dir):
+    pos = Inputs(spark, sf_dir).positions
+    rec = pos.withColumn("received_at", F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return ST.load_mapped(rec, "raw_ais_positions", {"mmsi": "bigint", "latitude": "double", "longitude": "double",
+                                                     "speed_knots": "double", "nav_status": "int"})
+
+
+@register("load_minute_sample")
+def q_minute_sample(spark, sf_dir):
+    pos = Inputs(spark, sf_dir).positions
+    rec = pos.select("event_id", F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("received_at"))
+    return ST.minute_sample(rec, 7)
