@@ -339,3 +339,82 @@ def q_minute_sample(spark, sf_dir):
     pos = Inputs(spark, sf_dir).positions
     rec = pos.select("event_id", F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("received_at"))
     return ST.minute_sample(rec, 7)
+
+
+# --- modelling -------------------------------------------------------------------
+
+from tidewater import refdata as RD  # noqa: E402
+from tidewater.plans import ml as ML  # noqa: E402
+
+
+def _dataset_v1(g: Graph) -> DataFrame:
+    return ML.training_dataset(g.status, g.target, RD.FEATURES_V1)
+
+
+def _dataset_v2(g: Graph) -> DataFrame:
+    start = g.as_of - F.make_dt_interval(F.lit(90))
+    f = g.status_v2.filter(F.col("observation_hour") >= start)
+    return ML.training_dataset(f, g.target, RD.FEATURES_V2)
+
+
+@register("dataset_v1")
+def q_dataset_v1(spark, sf_dir):
+    return finish(_dataset_v1(Graph(spark, sf_dir)))
+
+
+@register("dataset_v2")
+def q_dataset_v2(spark, sf_dir):
+    return finish(_dataset_v2(Graph(spark, sf_dir)))
+
+
+@register("daily_positive_rate")
+def q_positive_rate(spark, sf_dir):
+    return finish(ML.dataset_gate(_dataset_v2(Graph(spark, sf_dir))))
+
+
+@register("chronological_split")
+def q_chrono(spark, sf_dir):
+    d = _dataset_v1(Graph(spark, sf_dir))
+    return ML.chronological_split(d).groupBy("split").agg(F.count("*").alias("rows"),
+                                                          F.min("observation_hour").alias("first_hour"),
+                                                          F.max("observation_hour").alias("last_hour"))
+
+
+@register("class_weight")
+def q_class_weight(spark, sf_dir):
+    d = ML.chronological_split(_dataset_v1(Graph(spark, sf_dir)))
+    return finish(ML.class_weight(d.filter(F.col("split") == "train")))
+
+
+@register("evaluate")
+def q_evaluate(spark, sf_dir):
+    """Metrics of a fixed score column (anchored share of the 10 nm ring) against the label."""
+    d = _dataset_v1(Graph(spark, sf_dir))
+    score = F.least(F.lit(1.0), F.coalesce(F.col("vessels_at_anchor") / 4.0, F.lit(0.0)))
+    return finish(ML.evaluate(d.withColumn("score", score)))
+
+
+@register("split_stratified")
+def q_split_stratified(spark, sf_dir):
+    d = ML.stratified_split(_dataset_v1(Graph(spark, sf_dir)), ["port_code", "observation_hour"])
+    return d.groupBy("split", RD.TARGET).agg(F.count("*").alias("rows"))
+
+
+@register("train_gbt_importance")
+def q_train(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    d = ML.fill_features(ML.chronological_split(_dataset_v2(g)), RD.FEATURES_V2)
+    train = d.filter(F.col("split") == "train")
+    w = ML.class_weight(train).select(F.coalesce("scale_pos_weight", F.lit(1.0))).scalar()
+    model = ML.train_gbt(ML.with_weights(train, w), RD.FEATURES_V2, max_iter=150)
+    return ML.importance(model, RD.FEATURES_V2, spark)
+
+
+@register("score_latest")
+def q_score_latest(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    d = ML.fill_features(_dataset_v1(g), RD.FEATURES_V1)
+    train = d
+    w = ML.class_weight(train).select(F.coalesce("scale_pos_weight", F.lit(1.0))).scalar()
+    model = ML.train_gbt(ML.with_weights(train, w), RD.FEATURES_V1, max_iter=100)
+    return ML.score_latest(model, g.status, g.ports, RD.FEATURES_V1, g.as_of)
