@@ -418,3 +418,56 @@ def q_score_latest(spark, sf_dir):
     w = ML.class_weight(train).select(F.coalesce("scale_pos_weight", F.lit(1.0))).scalar()
     model = ML.train_gbt(ML.with_weights(train, w), RD.FEATURES_V1, max_iter=100)
     return ML.score_latest(model, g.status, g.ports, RD.FEATURES_V1, g.as_of)
+
+
+# --- raw sources, AIS flattening, streaming -----------------------------------------
+
+from tidewater.session import scratch_path  # noqa: E402
+from tidewater.sources import raw as RW  # noqa: E402
+from tidewater.streaming import capture as SC  # noqa: E402
+
+FLAT_COLS = ["mmsi", "ship_name", "lat", "lon", "sog", "cog", "true_heading", "nav_status", "msg_type", "received_at"]
+
+
+@register("ais_position_flatten")
+def q_ais_flatten(spark, sf_dir):
+    env = RW.envelopes_from_positions(Inputs(spark, sf_dir).positions)
+    return finish(RW.flatten_positions(env).select(*FLAT_COLS))
+
+
+@register("scan_raw_json")
+def q_scan_raw_json(spark, sf_dir):
+    """Write derived positions as NDJSON (source/date layout), read back with the fixed schema and lookback."""
+    g = Graph(spark, sf_dir)
+    raw = g.inp.positions.select(*[c for c in FLAT_COLS if c != "received_at"],
+                                 F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+                                 .alias("received_at"), "date")
+    root = scratch_path(spark, "raw")
+    RW.sink_ndjson(raw, root, "ais")
+    scanned = RW.scan_raw_json(spark, root, "ais")
+    as_of = F.lit(raw.agg(F.max("received_at")).first()[0][:10]).cast("date")
+    return finish(scanned.filter(F.col("date") >= F.date_format(F.date_sub(as_of, 90), "yyyy-MM-dd")))
+
+
+def _capture(spark, sf_dir):
+    env = RW.envelopes_from_positions(Inputs(spark, sf_dir).positions)
+    src = scratch_path(spark, "capture-src")
+    env.write.json(src)
+    out = scratch_path(spark, "capture-out")
+    SC.run_capture(spark, src, out, scratch_path(spark, "capture-ckpt"))
+    return out
+
+
+@register("stream_capture")
+def q_stream_capture(spark, sf_dir):
+    out = _capture(spark, sf_dir)
+    return finish(spark.read.parquet(f"{out}/positions").select(*FLAT_COLS, "date"))
+
+
+@register("stream_hourly_features")
+def q_stream_hourly(spark, sf_dir):
+    out = _capture(spark, sf_dir)
+    schema = spark.read.parquet(f"{out}/positions").schema
+    hourly = scratch_path(spark, "hourly-out")
+    SC.run_hourly_features(spark, f"{out}/positions", hourly, scratch_path(spark, "hourly-ckpt"), schema)
+    return finish(spark.read.parquet(hourly))
