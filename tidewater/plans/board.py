@@ -241,7 +241,7 @@ def port_ranking(metrics: DataFrame, ports: DataFrame) -> DataFrame:
     j = metrics.join(ports.select("port_code", "port_name"), "port_code")
     w = Window.orderBy(F.col("congestion_pct").desc(), F.col("waiting").desc(), F.col("tracked").desc(), "port_name")
     # one row per port: a global order over the (bounded) port dimension
-    return (j.withColumn("rank", F.row_number().over(w))
+    return (j.withColumn("rank", F.row_number().over(w).cast("int"))
             .withColumn("risk", rules.risk_tier(F.col("congestion_pct")))
             .withColumn("pressure", rules.pressure_label(coverage_issue, F.lit(True), F.col("waiting"),
                                                          F.col("congestion_pct"), F.col("tracked")))

@@ -471,3 +471,16 @@ def q_stream_hourly(spark, sf_dir):
     hourly = scratch_path(spark, "hourly-out")
     SC.run_hourly_features(spark, f"{out}/positions", hourly, scratch_path(spark, "hourly-ckpt"), schema)
     return finish(spark.read.parquet(hourly))
+
+
+@register("port_ranking")
+def q_port_ranking(spark, sf_dir):
+    b = Board(spark, sf_dir)
+    return finish(BD.port_ranking(b.metrics, b.ports))
+
+
+@register("network_total")
+def q_network_total(spark, sf_dir):
+    """Total listed vessels over all ports (A22): listed rows are capped at 250 per port."""
+    listed = BD.vessel_list(Board(spark, sf_dir).vessels.select(*VESSEL_COLS))
+    return listed.agg(F.count("*").alias("tracked_vessels_total"))
