@@ -250,3 +250,13 @@ def port_ranking(metrics: DataFrame, ports: DataFrame) -> DataFrame:
                                                 F.round(F.col("berthed") / F.col("tracked") * 100, 0).cast("int"))
                         .otherwise(F.lit(0)))
             .withColumn("wave_pct", F.least(F.col("max_wave") / 5 * 100, F.lit(100.0))))
+
+
+def day_labels(as_of: Column, spark) -> DataFrame:
+    """'Today', 'Yesterday', else 'd Mon' for the 6 trend days and 5 outlook days, oldest first."""
+    today = F.to_date(as_of)
+    rows = spark.createDataFrame([("trend", 6), ("outlook", 5)], "kind string, days int")
+    d = rows.select("kind", F.posexplode(F.sequence(F.col("days") - 1, F.lit(0), F.lit(-1))).alias("position", "ago"))
+    day = F.date_sub(today, F.col("ago"))
+    label = F.when(F.col("ago") == 0, "Today").when(F.col("ago") == 1, "Yesterday").otherwise(F.date_format(day, "d MMM"))
+    return d.select("kind", "position", label.alias("label"))

@@ -484,3 +484,9 @@ def q_network_total(spark, sf_dir):
     """Total listed vessels over all ports (A22): listed rows are capped at 250 per port."""
     listed = BD.vessel_list(Board(spark, sf_dir).vessels.select(*VESSEL_COLS))
     return listed.agg(F.count("*").alias("tracked_vessels_total"))
+
+
+@register("day_labels")
+def q_day_labels(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return BD.day_labels(g.as_of, spark)
