@@ -16,8 +16,10 @@ Defined cases: null is an empty text; an empty text is its closing id alone; rep
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,42 @@ from tidewater.llm.common import slices
 
 CAPACITY = 4096
 END_ID = 2
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ", ".join(f"{f} long" for f in FIELDS)
 
 
+#: Words of printable ASCII and Latin-1 letters are split here as the tokenizer splits them (lower case, then
+#: contractions, letters, single digits, other characters); all other words, and special tokens, go to it whole.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
+
+
+class _Places(dict):
+    """Word -> its place in the table; a new word gets the next one."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        return place
+
+
+class _Parts(dict):
+    """Lower-cased part of a word -> its ids by the model's merges over its bytes."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        # the byte alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.bytes = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+    def __missing__(self, part: str) -> list[int]:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.bytes)
+        ids = self[part] = [t.id for t in self.model.tokenize(shown)]
+        return ids
+
+
 class WordIds:
     """Ids of texts through a bounded table of distinct words (flat ids and offsets)."""
 
@@ -44,28 +77,40 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.offsets = np.zeros(1, np.int64)
+        self.at, self.parts = _Places(), _Parts(self.tokenizer.model)
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _ids(self, word: str) -> list[int]:
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return self._whole(word)
+        parts = _PARTS.findall(word.lower())
+        return self.parts[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.parts[p]]
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        ids = [self._ids(w.decode()) for w in words]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        new = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        self.flat = np.concatenate([self.flat, new])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + lengths.cumsum()])
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text and its closing id."""
         if len(self.at) > self.max_words:
             self._clear()
-        split = [(t or "").encode().split() for t in texts]
-        if new := list({w for words in split for w in words if w not in self.at}):
-            self._learn(new)
-        for words in split:
-            i = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-            first, n = self.offsets[i], self.offsets[i + 1] - self.offsets[i]
+        known = len(self.at)
+        place = self.at.__getitem__
+        placed = []
+        for t in texts:
+            words = (t or "").encode().split()
+            placed.append(np.fromiter(map(place, words), np.int32, len(words)))
+        if len(self.at) > known:
+            self._learn(list(islice(self.at, known, None)))
+        for i in placed:
+            first = self.offsets[i]
+            n = self.offsets[i + 1] - first
             before = n.cumsum() - n
             out = np.empty(int(n.sum()) + 1, np.uint32)
             out[:-1] = self.flat[np.repeat(first - before, n) + np.arange(len(out) - 1)]
