@@ -30,7 +30,7 @@ from tidewater.llm.common import slices
 
 CAPACITY = 4096
 END_ID = 2
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ", ".join(f"{f} long" for f in FIELDS)
 
@@ -38,7 +38,7 @@ SCHEMA = ", ".join(f"{f} long" for f in FIELDS)
 #: Words of printable ASCII and Latin-1 letters are split here as the tokenizer splits them (lower case, then
 #: contractions, letters, single digits, other characters); all other words, and special tokens, go to it whole.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class _Places(dict):
