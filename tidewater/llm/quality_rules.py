@@ -100,14 +100,12 @@ def host_rates(measured: DataFrame) -> DataFrame:
     """host, n, failed, rate: failure rates shrunk towards a beta prior fitted by moments over the hosts."""
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(soft_failed(F.col).cast("long")).alias("failed"))
     p = F.col("failed") / F.col("n")
-    prior = hosts.agg((F.sum("failed") / F.sum("n")).alias("mean"), F.coalesce(F.var_pop(p), F.lit(0.0)).alias("between"),
-                      F.avg(1 / F.col("n")).alias("inverse_n"))
-    spread = F.col("mean") * (1 - F.col("mean"))
-    true_var = F.col("between") - spread * F.col("inverse_n")  # without the spread of finite hosts
-    weight = F.when(true_var > 0, F.greatest(spread / true_var - 1, F.lit(MIN_WEIGHT))).otherwise(F.lit(MIN_WEIGHT))
-    one = prior.select("mean", weight.alias("weight"))  # a single row
-    return (hosts.join(F.broadcast(one)).withColumn("rate", (F.col("failed") + F.col("mean") * F.col("weight"))
-                                                    / (F.col("n") + F.col("weight"))).drop("mean", "weight"))
+    # one row of sums over the hosts
+    mean, between, inverse_n = hosts.agg(F.sum("failed") / F.sum("n"), F.var_pop(p), F.avg(1 / F.col("n"))).first()
+    mean, spread = mean or 0.0, (mean or 0.0) * (1 - (mean or 0.0))
+    true_var = (between or 0.0) - spread * (inverse_n or 0.0)  # without the spread of finite hosts
+    weight = max(spread / true_var - 1, MIN_WEIGHT) if true_var > 0 else MIN_WEIGHT
+    return hosts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("n") + weight))
 
 
 def bad_hosts(measured: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
