@@ -41,8 +41,8 @@ WIDTH = 200
 CORE = 24
 #: Texts of one core in a shard, and bytes of text aimed at in a shard.
 GROUP = 2048
-SHARD_BYTES = 1_500_000
-SLICE = 3_000_000
+SHARD_BYTES = 1_200_000
+SLICE = 2_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -275,11 +275,13 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 def _searched(texts: DataFrame, width: int, group: int, shard_bytes: int) -> DataFrame:
     """core, bytes, low, high: repeated windows of the open contexts, through suffix arrays and the merge."""
-    parts = texts.groupBy("core").agg((F.ceil(F.count("*") / group)).alias("parts"))
+    # only cores beyond the bound; a written table, so the join below can be split on skew
+    parts = saved(texts.groupBy("core").agg(F.ceil(F.count("*") / group).alias("parts")).filter("parts > 1"), "parts")
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     # groups of one core stay together unless they pass the bound
-    dealt = (texts.join(parts, "core").withColumn("part", F.pmod("bytes", "parts"))
+    dealt = (texts.join(parts, "core", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+             .withColumn("part", F.pmod("bytes", "parts"))
              .withColumn("shard", F.pmod(F.xxhash64("core", "part"), F.lit(shards)).cast("int")))
 
     def search(table: pa.Table) -> pa.Table:
