@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.session import scratch_path
 
 #: Bytes of text that a Python task turns into Python objects at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Words kept with their emissions in a task, and words that a block walks through in step.
-MAX_WORDS = 250_000
+MAX_WORDS = 150_000
 STEPS = 128
 #: Weights that stay below this for all labels after training are left out of a model.
 LEAST_WEIGHT = 0.02

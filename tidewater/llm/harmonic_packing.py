@@ -30,7 +30,7 @@ from tidewater.llm.common import slices
 
 CAPACITY = 4096
 END_ID = 2
-MAX_WORDS = 600_000
+MAX_WORDS = 350_000
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ", ".join(f"{f} long" for f in FIELDS)
 

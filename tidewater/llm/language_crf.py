@@ -33,7 +33,7 @@ FOLDS, HELD = 4, 2
 PER_LANG = 200
 MAX_LANGS = 100
 MAX_CHARS = 6_000
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

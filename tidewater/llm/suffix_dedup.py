@@ -41,8 +41,8 @@ WIDTH = 200
 CORE = 24
 #: Texts of one core in a shard, and bytes of text aimed at in a shard.
 GROUP = 2048
-SHARD_BYTES = 1_200_000
-SLICE = 2_000_000
+SHARD_BYTES = 700_000
+SLICE = 1_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 

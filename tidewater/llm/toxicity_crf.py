@@ -38,7 +38,7 @@ ODDS = 20.0
 LEAST_SHARE = 0.005
 DEPTH = 2
 #: Characters scored at once.
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 1_000_000
 _WORD = re.compile(r"\w+")
 RESULT = "score double, spans array<struct<start:long,end:long>>"
 
