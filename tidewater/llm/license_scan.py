@@ -6,7 +6,9 @@ largest share of the template's words aligned inside a stretch of 1.5 template l
 
 Stretches are found without loss: a coverage of ``MIN_COVERAGE`` leaves out fewer than r = (1 - MIN_COVERAGE) * words + 1
 of the template's words, so every hit holds one of any r of them.  For each text the r words with the fewest
-occurrences are taken, and only their surroundings (1.5 template lengths each way) are aligned.
+occurrences are taken.  Where one stands, the template is laid on the text by its place in it, and the text there is
+aligned twice: with half a template length to spare on both sides, for notices with inserted words, and with an eighth,
+for notices that follow each other closely (their words are not unique in the wider stretch).
 
 Defined cases: null and empty texts, and texts without a hit, have a null license, coverage 0 and no place; of several
 hits the one with the most words aligned wins, then the larger coverage, then the name; repeated rows are scanned each.
@@ -103,23 +105,20 @@ class Scanner:
         m = len(template)
         spare = m - max(1, -int(-self.min_coverage * m // 1)) + 1  # any so many words meet every hit
         rare = sorted(range(m), key=lambda j: (len(places.get(template[j], ())), j))[:spare]
-        reach = int(REACH * m) + 1
-        near = sorted({p for j in rare for p in places.get(template[j], ())})
-        best, at = None, 0
-        while at < len(near):
-            to = at
-            while to + 1 < len(near) and near[to + 1] - near[to] <= 2 * reach:
-                to += 1
-            first = max(0, near[at] - reach)
-            pairs = [i + first for i, _ in align(text[first:near[to] + reach + 1], template)]
-            low = 0
-            for high, p in enumerate(pairs):
-                while p - pairs[low] >= reach:
-                    low += 1
-                n = high - low + 1
-                if n >= self.min_coverage * m and (best is None or n > best[0]):
-                    best = (n, pairs[low], p)
-            at = to + 1
+        reach, step = int(REACH * m) + 1, max(1, m // 8)
+        laid = {(p - j) // step * step for j in rare for p in places.get(template[j], ())}
+        best = None
+        for spare in (m // 2, m // 8):
+            for at in sorted(laid):
+                first = max(0, at - spare)
+                pairs = [i + first for i, _ in align(text[first:at + m + spare + step], template)]
+                low = 0
+                for high, p in enumerate(pairs):
+                    while p - pairs[low] >= reach:
+                        low += 1
+                    n = high - low + 1
+                    if n >= self.min_coverage * m and (best is None or n > best[0]):
+                        best = (n, pairs[low], p)
         return best
 
     def scan(self, text: str | None) -> tuple:
