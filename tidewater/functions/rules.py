@@ -16,10 +16,10 @@ def _c(x) -> Column:
 
 
 def py_round(x, digits: int = 0) -> Column:
-    """Half-even rounding of the binary value (as Python's round): scale, round, unscale.
+    """Half-even rounding after scaling by a power of ten.
 
-    ``bround`` alone rounds the shortest decimal text of the double, so 0.575
-    (binary 0.57499999...) would go up; scaling first keeps the binary side.
+    Equal to Python's ``round`` except next to a tie: the scaled product can be a tie although the double itself is
+    not (0.15 and 0.35 with one digit, 2.675 with two give 0.2, 0.4 and 2.68; Python 0.1, 0.3 and 2.67).
     """
     f = float(10 ** digits)
     return F.bround(_c(x) * F.lit(f), 0) / F.lit(f)
@@ -31,7 +31,7 @@ def destination_matches(destination, port_code, port_name) -> Column:
     """Destination contains the code, the name, or the code from position 3; null -> false."""
     d = F.lower(_c(destination))
     code, name = F.lower(_c(port_code)), F.lower(_c(port_name))
-    hit = F.contains(d, code) | F.contains(d, name) | F.contains(d, F.substring(code, 3, 100))
+    hit = F.contains(d, code) | F.contains(d, name) | F.contains(d, F.substring(code, F.lit(3), F.length(code)))
     return F.when(_c(destination).isNull(), F.lit(False)).when(hit, F.lit(True)).otherwise(F.lit(False))
 
 

@@ -3,9 +3,8 @@
 No cross product is ever built.  The distance join keys both sides by a
 lat/lon grid cell whose size is the search radius; each site is exploded to
 the cells its exact search box touches, so the join is an equi-join on the
-cell key (broadcast hash join when the site side has a checked small size,
-otherwise a shuffled join that AQE can split on skew), followed by the exact
-haversine filter.
+cell key, followed by the exact haversine filter.  No side is hinted: Spark
+broadcasts one below its byte threshold, else shuffles, and AQE splits skew.
 """
 
 from __future__ import annotations
@@ -18,22 +17,6 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import haversine_nm, radius_deg
 from tidewater.refdata import EARTH_RADIUS_NM
 
-# sides up to this many rows may be broadcast (checked with a bounded count)
-BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_MAX_ROWS) -> int | None:
-    """Row count if it is at most ``limit``, else None.  Reads at most limit + 1 rows."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def maybe_broadcast(df: DataFrame, known_rows: int | None = None, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only behind a proven size bound; otherwise leave the choice to AQE."""
-    rows = known_rows if known_rows is not None else bounded_rows(df, limit)
-    return F.broadcast(df) if rows is not None and rows <= limit else df
-
-
 def _grid(radius_nm: float) -> tuple[float, int]:
     """Cell size in degrees (divides 360 exactly, not larger than the radius) and column count."""
     delta = radius_deg(radius_nm)
@@ -72,20 +55,13 @@ def site_cells(lat: Column, lon: Column, radius_nm: float) -> tuple[Column, Colu
 def distance_join(points: DataFrame, sites: DataFrame, radius_nm: float, *,
                   lat: str = "lat", lon: str = "lon",
                   site_lat: str = "port_lat", site_lon: str = "port_lon",
-                  distance_col: str = "distance_nm",
-                  site_rows: int | None = None) -> DataFrame:
-    """All (point, site) pairs with great-circle distance <= radius_nm.
-
-    ``site_rows``: a known bound on the site side's size (e.g. the fixed port
-    dimension); without it the size is checked with a bounded count before a
-    broadcast is chosen.
-    """
+                  distance_col: str = "distance_nm") -> DataFrame:
+    """All (point, site) pairs with great-circle distance <= radius_nm."""
     cy, cx = point_cells(F.col(lat), F.col(lon), radius_nm)
     p = points.withColumn("_cy", cy).withColumn("_cx", cx)
     rows, cols = site_cells(F.col(site_lat), F.col(site_lon), radius_nm)
     s = (sites.withColumn("_cy", F.explode(rows))
          .withColumn("_cx", F.explode(cols)))
-    s = maybe_broadcast(s, None if site_rows is None else site_rows * 64)
     joined = p.join(s, ["_cy", "_cx"], "inner").drop("_cy", "_cx")
     return (joined.withColumn(distance_col, haversine_nm(F.col(lat), F.col(lon), F.col(site_lat), F.col(site_lon)))
             .filter(F.col(distance_col) <= F.lit(float(radius_nm))))
@@ -121,7 +97,7 @@ def zone_edges(zones: DataFrame, rings_col: str = "rings") -> DataFrame:
     return (zones
             .withColumn("outer_edges", ring_edges(outer))
             .withColumn("outer_points", F.size(outer))
-            .withColumn("holes", F.transform(F.slice(F.col(rings_col), 2, 1_000_000),
+            .withColumn("holes", F.transform(F.slice(F.col(rings_col), F.lit(2), F.size(F.col(rings_col))),
                                              lambda r: F.struct(F.size(r).alias("n"), ring_edges(r).alias("edges"))))
             .withColumn("min_lon", F.array_min(F.transform(outer, lambda p: p[0])))
             .withColumn("max_lon", F.array_max(F.transform(outer, lambda p: p[0])))
@@ -147,25 +123,26 @@ ZONE_CELL_DEG = 0.05
 
 
 def within_zones(points: DataFrame, zones: DataFrame, *, lat: str = "lat", lon: str = "lon",
-                 zone_rows: int | None = None, cell_deg: float = ZONE_CELL_DEG) -> DataFrame:
+                 cell_deg: float = ZONE_CELL_DEG) -> DataFrame:
     """(point, zone) rows where the zone polygon contains the point.
 
     Zones are keyed by the grid cells their bounding box covers and points by
-    their cell, so the join is an equi-join (broadcast behind a size check),
-    followed by the bounding box and the exact ray-casting test.
+    their cell, so the join is an equi-join on (cell, zone); edges
+    are joined afterwards by zone, so a large zone's edges are not copied into its cells.
     """
-    z = zone_edges(zones)
+    shapes = zone_edges(zones)
+    edge_cols = ["outer_edges", "outer_points", "holes"]
+    z = shapes.drop(*edge_cols, "rings")
     z = (z.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("min_lat") / cell_deg),
                                                   F.floor(F.col("max_lat") / cell_deg))))
          .withColumn("_cx", F.explode(F.sequence(F.floor(F.col("min_lon") / cell_deg),
                                                  F.floor(F.col("max_lon") / cell_deg)))))
-    z = maybe_broadcast(z, zone_rows)
     p = points.withColumn("_cy", F.floor(F.col(lat) / cell_deg)).withColumn("_cx", F.floor(F.col(lon) / cell_deg))
     j = p.join(z, ["_cy", "_cx"], "inner")
-    inside = ((F.col(lat) >= F.col("min_lat")) & (F.col(lat) <= F.col("max_lat"))
-              & (F.col(lon) >= F.col("min_lon")) & (F.col(lon) <= F.col("max_lon"))
-              & point_in_zone(F.col(lon), F.col(lat)))
-    return j.filter(inside).drop("_cy", "_cx", "outer_edges", "outer_points", "holes",
+    j = j.filter((F.col(lat) >= F.col("min_lat")) & (F.col(lat) <= F.col("max_lat"))
+              & (F.col(lon) >= F.col("min_lon")) & (F.col(lon) <= F.col("max_lon")))
+    j = j.join(shapes.select("zone_ordinal", *edge_cols), "zone_ordinal")
+    return j.filter(point_in_zone(F.col(lon), F.col(lat))).drop("_cy", "_cx", "outer_edges", "outer_points", "holes",
                                  "min_lon", "max_lon", "min_lat", "max_lat")
 
 
@@ -179,9 +156,15 @@ def best_zone(points: DataFrame, zones: DataFrame, key: list[str], *, lat: str =
     return points.join(best, key, "left")
 
 
-def in_any_box(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Keep points inside any (lat_min, lat_max, lon_min, lon_max) box (F7): broadcast left-semi range join."""
-    b = maybe_broadcast(boxes)
-    cond = ((F.col(lat) >= b["lat_min"]) & (F.col(lat) <= b["lat_max"])
-            & (F.col(lon) >= b["lon_min"]) & (F.col(lon) <= b["lon_max"]))
+def in_any_box(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: str = "lon",
+               cell_deg: float = 1.0) -> DataFrame:
+    """Keep points inside any (lat_min, lat_max, lon_min, lon_max) box (F7): a semi join keyed on grid cells."""
+    def span(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / cell_deg), F.floor(F.col(high) / cell_deg)))
+
+    b = (boxes.withColumn("_by", span("lat_min", "lat_max")).withColumn("_bx", span("lon_min", "lon_max"))
+         .withColumnsRenamed({c: "_b_" + c for c in boxes.columns}))
+    cond = ((F.floor(F.col(lat) / cell_deg) == F.col("_by")) & (F.floor(F.col(lon) / cell_deg) == F.col("_bx"))
+            & F.col(lat).between(F.col("_b_lat_min"), F.col("_b_lat_max"))
+            & F.col(lon).between(F.col("_b_lon_min"), F.col("_b_lon_max")))
     return points.join(b, cond, "left_semi")

@@ -6,10 +6,9 @@ port filter is dropped, every step is partitioned or grouped by port, and the
 per-vessel scoring is Column expressions.
 
 Skew: a port is a hot key (10 values; one may hold a third of the vessels).
-Nothing collects a port's rows into one task: aggregates are partial, top-k
-lists use ``row_number`` with a limit (planned as WindowGroupLimit, which
-trims each input partition before the shuffle), and full counts come from a
-separate grouped count.
+Nothing collects a port's rows into one task: aggregates are partial, lists are
+ranked in two phases (bucket offsets, then row numbers inside a bucket), and
+full counts come from a separate grouped count.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater import refdata as R
 from tidewater.functions import rules
-from tidewater.operators.spatial import distance_join, maybe_broadcast, nearest_site
+from tidewater.operators.spatial import distance_join
 from tidewater.plans.features import as_of_column, lookback
 
 RADIUS = R.SURFACED_VESSEL_RADIUS_NM
@@ -54,7 +53,7 @@ def nearest_port_current(positions: DataFrame, ports: DataFrame, as_of: Column)
     finds it, so no vessel x port product is formed.
     """
     cur = current_positions(positions, as_of)
-    pairs = distance_join(cur, _sites(ports), RADIUS, site_rows=len(R.PORTS))
+    pairs = distance_join(cur, _sites(ports), RADIUS)
     cols = ["port_code", "ship_name", "lat", "lon", "sog", "nav_status", "distance_nm", "received_at"]
     tb = F.struct(F.col("distance_nm"), F.col("port_code"), *([F.col("event_id")] if "event_id" in pairs.columns else []))
     return (pairs.groupBy("mmsi").agg(F.min_by(F.struct(*cols), tb).alias("_b"))
@@ -100,7 +99,7 @@ def port_trend(positions: DataFrame, weather: DataFrame, ports: DataFrame, *, as
     daily = (pos.groupBy("date", "mmsi")
              .agg(F.max_by(F.struct("ship_name", "lat", "lon", "sog", "nav_status"), order).alias("_l"))
              .select("date", "mmsi", "_l.*"))
-    pairs = distance_join(daily, _sites(ports), RADIUS, site_rows=len(R.PORTS))
+    pairs = distance_join(daily, _sites(ports), RADIUS)
     near = (pairs.groupBy("date", "mmsi")
             .agg(F.min_by(F.struct("port_code", "sog", "nav_status", "distance_nm"),
                           F.struct("distance_nm", "port_code")).alias("_b"))
@@ -150,21 +149,38 @@ def board_vessels(positions: DataFrame, ports: DataFrame, *, as_of=None) -> Data
             .withColumn("name", rules.name_fallback(F.col("ship_name"), F.col("mmsi"))))
 
 
-def vessel_list(vessels: DataFrame, limit: int = R.MAX_VESSELS_PER_PORT) -> DataFrame:
-    """Order by priority, distance, speed desc; keep ``limit`` per port plus the full count."""
-    w = Window.partitionBy("port_code").orderBy("zone_priority", "distance_nm",
-                                                F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi")
-    top = vessels.withColumn("list_rank", F.row_number().over(w)).filter(F.col("list_rank") <= limit)
+def _ranked(df: DataFrame, bucket: list, order: list, rank: str, limit: int | None) -> DataFrame:
+    """Rank within each port by ``order``, whose leading part grows with ``bucket``.
+
+    Two phases, so that no port's rows are sorted in one task: bucket counts give each bucket's offset (a few hundred
+    rows a port), and rows are numbered inside their bucket only.  ``limit``: an explicit top-k.
+    """
+    keys = [f"_k{i}" for i in range(len(bucket))]
+    d = df.withColumns(dict(zip(keys, bucket, strict=True)))
+    counts = d.groupBy("port_code", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("port_code").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("port_code", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    if limit is not None:
+        offsets = offsets.filter(F.col("_off") < limit)
+    out = (d.join(offsets, ["port_code", *keys])
+           .withColumn(rank, (F.col("_off") + F.row_number().over(Window.partitionBy("port_code", *keys).orderBy(*order)))
+                       .cast("int")).drop("_off", *keys))
+    return out if limit is None else out.filter(F.col(rank) <= limit)
+
+
+def vessel_list(vessels: DataFrame, limit: int | None = None) -> DataFrame:
+    """All vessels by priority, distance, speed desc, with the port's count (T3); ``limit`` asks for a top-k."""
+    order = ["zone_priority", "distance_nm", F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi"]
+    top = _ranked(vessels, [F.col("zone_priority"), F.floor("distance_nm")], order, "list_rank", limit)
     totals = vessels.groupBy("port_code").agg(F.count("*").alias("vessels_total"))
-    return top.join(F.broadcast(totals), "port_code", "left")  # one row per port
+    return top.join(totals, "port_code", "left")
 
 
-def arrival_schedule(vessels: DataFrame, limit: int = R.MAX_VESSELS_PER_PORT) -> DataFrame:
-    """Approaching and transit vessels, nearest first, ``limit`` per port (T4)."""
-    w = Window.partitionBy("port_code").orderBy("dist", "zone_priority", "distance_nm",
-                                                F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi")
-    return (vessels.filter(F.col("zone").isin("approaching", "transit"))
-            .withColumn("schedule_rank", F.row_number().over(w)).filter(F.col("schedule_rank") <= limit)
+def arrival_schedule(vessels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Approaching and transit vessels, nearest first (T4); ``limit`` asks for a top-k."""
+    order = ["dist", "zone_priority", "distance_nm", F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi"]
+    moving = vessels.filter(F.col("zone").isin("approaching", "transit"))
+    return (_ranked(moving, [F.floor("dist")], order, "schedule_rank", limit)
             .select("port_code", "schedule_rank", F.col("name").alias("vessel"), F.col("mmsi").cast("string").alias("mmsi"),
                     F.lit("Arrival").alias("type"), F.lit("In Transit").alias("status"), "eta",
                     F.col("dist").alias("distance_nm")))
@@ -190,7 +206,7 @@ def coverage_diagnostics(positions: DataFrame, ports: DataFrame, *, as_of=None)
     """Message counts and times within 50 / 200 nm over the last 6 h, no vessel dedup."""
     a = as_of_column(as_of, positions)
     recent = recent_positions(positions, a).select("lat", "lon", F.col("received_at").alias("observed_at"))
-    pairs = distance_join(recent, _sites(ports), R.DIAGNOSTIC_RADIUS_NM, site_rows=len(R.PORTS))
+    pairs = distance_join(recent, _sites(ports), R.DIAGNOSTIC_RADIUS_NM)
     d = F.col("distance_nm")
     agg = pairs.groupBy("port_code").agg(
         F.count_if(d <= RADIUS).alias("messages_within_50nm"),
@@ -229,16 +245,26 @@ def zone_mix(vessels: DataFrame) -> DataFrame:
             .select("port_code", "zone", "vessels", (F.col("vessels") / F.col("_t")).alias("share")))
 
 
-def distance_buckets(vessels: DataFrame) -> DataFrame:
-    """Vessel counts in distance buckets, upper bounds inclusive."""
-    return (vessels.groupBy("port_code", rules.distance_bucket(F.col("dist")).alias("bucket"))
-            .agg(F.count("*").alias("vessels")))
+BUCKETS = ["0-10 nm", "10-50 nm", "50-100 nm", "100-150 nm", "150-200 nm"]
+
 
+def distance_buckets(vessels: DataFrame, ports: DataFrame) -> DataFrame:
+    """Vessel counts in all five distance buckets of every port, upper bounds inclusive."""
+    counts = (vessels.groupBy("port_code", rules.distance_bucket(F.col("dist")).alias("bucket"))
+              .agg(F.count("*").alias("vessels")))
+    every = ports.select("port_code", F.explode(F.array(*[F.lit(b) for b in BUCKETS])).alias("bucket"))
+    return (every.join(counts, ["port_code", "bucket"], "left")
+            .select("port_code", "bucket", F.coalesce("vessels", F.lit(0)).cast("bigint").alias("vessels")))
 
-def port_ranking(metrics: DataFrame, ports: DataFrame) -> DataFrame:
-    """Ports by congestion, waiting, tracked (desc), then name (T7) with risk and pressure labels."""
-    coverage_issue = F.col("port_code").isin(list(R.AIS_COVERAGE_OVERRIDES))
-    j = metrics.join(ports.select("port_code", "port_name"), "port_code")
+
+def port_ranking(metrics: DataFrame, ports: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Ports by congestion, waiting, tracked (desc), then name (T7) with risk and pressure labels.
+
+    A coverage issue is a diagnostics status of limited coverage or of no messages.
+    """
+    coverage_issue = F.col("status").isin("coverage_limited", "no_provider_messages")
+    j = metrics.join(ports.select("port_code", "port_name"), "port_code") \
+        .join(diagnostics.select("port_code", "status"), "port_code")
     w = Window.orderBy(F.col("congestion_pct").desc(), F.col("waiting").desc(), F.col("tracked").desc(), "port_name")
     # one row per port: a global order over the (bounded) port dimension
     return (j.withColumn("rank", F.row_number().over(w).cast("int"))
@@ -249,7 +275,7 @@ def port_ranking(metrics: DataFrame, ports: DataFrame) -> DataFrame:
             .withColumn("berthed_share", F.when((F.col("tracked") > 0) & ~coverage_issue,
                                                 F.round(F.col("berthed") / F.col("tracked") * 100, 0).cast("int"))
                         .otherwise(F.lit(0)))
-            .withColumn("wave_pct", F.least(F.col("max_wave") / 5 * 100, F.lit(100.0))))
+            .withColumn("wave_pct", F.least(F.col("max_wave") / 5 * 100, F.lit(100.0))).drop("status"))
 
 
 def day_labels(as_of: Column, spark) -> DataFrame:

@@ -78,7 +78,7 @@ def hourly_positions(positions: DataFrame, *, extended: bool = False, as_of: AsO
 def vessel_inbound_hourly(positions: DataFrame, ports: DataFrame, *, as_of: AsOf = None,
                           radius_nm: float = R.INBOUND_RADIUS_NM, hourly: DataFrame | None = None) -> DataFrame:
     hp = hourly if hourly is not None else hourly_positions(positions, as_of=as_of)
-    pairs = distance_join(hp, _port_sites(ports), radius_nm, site_rows=len(R.PORTS))
+    pairs = distance_join(hp, _port_sites(ports), radius_nm)
     d = F.col("distance_nm")
     return (pairs.groupBy("port_code", "observation_hour", "date_partition")
             .agg(F.count_if(d <= 10).alias("vessels_in_10nm"),
@@ -117,7 +117,7 @@ def hourly_with_voyage(positions: DataFrame, voyage: DataFrame, *, as_of: AsOf =
 def vessel_state_hourly(positions: DataFrame, voyage: DataFrame, ports: DataFrame, *, as_of: AsOf = None,
                         radius_nm: float = R.INBOUND_RADIUS_NM) -> DataFrame:
     hv = hourly_with_voyage(positions, voyage, as_of=as_of)
-    pairs = distance_join(hv, _port_sites(ports), radius_nm, site_rows=len(R.PORTS))
+    pairs = distance_join(hv, _port_sites(ports), radius_nm)
     from pyspark.sql import Window
     w = Window.partitionBy("port_code", "mmsi").orderBy("observation_hour")
     t = pairs.withColumn("distance_delta_nm", F.col("distance_nm") - F.lag("distance_nm").over(w))

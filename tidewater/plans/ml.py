@@ -81,6 +81,16 @@ def class_weight(train: DataFrame) -> DataFrame:
         .withColumn("scale_pos_weight", F.try_divide(F.col("negatives").cast("double"), F.col("positives")))
 
 
+def positive_weight(train: DataFrame, strict: bool = True) -> Column:
+    """negatives / positives as a literal; training data of one class is an error (weight 1 if not ``strict``)."""
+    row = class_weight(train).first()
+    if not strict and not (row["negatives"] and row["positives"]):
+        return F.lit(1.0)
+    if not row["negatives"] or not row["positives"]:
+        raise ValueError("training data must hold both classes")
+    return F.lit(float(row["scale_pos_weight"]))
+
+
 def with_weights(train: DataFrame, weight: Column) -> DataFrame:
     return train.withColumn("weight", F.when(F.col(R.TARGET) == 1, weight).otherwise(F.lit(1.0)))
 
@@ -141,19 +151,17 @@ def evaluate(scored: DataFrame, score_col: str = "score", label_col: str = R.TAR
         F.first("P").alias("P"), F.first("N").alias("N"),
         F.sum(F.col("pos") * F.col("_rank")).alias("_rank_sum"),
         F.sum(F.when(F.col("P") > 0, F.col("pos") / F.col("P") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))))
-        .alias("_ap"))
+        .alias("_ap"),
+        # the threshold metrics follow from the same table: the input is read once
+        F.sum(F.when(F.col("s") >= 0.5, F.col("pos")).otherwise(0.0)).alias("tp"),
+        F.sum(F.when(F.col("s") >= 0.5, F.col("pos") + F.col("neg")).otherwise(0.0)).alias("pp"),
+        F.try_divide(F.sum(F.col("pos") * (1 - F.col("s")) * (1 - F.col("s")) + F.col("neg") * F.col("s") * F.col("s")),
+                     F.sum(F.col("pos") + F.col("neg"))).alias("brier_score"))
     auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
                  (F.col("_rank_sum") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * F.col("N")))
-    pred = (s >= 0.5).cast("double")
-    # one-row aggregates attached as scalar subqueries (no join)
-    tp = scored.agg(F.sum(pred * y)).scalar()
-    pp = scored.agg(F.sum(pred)).scalar()
-    ap = scored.agg(F.sum(y)).scalar()
-    brier = scored.agg(F.avg((s - y) * (s - y))).scalar()
-    out = agg.select("*", tp.alias("tp"), pp.alias("pp"), ap.alias("ap"), brier.alias("brier_score"))
-    return out.select(auc.alias("roc_auc"), F.when(F.col("P") > 0, F.col("_ap")).alias("pr_auc"),
+    return agg.select(auc.alias("roc_auc"), F.when(F.col("P") > 0, F.col("_ap")).alias("pr_auc"),
                       F.coalesce(F.try_divide(F.col("tp"), F.col("pp")), F.lit(0.0)).alias("precision_at_0_5"),
-                      F.coalesce(F.try_divide(F.col("tp"), F.col("ap")), F.lit(0.0)).alias("recall_at_0_5"),
+                      F.coalesce(F.try_divide(F.col("tp"), F.col("P")), F.lit(0.0)).alias("recall_at_0_5"),
                       "brier_score")
 
 
@@ -164,11 +172,13 @@ def latest_per_port(features: DataFrame, feature_cols: list[str]) -> DataFrame:
             .select("port_code", "_l.*"))
 
 
-def score_latest(model, features: DataFrame, ports: DataFrame, feature_cols: list[str], as_of: Column) -> DataFrame:
-    """Latest row per port, nulls -> 0, probability (4 decimals), class at 0.5, as-of; no data -> null (M9)."""
+def score_latest(model, features: DataFrame, ports: DataFrame, feature_cols: list[str]) -> DataFrame:
+    """Latest row per port, nulls -> 0, class at 0.5 of the unrounded probability, then 4 decimals (M9).
+
+    ``as_of`` is the row's own hour; a port without data gets nulls.
+    """
     latest = fill_features(latest_per_port(features, feature_cols), feature_cols)
     scored = model.transform(latest).select(
-        "port_code", "observation_hour", F.round(probability(), 4).alias("congestion_probability"))
-    scored = scored.withColumn("predicted_congested", (F.col("congestion_probability") >= 0.5).cast("int")) \
-        .withColumn("as_of", as_of)
+        "port_code", "observation_hour", F.round(probability(), 4).alias("congestion_probability"),
+        (probability() >= 0.5).cast("int").alias("predicted_congested"), F.col("observation_hour").alias("as_of"))
     return ports.select("port_code").join(scored, "port_code", "left")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidewater import refdata as R
 from tidewater.functions import text as T
-from tidewater.functions.timefn import hour_trunc
 
 RECORD_COLUMNS = ["event_id", "source", "query_name", "query", "fetched_at", "seen_at", "title", "url", "domain",
                   "language", "source_country", "port_code", "port_name", "attribution_reason", "event_category",
@@ -69,12 +68,10 @@ def normalise_articles(articles: DataFrame, include_unattributed: bool = True) -
 def dedup_first(records: DataFrame, run_col: str = "fetched_at") -> DataFrame:
     """Keep the first row per event id within a fetch run, in query then article order.
 
-    The run is the fetch hour; ``row_number`` over (run, event_id) keeps the
-    first, which ``dropDuplicates`` would not guarantee.
+    All rows of a run carry the same ``run_col``; ``row_number`` over (run,
+    event_id) keeps the first, which ``dropDuplicates`` would not guarantee.
     """
-    from tidewater.functions.timefn import parse_iso
-    run = hour_trunc(parse_iso(F.col(run_col)))
-    w = Window.partitionBy(run, F.col("event_id")).orderBy("query_ordinal", "article_ordinal")
+    w = Window.partitionBy(F.col(run_col), F.col("event_id")).orderBy("query_ordinal", "article_ordinal")
     return records.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 

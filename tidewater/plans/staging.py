@@ -65,7 +65,7 @@ def stage_positions(positions: DataFrame, ports: DataFrame, radius_nm: float = R
     dedup = (positions.groupBy("mmsi", "received_at")
              .agg(F.min_by(F.struct(*cols), F.col("event_id")).alias("_r")).select("mmsi", "received_at", "_r.*"))
     sites = ports.select("port_code", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon"))
-    pairs = distance_join(dedup.select("event_id", "lat", "lon"), sites, radius_nm, site_rows=len(R.PORTS))
+    pairs = distance_join(dedup.select("event_id", "lat", "lon"), sites, radius_nm)
     near = (pairs.groupBy("event_id")
             .agg(F.min_by(F.struct("port_code", "distance_nm"), F.struct("distance_nm", "port_code")).alias("_n"))
             .select("event_id", F.col("_n.port_code").alias("port_code"), F.col("_n.distance_nm").alias("distance_nm")))

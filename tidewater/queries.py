@@ -221,7 +221,8 @@ def q_zone_mix(spark, sf_dir):
 
 @register("distance_buckets")
 def q_distance_buckets(spark, sf_dir):
-    return BD.distance_buckets(Board(spark, sf_dir).vessels)
+    b = Board(spark, sf_dir)
+    return BD.distance_buckets(b.vessels, b.ports)
 
 
 @register("coverage_diagnostics")
@@ -241,7 +242,7 @@ from tidewater.sources.geo import scan_geojson  # noqa: E402
 def q_point_in_polygon(spark, sf_dir):
     inp = Inputs(spark, sf_dir)
     zones = scan_geojson(spark)
-    hits = SP.within_zones(inp.positions.select("event_id", "mmsi", "lat", "lon"), zones, zone_rows=64)
+    hits = SP.within_zones(inp.positions.select("event_id", "mmsi", "lat", "lon"), zones)
     return finish(hits.select("event_id", "mmsi", "lat", "lon", "zone_ordinal", "zone_id", "zone_type"))
 
 
@@ -256,7 +257,7 @@ def q_best_zone(spark, sf_dir):
 def q_distance_join(spark, sf_dir):
     g = Graph(spark, sf_dir)
     sites = g.ports.select("port_code", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon"))
-    pairs = SP.distance_join(g.inp.positions.select("event_id", "lat", "lon"), sites, 200.0, site_rows=10)
+    pairs = SP.distance_join(g.inp.positions.select("event_id", "lat", "lon"), sites, 200.0)
     return finish(pairs.select("event_id", "port_code", "distance_nm"))
 
 
@@ -405,8 +406,7 @@ def q_train(spark, sf_dir):
     g = Graph(spark, sf_dir)
     d = ML.fill_features(ML.chronological_split(_dataset_v2(g)), RD.FEATURES_V2)
     train = d.filter(F.col("split") == "train")
-    w = ML.class_weight(train).select(F.coalesce("scale_pos_weight", F.lit(1.0))).scalar()
-    model = ML.train_gbt(ML.with_weights(train, w), RD.FEATURES_V2, max_iter=150)
+    model = ML.train_gbt(ML.with_weights(train, ML.positive_weight(train, strict=False)), RD.FEATURES_V2, max_iter=150)
     return ML.importance(model, RD.FEATURES_V2, spark)
 
 
@@ -414,10 +414,9 @@ def q_train(spark, sf_dir):
 def q_score_latest(spark, sf_dir):
     g = Graph(spark, sf_dir)
     d = ML.fill_features(_dataset_v1(g), RD.FEATURES_V1)
-    train = d
-    w = ML.class_weight(train).select(F.coalesce("scale_pos_weight", F.lit(1.0))).scalar()
-    model = ML.train_gbt(ML.with_weights(train, w), RD.FEATURES_V1, max_iter=100)
-    return ML.score_latest(model, g.status, g.ports, RD.FEATURES_V1, g.as_of)
+    train = ML.stratified_split(d, ["port_code", "observation_hour"]).filter(F.col("split") == "train")
+    model = ML.train_gbt(ML.with_weights(train, ML.positive_weight(train, strict=False)), RD.FEATURES_V1, max_iter=100)
+    return ML.score_latest(model, g.status, g.ports, RD.FEATURES_V1)
 
 
 # --- raw sources, AIS flattening, streaming -----------------------------------------
@@ -461,7 +460,7 @@ def _capture(spark, sf_dir):
 @register("stream_capture")
 def q_stream_capture(spark, sf_dir):
     out = _capture(spark, sf_dir)
-    return finish(spark.read.parquet(f"{out}/positions").select(*FLAT_COLS, "date"))
+    return finish(SC.read_positions(spark, out).select(*FLAT_COLS, "date"))
 
 
 @register("stream_hourly_features")
@@ -476,14 +475,14 @@ def q_stream_hourly(spark, sf_dir):
 @register("port_ranking")
 def q_port_ranking(spark, sf_dir):
     b = Board(spark, sf_dir)
-    return finish(BD.port_ranking(b.metrics, b.ports))
+    diagnostics = BD.coverage_diagnostics(b.inp.positions, b.ports, as_of=b.as_of)
+    return finish(BD.port_ranking(b.metrics, b.ports, diagnostics))
 
 
 @register("network_total")
 def q_network_total(spark, sf_dir):
-    """Total listed vessels over all ports (A22): listed rows are capped at 250 per port."""
-    listed = BD.vessel_list(Board(spark, sf_dir).vessels.select(*VESSEL_COLS))
-    return listed.agg(F.count("*").alias("tracked_vessels_total"))
+    """Vessels over all ports (A22): the sum of the ports' totals."""
+    return Board(spark, sf_dir).vessels.agg(F.count("*").alias("tracked_vessels_total"))
 
 
 @register("day_labels")

@@ -35,7 +35,6 @@ EARTH_RADIUS_NM = 3440.065
 INBOUND_RADIUS_NM = 200.0
 SURFACED_VESSEL_RADIUS_NM = 50.0
 DIAGNOSTIC_RADIUS_NM = 200.0
-MAX_VESSELS_PER_PORT = 250
 CAPTURE_BOX_HALF_WIDTH_NM = 50.0
 LIVE_BOX_DELTA_DEG = 0.83
 

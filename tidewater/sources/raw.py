@@ -27,7 +27,7 @@ def sink_ndjson(records: DataFrame, root: str, source: str, date_col: str = "dat
 
 
 def scan_raw_json(spark: SparkSession, root: str, source: str, schema: str = POSITION_SCHEMA,
-                  glob: str = "*.json", quarantine: bool = False) -> DataFrame:
+                  glob: str = "*.{json,ndjson,jsonl}", quarantine: bool = False) -> DataFrame:
     """Read one raw source with a fixed schema and its date partition.
 
     ``quarantine``: keep unparseable lines in ``_corrupt_record`` (S7) instead

@@ -5,8 +5,10 @@ The reference captures a socket feed for a fixed budget and flushes every
 ``readStream``; each micro-batch is flattened with Column expressions and
 written to two sinks (positions, voyages) plus a quarantine sink through
 ``foreachBatch``.  Checkpoints live in the shared checkpoint folder, so a lost
-executor or driver restart resumes without loss; a retried batch is removed
-downstream by ``dropDuplicatesWithinWatermark`` on (mmsi, received_at).
+executor or driver restart resumes without loss.  Every micro-batch overwrites
+its own ``batch_id`` folder, so a replayed batch replaces itself; duplicates of
+(mmsi, received_at) across batches go when the sink is read
+(``read_positions``).  No watermark stands before the sinks: late rows stay.
 """
 
 from __future__ import annotations
@@ -31,8 +33,7 @@ def _voyage_rows(batch: DataFrame) -> DataFrame:
 
 
 def run_capture(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str, *,
-                processing_time: str | None = None, timeout_s: float | None = None,
-                watermark: str = "10 minutes"):
+                processing_time: str | None = None, timeout_s: float | None = None):
     """Raw message lines -> positions / voyage / quarantine sinks.
 
     ``processing_time=None`` runs ``availableNow`` (bounded run: process what
@@ -40,19 +41,17 @@ def run_capture(spark: SparkSession, source_dir: str, out_root: str, checkpoint:
     "60 seconds" (R1) until ``timeout_s``.
     """
     lines = spark.readStream.schema(LINE_SCHEMA).json(source_dir)
-    flat = (flatten_positions(lines)
-            .withColumn("date", F.substring("received_at", 1, 10))
-            .withColumn("_ts", parse_iso(F.col("received_at")).cast("timestamp"))
-            .withWatermark("_ts", watermark)
-            .dropDuplicatesWithinWatermark(["mmsi", "received_at"]))
+    flat = flatten_positions(lines).withColumn("date", F.substring("received_at", 1, 10))
+
+    def put(batch: DataFrame, sink: str, epoch: int) -> None:
+        batch.write.mode("overwrite").partitionBy("date").parquet(f"{out_root}/{sink}/batch_id={epoch}")
 
     def write_positions(batch: DataFrame, epoch: int) -> None:
-        batch.drop("_ts").write.mode("append").partitionBy("date").parquet(f"{out_root}/positions")
+        put(batch.dropDuplicates(["mmsi", "received_at"]), "positions", epoch)
 
     def write_side(batch: DataFrame, epoch: int) -> None:
-        _voyage_rows(batch).write.mode("append").partitionBy("date").parquet(f"{out_root}/voyage")
-        bad = batch.filter(F.try_parse_json(F.col("value")).isNull()).select("event_id", "value", "date")
-        bad.write.mode("append").partitionBy("date").parquet(f"{out_root}/quarantine")
+        put(_voyage_rows(batch), "voyage", epoch)
+        put(batch.filter(F.try_parse_json(F.col("value")).isNull()).select("event_id", "value", "date"), "quarantine", epoch)
 
     def trig(w):
         return w.trigger(availableNow=True) if processing_time is None else w.trigger(processingTime=processing_time)
@@ -68,6 +67,11 @@ def run_capture(spark: SparkSession, source_dir: str, out_root: str, checkpoint:
     return s1, s2
 
 
+def read_positions(spark: SparkSession, out_root: str) -> DataFrame:
+    """The positions sink, one row per (mmsi, received_at)."""
+    return spark.read.parquet(f"{out_root}/positions").drop("batch_id").dropDuplicates(["mmsi", "received_at"])
+
+
 def run_hourly_features(spark: SparkSession, positions_dir: str, out_dir: str, checkpoint: str,
                         schema: str) -> None:
     """Hour windows over arrival time with a watermark (R7); append mode emits closed hours only."""
@@ -122,7 +126,7 @@ def live_state(spark: SparkSession, source_dir: str, boxes: DataFrame, checkpoin
     flat = flatten_positions(lines)
     cond = ((flat["lat"] >= boxes["lat_min"]) & (flat["lat"] <= boxes["lat_max"])
             & (flat["lon"] >= boxes["lon_min"]) & (flat["lon"] <= boxes["lon_max"]))
-    inside = flat.join(F.broadcast(boxes), cond, "left_semi").select("mmsi", "lat", "lon", "sog", "received_at")
+    inside = flat.join(boxes, cond, "left_semi").select("mmsi", "lat", "lon", "sog", "received_at")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = inside.groupBy("mmsi").transformWithStateInPandas(
