@@ -12,6 +12,9 @@ from tidewater.session import scratch_path
 
 #: Bytes of text that a Python task turns into Python objects at once.
 SLICE_BYTES = 3_000_000
+#: Rows and bytes of an Arrow batch between the JVM and a Python task.
+BATCH_ROWS = 2_000
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after a bound on the Arrow batches of its session: texts cross to Python a few megabytes at a time
+    (one row at least), in the JVM's buffers as well as in the Python tasks."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` at most (one row at least)."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import slices
+from tidewater.llm.common import slices, small_batches
 
 CAPACITY = 4096
 END_ID = 2
@@ -193,4 +193,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
         if packer.rows:
             yield flush()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, SCHEMA)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved
+from tidewater.llm.common import saved, small_batches
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -80,7 +80,8 @@ def measures(text: Column) -> Column:
         for part in texts:
             yield pd.DataFrame([measure(t) for t in part], columns=MEASURES)
 
-    return run(text.cast("string"))
+    # not deterministic for the optimizer, which then doesn't run it a second time for a filter
+    return run.asNondeterministic()(text.cast("string"))
 
 
 def base_failed(of: Callable[[str], Column]) -> Column:
@@ -113,7 +114,7 @@ def bad_hosts(measured: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    m = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"),
+    m = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"),
                     measures(F.col("text")).alias("m"))
     return m.select("doc_id", "host", "m.*").withColumn("base_failed", base_failed(F.col))
 
@@ -132,7 +133,7 @@ def keep_documents(docs: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
     """The kept rows with all their columns; texts are measured again rather than shuffled."""
     bad = bad_hosts(_measured(docs), bad_rate).select(F.col("host").alias("_tw_bad"), F.lit(True).alias("_tw_is_bad"))
     of = lambda name: F.col(f"_tw_m.{name}")
-    rows = docs.withColumn("_tw_m", measures(F.col("text")))
+    rows = small_batches(docs).withColumn("_tw_m", measures(F.col("text")))
     rows = rows.withColumn("_tw_m", F.col("_tw_m").withField("base_failed", base_failed(of))).filter("not _tw_m.base_failed")
     rows = rows.join(bad, F.col("source").cast("string").eqNullSafe(F.col("_tw_bad")), "left")
     return rows.filter(~(F.coalesce("_tw_is_bad", F.lit(False)) & soft_failed(of))).select(*docs.columns)

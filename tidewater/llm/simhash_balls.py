@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved, slices
+from tidewater.llm.common import saved, slices, small_batches
 from tidewater.llm.graph import components
 
 SHINGLE = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(fp)],
                                              names=["doc_id", "same", "fp"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) same",
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) same",
                            "cast(text as string) text").mapInArrow(run, "doc_id long, same long, fp long")
 
 

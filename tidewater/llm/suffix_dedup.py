@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved, slices
+from tidewater.llm.common import saved, slices, small_batches
 
 WIDTH = 200
 CORE = 24
@@ -89,7 +89,7 @@ def contexts(raw: bytes, ends: np.ndarray, width: int = WIDTH, core: int = CORE)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")) \
         .withColumn("k1", F.coalesce("doc_id", F.lit(-(2 ** 63) + 1))).withColumn("k2", F.xxhash64("text"))
 
 

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import small_batches
 from tidewater.llm.crf import Crf, WordScores, train
 
 FOLDS = 5
@@ -211,7 +212,7 @@ def tagger(model: ToxicityModel):
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans of every row."""
     tag = tagger(fit_documents(docs, labels))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag(F.col("text").cast("string")).alias("t"))
+    scored = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), tag(F.col("text").cast("string")).alias("t"))
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), F.col("t.score").alias("score"),
                          (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.col("t.spans").alias("spans"))
 
@@ -219,4 +220,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     tag = tagger(fit_documents(docs, labels))
-    return docs.withColumn("_tw_t", tag(F.col("text").cast("string"))).filter("_tw_t.score < 0.5").select(*docs.columns)
+    return small_batches(docs).withColumn("_tw_t", tag(F.col("text").cast("string"))).filter("_tw_t.score < 0.5").select(*docs.columns)
