@@ -434,6 +434,11 @@ def q_ais_flatten(spark, sf_dir):
     return finish(RW.flatten_positions(env).select(*FLAT_COLS))
 
 
+@register("ais_voyage_flatten")
+def q_ais_voyage(spark, sf_dir):
+    return finish(RW.flatten_voyages(RW.envelopes_from_voyages(Inputs(spark, sf_dir).positions)))
+
+
 @register("scan_raw_json")
 def q_scan_raw_json(spark, sf_dir):
     """Write derived positions as NDJSON (source/date layout), read back with the fixed schema and lookback."""

@@ -1,4 +1,4 @@
-"""Raw NDJSON sources and sinks, AIS message flattening.
+"""Raw NDJSON sources and sinks, AIS message flattening.
 
 Raw files are newline-delimited JSON below ``root/source=<s>/date=<d>/``; the
 ``date`` partition column is discovered from the path, so lookback filters
@@ -54,46 +54,92 @@ def _vget(v: Column, path: str, typ: str) -> Column:
     return F.try_variant_get(v, path, typ)
 
 
-def _payload_field(v: Column, names: list[str], field: str, typ: str) -> Column:
-    """First value among the message's payload objects, else the message itself."""
-    paths = [f"$.Message.{n}.{field}" for n in names] + [f"$.Message.{field}"]
-    return F.coalesce(*[_vget(v, p, typ) for p in paths])
+def _payload(v: Column, names: list[str]) -> Column:
+    """The message's first payload object under one of the names, else the message itself."""
+    found = [_vget(v, f"$.Message.{n}", "variant") for n in names]
+    return F.coalesce(*[F.when(F.schema_of_variant(p).startswith("OBJECT"), p) for p in found],
+                      _vget(v, "$.Message", "variant"))
 
 
-def _non_blank(v: Column, names: list[str], fields: list[str], typ: str) -> Column:
-    vals = []
-    for f in fields:
-        txt = _payload_field(v, names, f, "string")
-        vals.append(F.when(F.trim(txt) != "", _payload_field(v, names, f, typ)))
-    return F.coalesce(*vals)
+def _field(p: Column, keys: list[str], typ: str) -> Column:
+    """Value of the first key that is neither null nor empty (N4); null if that value doesn't cast."""
+    out = None
+    for k in keys:
+        text = _vget(p, f"$.{k}", "string")
+        out = (F if out is None else out).when(text != "", _vget(p, f"$.{k}", typ))
+    return out
 
 
 def flatten_positions(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
     """AIS envelope text -> flat position rows (N1); non-position types are dropped.
 
-    Payload under its type name, else the message itself; payload lat/lon else
+    All fields come from one payload, that under its type name, else the message itself; payload lat/lon else
     metadata lat/lon; defaults sog 0, cog 0, heading 511, nav 15; trimmed name.
     """
-    v = F.col("_v")
+    v, p = F.col("_v"), F.col("_p")
     m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
     mtype = _vget(v, "$.MessageType", "string")
     names = R.POSITION_MESSAGE_TYPES
     is_pos = mtype.isin(names + ["1", "2", "3", "18"])
-    out = m.filter(is_pos & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull()).select(
+    m = m.filter(is_pos & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull()).withColumn("_p", _payload(v, names))
+    return m.select(
         _vget(v, "$.MetaData.MMSI", "bigint").alias("mmsi"),
         F.trim(F.coalesce(_vget(v, "$.MetaData.ShipName", "string"), F.lit(""))).alias("ship_name"),
-        F.coalesce(_non_blank(v, names, ["Latitude"], "double"),
-                   _vget(v, "$.MetaData.latitude", "double"), F.lit(0.0)).alias("lat"),
-        F.coalesce(_non_blank(v, names, ["Longitude"], "double"),
-                   _vget(v, "$.MetaData.longitude", "double"), F.lit(0.0)).alias("lon"),
-        F.coalesce(_non_blank(v, names, ["Sog", "SpeedOverGround"], "double"), F.lit(0.0)).alias("sog"),
-        F.coalesce(_non_blank(v, names, ["Cog", "CourseOverGround"], "double"), F.lit(0.0)).alias("cog"),
-        F.coalesce(_non_blank(v, names, ["TrueHeading"], "int"), F.lit(511)).alias("true_heading"),
-        F.coalesce(_non_blank(v, names, ["NavigationalStatus", "NavigationStatus"], "int"), F.lit(15))
-        .alias("nav_status"),
+        F.coalesce(_field(p, ["Latitude"], "double"), _vget(v, "$.MetaData.latitude", "double"), F.lit(0.0)).alias("lat"),
+        F.coalesce(_field(p, ["Longitude"], "double"), _vget(v, "$.MetaData.longitude", "double"), F.lit(0.0)).alias("lon"),
+        F.coalesce(_field(p, ["Sog", "SpeedOverGround"], "double"), F.lit(0.0)).alias("sog"),
+        F.coalesce(_field(p, ["Cog", "CourseOverGround"], "double"), F.lit(0.0)).alias("cog"),
+        F.coalesce(_field(p, ["TrueHeading"], "int"), F.lit(511)).alias("true_heading"),
+        F.coalesce(_field(p, ["NavigationalStatus", "NavigationStatus"], "int"), F.lit(15)).alias("nav_status"),
         mtype.alias("msg_type"),
         F.col(received_col).alias("received_at"))
-    return out
+
+
+def infer_eta(eta: Column, received: Column) -> Column:
+    """ETA variant -> timestamp (N5): ISO text as it is; month/day/hour/minute at its next turn from ``received``."""
+    part = {k: _field(eta, [k, k.lower()], "int") for k in ("Month", "Day", "Hour", "Minute")}
+    month, day = part["Month"], part["Day"]
+    hour, minute = F.coalesce(part["Hour"], F.lit(0)), F.coalesce(part["Minute"], F.lit(0))
+
+    def turn(year: Column) -> Column:
+        return F.when(hour.between(0, 23) & minute.between(0, 59),
+                      F.try_make_timestamp(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)")))
+
+    now = turn(F.year(received))
+    return (F.when(F.schema_of_variant(eta) == "STRING", F.try_to_timestamp(F.trim(eta.cast("string"))))
+            .when(F.schema_of_variant(eta).startswith("OBJECT"),
+                  F.when(now >= received, now).when(now < received, turn(F.year(received) + 1))))
+
+
+def flatten_voyages(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
+    """AIS envelope text -> the 15 voyage columns (N2); other types are dropped.
+
+    ``eta_raw`` keeps an ETA object as compact JSON text.  An empty or uncastable field is null.
+    """
+    v, p, eta = F.col("_v"), F.col("_p"), F.col("_eta")
+    m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    mtype = _vget(v, "$.MessageType", "string")
+    m = m.filter(mtype.isin(R.VOYAGE_MESSAGE_TYPES + ["5"]) & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull())
+    m = m.withColumn("_p", _payload(v, R.VOYAGE_MESSAGE_TYPES))
+    m = m.withColumn("_eta", _field(p, ["Eta", "ETA", "EstimatedTimeOfArrival"], "variant"))
+
+    def text(*keys: str) -> Column:
+        return F.trim(_field(p, list(keys), "string"))
+
+    sides = {"bow": "A", "stern": "B", "port": "C", "starboard": "D"}
+    return m.select(
+        _vget(v, "$.MetaData.MMSI", "bigint").alias("mmsi"),
+        F.coalesce(text("Name", "ShipName"), F.trim(_vget(v, "$.MetaData.ShipName", "string")), F.lit("")).alias("ship_name"),
+        text("CallSign", "Callsign").alias("call_sign"),
+        text("ImoNumber", "IMONumber", "IMO").alias("imo_number"),
+        text("Type", "ShipType").alias("ship_type"),
+        text("Destination").alias("destination"),
+        eta.cast("string").alias("eta_raw"),
+        F.date_format(infer_eta(eta, F.to_timestamp(received_col)), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("eta_timestamp_utc"),
+        _field(p, ["MaximumStaticDraught", "MaximumDraught", "Draught"], "double").alias("draught_m"),
+        *[F.coalesce(_field(p, [f"DimensionTo{s.capitalize()}"], "int"), _field(p, [f"Dimension.{k}"], "int"))
+          .alias(f"dimension_to_{s}_m") for s, k in sides.items()],
+        mtype.alias("msg_type"), F.col(received_col).alias("received_at"))
 
 
 def envelopes_from_positions(positions: DataFrame) -> DataFrame:
@@ -116,3 +162,28 @@ def envelopes_from_positions(positions: DataFrame) -> DataFrame:
     return positions.select("event_id", text.alias("value"),
                             F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("received_at"),
                             "date")
+
+
+def envelopes_from_voyages(positions: DataFrame) -> DataFrame:
+    """AIS static messages as JSON text from derived positions (four payload shapes by event_id % 4)."""
+    e = F.col("event_id").cast("int")
+    meta = F.struct(F.col("mmsi").alias("MMSI"), F.concat(F.lit(" "), F.col("ship_name"), F.lit(" ")).alias("ShipName"))
+    eta = F.struct((1 + e % 12).alias("Month"), (1 + e % 31).alias("Day"), (e % 25).alias("Hour"), (e % 60).alias("Minute"))
+    full = F.struct(F.concat(F.lit("V"), e, F.lit("  ")).alias("Name"), F.concat(F.lit("C"), e).alias("CallSign"),
+                    e.alias("ImoNumber"), (e % 90).alias("Type"), F.lit("USLAX").alias("Destination"), eta.alias("Eta"),
+                    ((e % 150) / 10).alias("MaximumStaticDraught"),
+                    F.struct((e % 300).alias("A"), (e % 50).alias("B"), (e % 20).alias("C")).alias("Dimension"))
+    mixed = F.struct(F.lit("").alias("Name"), F.concat(F.lit("S"), e).alias("ShipName"), F.lit("bad").alias("MaximumDraught"),
+                     F.lit(7.5).alias("Draught"), (e % 400).alias("DimensionToBow"), F.struct(F.lit(1).alias("A")).alias("Dimension"),
+                     F.lit("2031-02-03T04:05:06Z").alias("ETA"))
+    bare = F.struct(F.concat(F.lit("B"), e).alias("Callsign"), F.lit("").alias("Destination"))
+
+    def message(kind: str, body: Column) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("MessageType"), meta.alias("MetaData"), body.alias("Message")))
+
+    text = (F.when(e % 4 == 0, message("ShipStaticData", F.struct(full.alias("ShipStaticData"), F.lit("X").alias("Callsign"))))
+            .when(e % 4 == 1, message("VoyageData", F.struct(mixed.alias("VoyageData"))))
+            .when(e % 4 == 2, message("5", bare))
+            .otherwise(message("PositionReport", bare)))
+    return positions.select("event_id", text.alias("value"),
+                            F.date_format("received_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias("received_at"), "date")

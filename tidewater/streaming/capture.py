@@ -16,22 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater import refdata as R
 from tidewater.functions.timefn import hour_trunc, parse_iso
-from tidewater.sources.raw import flatten_positions
+from tidewater.sources.raw import flatten_positions, flatten_voyages
 
 LINE_SCHEMA = "event_id BIGINT, value STRING, received_at STRING, date STRING"
 
 
-def _voyage_rows(batch: DataFrame) -> DataFrame:
-    v = F.try_parse_json(F.col("value"))
-    t = F.try_variant_get(v, "$.MessageType", "string")
-    return (batch.filter(t.isin(R.VOYAGE_MESSAGE_TYPES + ["5"]))
-            .select(F.try_variant_get(v, "$.MetaData.MMSI", "bigint").alias("mmsi"),
-                    F.try_variant_get(v, "$.Message.ShipStaticData.Name", "string").alias("ship_name"),
-                    t.alias("msg_type"), "received_at", "date"))
-
-
 def run_capture(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str, *,
                 processing_time: str | None = None, timeout_s: float | None = None):
     """Raw message lines -> positions / voyage / quarantine sinks.
@@ -50,7 +40,7 @@ def run_capture(spark: SparkSession, source_dir: str, out_root: str, checkpoint:
         put(batch.dropDuplicates(["mmsi", "received_at"]), "positions", epoch)
 
     def write_side(batch: DataFrame, epoch: int) -> None:
-        put(_voyage_rows(batch), "voyage", epoch)
+        put(flatten_voyages(batch).withColumn("date", F.substring("received_at", 1, 10)), "voyage", epoch)
         put(batch.filter(F.try_parse_json(F.col("value")).isNull()).select("event_id", "value", "date"), "quarantine", epoch)
 
     def trig(w):
