@@ -422,6 +422,7 @@ def q_score_latest(spark, sf_dir):
 # --- raw sources, AIS flattening, streaming -----------------------------------------
 
 from tidewater.session import scratch_path  # noqa: E402
+from tidewater.sources import marine as MR  # noqa: E402
 from tidewater.sources import raw as RW  # noqa: E402
 from tidewater.streaming import capture as SC  # noqa: E402
 
@@ -439,6 +440,40 @@ def q_ais_voyage(spark, sf_dir):
     return finish(RW.flatten_voyages(RW.envelopes_from_voyages(Inputs(spark, sf_dir).positions)))
 
 
+def _tide_bodies(spark, sf_dir):
+    """Bodies of at most 1000 predictions from derived tides; every fifth is an error body."""
+    t = Inputs(spark, sf_dir).tides.withColumn("body_no", F.floor(F.col("event_id") / 1000))
+    one = F.struct(F.date_format("tide_ts", "yyyy-MM-dd HH:mm").alias("t"), F.col("tide_level_m").cast("string").alias("v"),
+                   F.col("tide_type").alias("type"))
+    b = t.groupBy("port_code", "body_no").agg(F.collect_list(one).alias("predictions"))
+    error = F.to_json(F.struct(F.struct(F.concat(F.lit("no data in "), "body_no").alias("message")).alias("error")))
+    return b.select("port_code", "body_no", F.when(F.col("body_no") % 5 == 0, error)
+                    .otherwise(F.to_json(F.struct("predictions"))).alias("body"))
+
+
+@register("tide_parse")
+def q_tide_parse(spark, sf_dir):
+    return finish(MR.parse_tides(_tide_bodies(spark, sf_dir))[0])
+
+
+@register("tide_error_envelope")
+def q_tide_errors(spark, sf_dir):
+    return MR.parse_tides(_tide_bodies(spark, sf_dir))[2]
+
+
+@register("weather_unzip")
+def q_weather_unzip(spark, sf_dir):
+    """Bodies of at most 1000 hours from derived weather; the second wave array is cut to half its length."""
+    w = Inputs(spark, sf_dir).weather.withColumn("body_no", F.floor(F.col("event_id") / 1000))
+    b = w.groupBy("port_code", "body_no").agg(F.sort_array(F.collect_list(F.struct(
+        "event_id", F.date_format("obs_hour", "yyyy-MM-dd'T'HH:mm").alias("time"), "wave_height_m", "wind_wave_height_m")))
+        .alias("h"))
+    half = F.floor(F.size("h") / 2).cast("int")
+    hourly = F.struct(F.col("h.time").alias("time"), F.col("h.wave_height_m").alias("wave_height"),
+                      F.slice(F.col("h.wind_wave_height_m"), F.lit(1), half).alias("wind_wave_height"))
+    return finish(MR.unzip_weather(b.select("port_code", "body_no", F.to_json(F.struct(hourly.alias("hourly"))).alias("body"))))
+
+
 @register("scan_raw_json")
 def q_scan_raw_json(spark, sf_dir):
     """Write derived positions as NDJSON (source/date layout), read back with the fixed schema and lookback."""
