@@ -149,7 +149,7 @@ def board_vessels(positions: DataFrame, ports: DataFrame, *, as_of=None) -> Data
             .withColumn("name", rules.name_fallback(F.col("ship_name"), F.col("mmsi"))))
 
 
-def _ranked(df: DataFrame, bucket: list, order: list, rank: str, limit: int | None) -> DataFrame:
+def ranked(df: DataFrame, bucket: list, order: list, rank: str, limit: int | None) -> DataFrame:
     """Rank within each port by ``order``, whose leading part grows with ``bucket``.
 
     Two phases, so that no port's rows are sorted in one task: bucket counts give each bucket's offset (a few hundred
@@ -171,7 +171,7 @@ def _ranked(df: DataFrame, bucket: list, order: list, rank: str, limit: int | No
 def vessel_list(vessels: DataFrame, limit: int | None = None) -> DataFrame:
     """All vessels by priority, distance, speed desc, with the port's count (T3); ``limit`` asks for a top-k."""
     order = ["zone_priority", "distance_nm", F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi"]
-    top = _ranked(vessels, [F.col("zone_priority"), F.floor("distance_nm")], order, "list_rank", limit)
+    top = ranked(vessels, [F.col("zone_priority"), F.floor("distance_nm")], order, "list_rank", limit)
     totals = vessels.groupBy("port_code").agg(F.count("*").alias("vessels_total"))
     return top.join(totals, "port_code", "left")
 
@@ -180,7 +180,7 @@ def arrival_schedule(vessels: DataFrame, limit: int | None = None) -> DataFrame:
     """Approaching and transit vessels, nearest first (T4); ``limit`` asks for a top-k."""
     order = ["dist", "zone_priority", "distance_nm", F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi"]
     moving = vessels.filter(F.col("zone").isin("approaching", "transit"))
-    return (_ranked(moving, [F.floor("dist")], order, "schedule_rank", limit)
+    return (ranked(moving, [F.floor("dist")], order, "schedule_rank", limit)
             .select("port_code", "schedule_rank", F.col("name").alias("vessel"), F.col("mmsi").cast("string").alias("mmsi"),
                     F.lit("Arrival").alias("type"), F.lit("In Transit").alias("status"), "eta",
                     F.col("dist").alias("distance_nm")))

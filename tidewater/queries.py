@@ -8,6 +8,7 @@ decimals for the cross-engine check.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -529,3 +530,65 @@ def q_network_total(spark, sf_dir):
 def q_day_labels(spark, sf_dir):
     g = Graph(spark, sf_dir)
     return BD.day_labels(g.as_of, spark)
+
+
+# --- what a board shows ---------------------------------------------------------------
+
+from tidewater.plans import board_views as BV  # noqa: E402
+
+SORTS = ["distance", "eta", "speed", "name"]
+MOVEMENTS = ["all", "inbound", "waiting", "berthed"]
+
+
+@register("board_order")
+def q_board_order(spark, sf_dir):
+    return finish(BV.board_order(Board(spark, sf_dir).vessels))
+
+
+@register("schedule_sort")
+def q_schedule_sort(spark, sf_dir):
+    v = Board(spark, sf_dir).vessels
+    return reduce(DataFrame.union, [BV.schedule_sort(v, by).select(F.lit(by).alias("sort_by"), "port_code", "sort_rank", "mmsi")
+                                    for by in SORTS])
+
+
+@register("board_filters")
+def q_board_filters(spark, sf_dir):
+    """Every movement, over all zones, with a search text."""
+    v = Board(spark, sf_dir).vessels
+    return reduce(DataFrame.union, [BV.board_filters(v, movement=m, search=" 1").select(F.lit(m).alias("movement"), "port_code",
+                                                                                      "mmsi", "name", "zone")
+                                    for m in MOVEMENTS])
+
+
+@register("board_preview")
+def q_board_preview(spark, sf_dir):
+    return BV.preview(Board(spark, sf_dir).vessels)
+
+
+@register("berth_utilisation")
+def q_berth_utilisation(spark, sf_dir):
+    return BV.berth_utilisation(Board(spark, sf_dir).metrics)
+
+
+@register("coverage_overlay")
+def q_coverage_overlay(spark, sf_dir):
+    """Covered ports against boards of the ports with tracked vessels."""
+    b = Board(spark, sf_dir)
+    return finish(BV.coverage_overlay(b.ports, b.metrics.filter("tracked > 0")))
+
+
+def _freshness(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    times = {"positions": "received_at", "weather": "obs_hour", "news": "fetched_at", "tides": "tide_ts"}
+    return BV.source_freshness(spark, times, {k: getattr(g.inp, k) for k in times}, g.as_of)
+
+
+@register("source_freshness")
+def q_source_freshness(spark, sf_dir):
+    return finish(_freshness(spark, sf_dir))
+
+
+@register("source_alarms")
+def q_source_alarms(spark, sf_dir):
+    return finish(BV.alarms(_freshness(spark, sf_dir)))

@@ -144,3 +144,6 @@ TARGET = "is_congested_24h"
 # --- Fixed values: board zone order and vessel states ---
 ZONE_ORDER = ["berth", "anchor", "approaching", "transit"]
 VESSEL_STATES = ["at_berth", "waiting_anchor", "inbound", "outbound", "transit_unknown"]
+
+#: Alarm limits (fixed values): the greatest age in minutes, the least rows of an hour.
+ALARM_LIMITS = [("positions", "age_minutes", 90.0), ("boards", "age_minutes", 120.0), ("positions", "rows_per_hour", 1.0)]
