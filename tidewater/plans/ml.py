@@ -51,7 +51,7 @@ def chronological_split(dataset: DataFrame, train: float = 0.70, val: float = 0.
     w = Window.orderBy("observation_hour").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (hourly.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
                .withColumn("_total", F.sum("_n").over(Window.partitionBy())))
-    d = dataset.join(F.broadcast(offsets.select("observation_hour", "_off", "_total")), "observation_hour")
+    d = dataset.join(offsets.select("observation_hour", "_off", "_total"), "observation_hour")
     idx = F.col("_off") + F.row_number().over(Window.partitionBy("observation_hour").orderBy("port_code")) - 1
     d = d.withColumn("_idx", idx)
     t_end = F.floor(F.col("_total") * train)
