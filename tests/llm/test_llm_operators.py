@@ -157,6 +157,23 @@ def test_quality_hosts(spark):
     assert kept == {900, 5000, *range(1000, 1200)}
 
 
+def test_quality_failing_host_among_many(spark):
+    """One wholly failing host among a thousand of 20 % failures is bad; small and slightly weaker hosts are not."""
+    from pyspark.sql import functions as F
+    good = spark.range(1000 * 500).selectExpr("concat('good', id % 1000) host", "id div 1000 % 5 = 0 weak")
+    more = spark.range(500).selectExpr("'failing' host", "true weak")
+    more = more.union(spark.range(3).selectExpr("'tiny' host", "true weak"))
+    more = more.union(spark.range(500).selectExpr("'weaker' host", "id % 10 < 3 weak"))
+    zero = {m: F.lit(0) for m in quality_rules.MEASURES}
+    rows = good.union(more).withColumns({**zero, "n_words": F.lit(100), "word_chars": F.lit(500), "base_failed": F.lit(False),
+                                         "n_symbols": F.when(F.col("weak"), 50).otherwise(0)})
+    assert {r.host for r in quality_rules.bad_hosts(rows).collect()} == {"failing"}
+    # a tenth of the hosts failing, and a lone host without failures
+    some = rows.withColumn("n_symbols", F.when(F.col("host").rlike("^good..?$"), 50).otherwise(F.col("n_symbols")))
+    assert {r.host for r in quality_rules.bad_hosts(some).collect()} == {"failing", *(f"good{i}" for i in range(100))}
+    assert quality_rules.bad_hosts(rows.filter("host = 'good1' and not weak")).count() == 0
+
+
 def naive_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     h = [xxhash.xxh64(" ".join(words[i:i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))]

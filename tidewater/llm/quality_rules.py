@@ -2,8 +2,10 @@
 
 Every text is measured once; base rules reject single documents.  Soft rules mark weak documents; their failures are
 counted by host (``source``), the hosts' failure rates are shrunk towards an empirical beta prior fitted by moments
-over all hosts, and a host whose shrunk rate reaches ``BAD_RATE`` is bad.  The verdict is joined back: a document of a
-bad host goes if it fails a soft rule itself; clean documents of any host stay.
+over all hosts, and a host whose shrunk rate reaches ``BAD_RATE`` is bad.  So is a host that stands out from the others:
+its posterior rate, less ``SIGMAS`` posterior deviations, is above the mean of the prior fitted to all other hosts by more
+than ``SIGMAS`` of that prior's deviations.  The verdict is joined back: a document of a bad host goes if it fails a soft
+rule itself; clean documents of any host stay.
 
 Measures are kept in a scratch table, so that the counts and the join read numbers and no text.  Counts are partial
 sums before their shuffle, so one host may hold any share of the rows.  The bad hosts are written before the join:
@@ -11,7 +13,7 @@ the optimizer broadcasts them only if their exact size is below its threshold, e
 
 Defined cases: null or blank text has no words and fails the base rules; a null source is a host of its own;
 repeated rows are measured each; with fewer than two hosts, or no spread between hosts, the prior is the overall rate
-with weight ``MIN_WEIGHT``.
+with weight ``MIN_WEIGHT``; a lone host has no others to stand out from.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ MIN_WORDS = 50
 #: Shrunk failure rate from which a host is bad, and the least weight (in documents) of the prior.
 BAD_RATE = 0.8
 MIN_WEIGHT = 10.0
+#: A host against the others: deviations it stands out by, the most weight and the least deviation of their prior (so
+#: that the prior of many like hosts neither outweighs a host's own documents nor makes every small difference a verdict).
+SIGMAS = 3.0
+MAX_WEIGHT = 100.0
+MIN_SPREAD = 0.05
 
 
 def _repeated_words(words: list[bytes]) -> int:
@@ -98,19 +105,39 @@ def soft_failed(of: Callable[[str], Column]) -> Column:
 
 
 def host_rates(measured: DataFrame) -> DataFrame:
-    """host, n, failed, rate: failure rates shrunk towards a beta prior fitted by moments over the hosts."""
+    """host, n, failed, rate, lower, limit: failure rates shrunk towards a beta prior fitted by moments over the hosts;
+    posterior lower bounds and their limits under the prior of the other hosts (null for a lone host)."""
     hosts = measured.groupBy("host").agg(F.count("*").alias("n"), F.sum(soft_failed(F.col).cast("long")).alias("failed"))
-    p = F.col("failed") / F.col("n")
+    p, inverse = F.col("failed") / F.col("n"), 1 / F.col("n")
     # one row of sums over the hosts
-    mean, between, inverse_n = hosts.agg(F.sum("failed") / F.sum("n"), F.var_pop(p), F.avg(1 / F.col("n"))).first()
+    mean, between, inverse_n, size, sum_p, sum_pp, sum_inverse = hosts.agg(
+        F.sum("failed") / F.sum("n"), F.var_pop(p), F.avg(inverse), F.count("*"), F.sum(p), F.sum(p * p),
+        F.sum(inverse)).first()
     mean, spread = mean or 0.0, (mean or 0.0) * (1 - (mean or 0.0))
     true_var = (between or 0.0) - spread * (inverse_n or 0.0)  # without the spread of finite hosts
     weight = max(spread / true_var - 1, MIN_WEIGHT) if true_var > 0 else MIN_WEIGHT
-    return hosts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("n") + weight))
+    rates = hosts.withColumn("rate", (F.col("failed") + mean * weight) / (F.col("n") + weight))
+    if size < 2:
+        return rates.withColumns({"lower": F.lit(None).cast("double"), "limit": F.lit(None).cast("double")})
+    others, rest = size - 1, F.lit(sum_p) - p
+    raw = rest / others
+    rates = rates.withColumn("_mean", F.least(F.greatest((rest + 0.5) / (others + 1), F.lit(0.0)), F.lit(1.0)))
+    m = F.col("_mean")
+    var = (F.lit(sum_pp) - p * p) / others - raw * raw - m * (1 - m) * (F.lit(sum_inverse) - inverse) / others
+    fitted = F.when(var > 0, F.least(F.greatest(m * (1 - m) / var - 1, F.lit(MIN_WEIGHT)), F.lit(MAX_WEIGHT)))
+    rates = rates.withColumn("_weight", F.coalesce(fitted, F.lit(MAX_WEIGHT)))  # others without spread are alike
+    w = F.col("_weight")
+    rates = rates.withColumn("_own", (F.col("failed") + m * w) / (F.col("n") + w))
+    own = F.col("_own")
+    rates = rates.withColumns({
+        "lower": own - SIGMAS * F.sqrt(own * (1 - own) / (F.col("n") + w + 1)),
+        "limit": m + SIGMAS * F.greatest(F.sqrt(m * (1 - m) / (w + 1)), F.lit(MIN_SPREAD))})
+    return rates.drop("_mean", "_weight", "_own")
 
 
 def bad_hosts(measured: DataFrame, bad_rate: float = BAD_RATE) -> DataFrame:
-    return saved(host_rates(measured).filter(F.col("rate") >= bad_rate).select("host"), "bad-hosts")
+    bad = (F.col("rate") >= bad_rate) | F.coalesce(F.col("lower") > F.col("limit"), F.lit(False))
+    return saved(host_rates(measured).filter(bad).select("host"), "bad-hosts")
 
 
 def _measured(docs: DataFrame) -> DataFrame:
