@@ -294,6 +294,31 @@ def test_license_alignment(spark, docs, rows, empty):
     assert license_scan.scan_documents(empty).count() == 0
 
 
+def test_license_neighbours():
+    """Neighbouring licenses and versions get their own name; all hits come with their spans."""
+    gnu = "This work is licensed under the GNU {} Public License, {}."
+    want = {"Licensed under CC BY 4.0.": "cc-by-4.0", "Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0",
+            "Licensed under CC BY-NC-SA 4.0.": "cc-by-nc-sa-4.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+            "Licensed under CC BY-NC 3.0.": "cc-by-nc-3.0", gnu.format("General", "version 2"): "gpl-2.0",
+            gnu.format("General", "version 3"): "gpl-3.0", gnu.format("Lesser General", "version 3"): "lgpl-3.0",
+            gnu.format("Lesser General", "version 2.1"): "lgpl-2.1", gnu.format("Affero General", "version 3"): "agpl-3.0",
+            gnu.format("General", "version 2.0"): "gpl-2.0", gnu.format("General", "version 2.7"): None,
+            "Licensed under the Apache License, Version 1.1.": "apache-1.1",
+            "Licensed under the Apache License 2.0.": "apache-2.0", "Released under the BSD 3-Clause License.": "bsd-3-clause",
+            "Released under the ISC License.": "isc", "Licensed under the Mozilla Public License, version 2.0.": "mpl-2.0",
+            "Released under the Unknown License.": None, "Licensed under the MIT License.": "mit"}
+    scanner = license_scan.Scanner()
+    assert {t: scanner.scan(f"Some words. {t} More words.")[0] for t in want} == want
+    for name, template in license_scan.TEMPLATES.items():
+        assert scanner.scan(template)[:2] == (name, 1.0)
+    text = "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0. Filler. Released under the MIT License. x Licensed under CC BY 4.0."
+    hits = scanner.scan(text)[6]
+    assert [(h["license"], text[h["start"]:h["end"]]) for h in hits] == [
+        ("cc-by-4.0", "Licensed under CC BY 4.0"), ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+        ("mit", "Released under the MIT License"), ("cc-by-4.0", "Licensed under CC BY 4.0")]
+    assert scanner.scan(text)[5] == 3
+
+
 def labelled(spark):
     rng = random.Random(3)
     words = [f"plain{i}" for i in range(300)]

@@ -1,8 +1,11 @@
 """License scans by patience alignment (operator 1).
 
 A template is aligned with a stretch of a text: words that occur once in both are anchors, the longest increasing
-subsequence of their places is kept, and the gaps between kept anchors are aligned the same way.  Coverage is the
-largest share of the template's words aligned inside a stretch of 1.5 template lengths.
+subsequence of their places is kept, and the gaps between kept anchors are aligned the same way; a gap without anchors by
+its equal heads and tails.  Coverage is the
+largest share of the template's words aligned inside a stretch of 1.5 template lengths.  Coverage alone doesn't tell
+neighbouring licenses apart, so each template has keys (``KEYS``): word sequences, as names and versions, of which each
+must be aligned whole, with nothing inserted, and a version must not go on (2 is not 2.1, but is 2.0).
 
 Stretches are found without loss: a coverage of ``MIN_COVERAGE`` leaves out fewer than r = (1 - MIN_COVERAGE) * words + 1
 of the template's words, so every hit holds one of any r of them.  For each text the r words with the fewest
@@ -11,7 +14,8 @@ aligned twice: with half a template length to spare on both sides, for notices w
 for notices that follow each other closely (their words are not unique in the wider stretch).
 
 Defined cases: null and empty texts, and texts without a hit, have a null license, coverage 0 and no place; of several
-hits the one with the most words aligned wins, then the larger coverage, then the name; repeated rows are scanned each.
+hits the one with the most words aligned wins, then the larger coverage, then the name; ``hits`` has all of them, those of
+one template without overlap, in order of their places, and ``n_licenses`` counts their names; repeated rows are scanned each.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ from tidewater.llm.common import slices
 
 MIN_COVERAGE = 0.8
 REACH = 1.5
-SCHEMA = "doc_id long, license string, coverage double, n_aligned long, start long, end long, n_licenses long"
+SCHEMA = "doc_id long, license string, coverage double, n_aligned long, start long, end long, n_licenses long, "\
+         "hits array<struct<license:string,coverage:double,n_aligned:long,start:long,end:long>>"
 _WORD = re.compile(r"\w+")
 
 #: License notices as published.
@@ -56,6 +61,74 @@ TEMPLATES = {
         substantial portions of the Software.""",
 }
 
+#: Word sequences that tell a template from its neighbours' texts.
+KEYS = {"apache-2.0": ["apache", "2 0"], "apache-2.0-notice": ["apache", "2 0"], "cc-by-nc-4.0": ["cc by nc 4 0"],
+        "gpl-3.0": ["gnu general public license", "version 3"],
+        "gpl-3.0-notice": ["gnu general public license", "version 3"], "mit": ["mit license"]}
+
+
+def _add(name: str, text: str, *keys: str) -> None:
+    if name not in TEMPLATES:
+        TEMPLATES[name], KEYS[name] = text, [*keys]
+
+
+def _add_neighbours() -> None:
+    """Neighbouring licenses and versions, in the wordings of the templates above."""
+    for v in ("1.0", "1.1"):
+        _add(f"apache-{v}", f"Licensed under the Apache License, Version {v}.", "apache", v.replace(".", " "))
+    parts = {"nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+    for kind in ("", "nc", "sa", "nd", "nc-sa", "nc-nd"):
+        short = "-".join(["by", *filter(None, [kind])])
+        full = "-".join(["Attribution", *(parts[k] for k in kind.split("-") if k)])
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            number = v.replace(".", " ")
+            area = {"4.0": "International", "3.0": "Unported"}.get(v, "Generic")
+            _add(f"cc-{short}-{v}", f"Licensed under CC {short.upper()} {v}.", f"cc {short.replace('-', ' ')} {number}")
+            _add(f"cc-{short}-{v}-notice", f"This work is licensed under a Creative Commons {full} {v} {area} License.",
+                 f"creative commons {full.lower().replace('-', ' ')} {number}")
+    _add("cc0-1.0", "Released under CC0 1.0.", "cc0 1 0")
+    notice = TEMPLATES["gpl-3.0-notice"]
+    for name, title, v in (("gpl-1.0", "General", "1"), ("gpl-2.0", "General", "2"), ("gpl-3.0", "General", "3"),
+                           ("lgpl-2.0", "Library General", "2"), ("lgpl-2.1", "Lesser General", "2.1"),
+                           ("lgpl-3.0", "Lesser General", "3"), ("agpl-3.0", "Affero General", "3")):
+        gnu, key, number = f"GNU {title} Public License", f"gnu {title.lower()} public license", v.replace(".", " ")
+        _add(name, f"This work is licensed under the {gnu}, version {v}.", key, f"version {number}")
+        _add(f"{name}-v", f"This work is licensed under the {gnu} v{v}.", f"{key} v{number}")
+        _add(f"{name}-notice", notice.replace("GNU General Public License", gnu).replace("version 3", f"version {v}"), key,
+             f"version {number}")
+    for name, title, versions in (("mpl", "Mozilla Public", ("1.0", "1.1", "2.0")), ("epl", "Eclipse Public", ("1.0", "2.0")),
+                                  ("artistic", "Artistic", ("1.0", "2.0")), ("bsl", "Boost Software", ("1.0",)),
+                                  ("cddl", "Common Development and Distribution", ("1.0", "1.1")),
+                                  ("eupl", "European Union Public", ("1.1", "1.2")), ("ofl", "SIL Open Font", ("1.0", "1.1"))):
+        for v in versions:
+            _add(f"{name}-{v}", f"Licensed under the {title} License, version {v}.", f"{title.lower()} license", v.replace(".", " "))
+    _add("mpl-2.0-notice", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
+        the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+         "mozilla public license", "2 0")
+    for name, title in (("bsd", "BSD"), ("bsd-2-clause", "BSD 2-Clause"), ("bsd-3-clause", "BSD 3-Clause"),
+                        ("bsd-4-clause", "BSD 4-Clause"), ("isc", "ISC"), ("zlib", "zlib"), ("mit-0", "MIT No Attribution")):
+        _add(name, f"Released under the {title} License.", f"{title.lower().replace('-', ' ')} license")
+    _add("unlicense", "Released under the Unlicense.", "unlicense")
+    terms = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution."""
+    advert = """All advertising materials mentioning features or use of this software must display the following
+        acknowledgement:"""
+    names = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission."""
+    _add("bsd-2-clause-notice", f"{terms} THIS SOFTWARE IS PROVIDED", "with the distribution this software is provided")
+    _add("bsd-3-clause-notice", f"{terms} {names}", "with the distribution neither the name")
+    _add("bsd-3-clause-numbered-notice", f"{terms} 3. {names}", "with the distribution 3 neither the name")
+    _add("bsd-4-clause-notice", f"{terms} {advert}", "all advertising materials")
+    _add("isc-notice", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+         "with or without fee is hereby granted", "provided that the above copyright notice")
+
+
+_add_neighbours()
+
 
 def increasing(places: list[int]) -> list[int]:
     """Indices of a longest increasing subsequence of distinct numbers."""
@@ -84,7 +157,13 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
         once = Counter(template[c:d])
         place = {w: i for i, w in enumerate(text[a:b], a) if n[w] == 1 and once.get(w) == 1}
         anchors = [(place[w], j) for j, w in enumerate(template[c:d], c) if w in place]
-        if not anchors:
+        if not anchors:  # words that repeat: equal heads and tails of the gap
+            while a < b and c < d and text[a] == template[c]:
+                out.append((a, c))
+                a, c = a + 1, c + 1
+            while a < b and c < d and text[b - 1] == template[d - 1]:
+                b, d = b - 1, d - 1
+                out.append((b, d))
             continue
         kept = [anchors[i] for i in increasing([i for i, _ in anchors])]
         out += kept
@@ -94,62 +173,105 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE,
+                 keys: dict[str, list[str]] = KEYS):
         self.min_coverage = min_coverage
         words = {name: _WORD.findall(t.lower()) for name, t in templates.items()}
         self.ids = {w: i for i, w in enumerate(dict.fromkeys(w for t in words.values() for w in t))}
         self.templates = {name: [self.ids[w] for w in t] for name, t in words.items() if t}
+        # of each template: per key its length, its places in the template, and if it ends in a number
+        self.keys, self.key_words = {}, {}
+        for name in self.templates:
+            own = [_WORD.findall(k.lower()) for k in keys.get(name, [])]
+            self.keys[name] = [(len(k), [j for j in range(len(words[name])) if words[name][j:j + len(k)] == k], k[-1][-1].isdigit())
+                               for k in own]
+            self.key_words[name] = frozenset(self.ids.get(w, -1) for k in own for w in k)
 
-    def _best(self, text: list[int], places: dict[int, list[int]], template: list[int]) -> tuple[int, int, int] | None:
-        """(words aligned, first, last place) of the best stretch that covers enough of the template."""
-        m = len(template)
+    def _keyed(self, pairs: list[tuple[int, int]], keys: list, goes_on: set[int]) -> list[list[tuple[int, int]]]:
+        """Of each key: (text places of the first, last word) where it is aligned whole with nothing inserted."""
+        text_at = {j: i for i, j in pairs}
+        out = []
+        for size, starts, number in keys:
+            found = []
+            for j in starts:
+                i = text_at.get(j)
+                if (i is not None and all(text_at.get(j + k) == i + k for k in range(size))
+                        and not (number and i + size - 1 in goes_on)):
+                    found.append((i, i + size - 1))
+            out.append(found)
+        return out
+
+    def _hits(self, text: list[int], places: dict[int, list[int]], name: str, goes_on: set[int]) -> list[tuple[int, int, int]]:
+        """(words aligned, first, last place) of the stretches that cover enough of the template, without overlap."""
+        template, m = self.templates[name], len(self.templates[name])
         spare = m - max(1, -int(-self.min_coverage * m // 1)) + 1  # any so many words meet every hit
         rare = sorted(range(m), key=lambda j: (len(places.get(template[j], ())), j))[:spare]
         reach, step = int(REACH * m) + 1, max(1, m // 8)
         laid = {(p - j) // step * step for j in rare for p in places.get(template[j], ())}
-        best = None
+        found = set()
         for spare in (m // 2, m // 8):
             for at in sorted(laid):
                 first = max(0, at - spare)
-                pairs = [i + first for i, _ in align(text[first:at + m + spare + step], template)]
+                both = [(i + first, j) for i, j in align(text[first:at + m + spare + step], template)]
+                if len(both) < self.min_coverage * m:
+                    continue
+                keyed = self._keyed(both, self.keys[name], goes_on)
+                if not all(keyed):
+                    continue
+                pairs = [i for i, _ in both]
                 low = 0
                 for high, p in enumerate(pairs):
                     while p - pairs[low] >= reach:
                         low += 1
                     n = high - low + 1
-                    if n >= self.min_coverage * m and (best is None or n > best[0]):
-                        best = (n, pairs[low], p)
-        return best
+                    if n >= self.min_coverage * m and all(any(a >= pairs[low] and b <= p for a, b in k) for k in keyed):
+                        found.add((n, pairs[low], p))
+        out: list[tuple[int, int, int]] = []
+        ends: list[tuple[int, int]] = []  # accepted stretches in order
+        for n, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            i = bisect_left(ends, (a, b))
+            if (i == 0 or ends[i - 1][1] < a) and (i == len(ends) or ends[i][0] > b):
+                ends.insert(i, (a, b))
+                out.append((n, a, b))
+        return out
 
     def scan(self, text: str | None) -> tuple:
-        """license, coverage, n_aligned, start, end (characters), n_licenses."""
+        """license, coverage, n_aligned, start, end (characters), n_licenses, hits."""
         low = (text or "").lower()
         words = [self.ids.get(w, -1) for w in _WORD.findall(low)]
         places: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             if w >= 0:
                 places[w].append(i)
-        hits = []
+        spans, goes_on, hits = None, set(), []
         for name, template in self.templates.items():
+            if not self.key_words[name] <= places.keys():
+                continue
             if sum(w in places for w in template) < self.min_coverage * len(template):
                 continue
-            if found := self._best(words, places, template):
-                hits.append((-found[0], -found[0] / len(template), name, found))
+            if spans is None:
+                spans = [m.span() for m in _WORD.finditer(low)]
+                # words that a point and a number other than 0 follow at once
+                goes_on = {i for i, ((_, a), (b, c)) in enumerate(zip(spans, spans[1:], strict=False))
+                           if low[a:b] == "." and low[b:c].isdigit() and low[b:c].strip("0")}
+            hits += [(-n, -n / len(template), name, a, b) for n, a, b in self._hits(words, places, name, goes_on)]
         if not hits:
-            return None, 0.0, 0, None, None, 0
-        _, coverage, name, (n, first, last) = min(hits)
-        spans = [m.span() for m in _WORD.finditer(low)]
-        return name, -coverage, n, spans[first][0], spans[last][1], len(hits)
+            return None, 0.0, 0, None, None, 0, []
+        told = [{"license": name, "coverage": -coverage, "n_aligned": -n, "start": spans[a][0], "end": spans[b][1]}
+                for n, coverage, name, a, b in sorted(hits, key=lambda x: (x[3], x[4], x[2]))]
+        n, coverage, name, first, last = min(hits)
+        return name, -coverage, -n, spans[first][0], spans[last][1], len({h[2] for h in hits}), told
 
 
 def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
                    min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """The best license of every row; one row per input row."""
+    """The best license and all hits of every row; one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, min_coverage)
-        kinds = [pa.string(), pa.float64(), *[pa.int64()] * 4]
-        names = ["doc_id", "license", "coverage", "n_aligned", "start", "end", "n_licenses"]
+        hit = pa.struct([("license", pa.string()), ("coverage", pa.float64()), *((n, pa.int64()) for n in ("n_aligned", "start", "end"))])
+        kinds = [pa.string(), pa.float64(), *[pa.int64()] * 4, pa.list_(hit)]
+        names = ["doc_id", "license", "coverage", "n_aligned", "start", "end", "n_licenses", "hits"]
         for b in slices(batches):
             columns = zip(*(scanner.scan(t) for t in b.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, columns, kinds)], names=names)
