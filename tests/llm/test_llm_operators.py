@@ -391,6 +391,38 @@ def test_language(spark, empty):
     assert language_crf.identify(empty).count() == 0
 
 
+def test_messages_by_document_match_blocks():
+    from tidewater.llm import crf
+    rng = np.random.default_rng(6)
+    e, trans, first = rng.random((40, 3)) + 0.1, rng.random((3, 3)) + 0.1, rng.random(3) + 0.1
+    start = rng.random(40) < 0.2
+    start[0] = True
+    a, b = crf._by_block(e, start, trans, first, 8), crf._by_document(e, start, trans, first)
+    for x, y in zip(a, b, strict=True):
+        np.testing.assert_allclose(x / x.sum(1, keepdims=True), y / y.sum(1, keepdims=True), rtol=1e-9)
+
+
+def test_letters_in_the_middle_are_read():
+    """Languages that differ only in the middle of long words, and unspaced scripts; toxic stems inside joined words."""
+    rng = random.Random(9)
+    joined = lambda stem: "".join(rng.choices("abcde", k=9)) + stem + "".join(rng.choices("abcde", k=9))
+    texts = [(" ".join(joined(rng.choice(stems)) for _ in range(12)), lang) for _ in range(60)
+             for lang, stems in (("xx", ["korom", "mikul"]), ("yy", ["strag", "thurm"]))]
+    han = {"zh": "的一是不了人我在有他", "ja": "日本語学校食水火木金"}
+    texts += [("一" * 8 + "".join(rng.choices(own, k=40)) + "一" * 3, lang) for _ in range(60) for lang, own in han.items()]
+    model = language_crf.fit([t for t, _ in texts[:200]], [lang for _, lang in texts[:200]])
+    got = model.predict([t for t, _ in texts[200:]], language_crf.WordScores(model.crf, model.features))
+    assert [g[0] for g in got] == [lang for _, lang in texts[200:]]
+    assert language_crf.words_of("abc日本語 x") == ["abc", "日本", "本語", "x"]
+    test = [" ".join(joined(s) for s in (["korom"] if lang == "xx" else ["strag"]) * 6) for lang in ("xx", "yy")]
+    assert [p[0] for p in model.predict(test, language_crf.WordScores(model.crf, model.features))] == ["xx", "yy"]
+    docs = [" ".join(joined("vile" if i % 3 == 0 and j == 5 else "") for j in range(10)) for i in range(300)]
+    tox = toxicity_crf.fit(docs[:240], [int(i % 3 == 0) for i in range(240)])
+    scores, spans = tox.tag(docs[240:], toxicity_crf.WordScores(tox.crf, toxicity_crf.features))
+    assert sum((s >= 0.5) == (i % 3 == 0) for i, s in enumerate(scores, 240)) >= 54  # 40 are clean
+    assert all("vile" in docs[240 + i][a:b] for i, own in enumerate(spans) for a, b in own)
+
+
 def test_held_out_language_on_documents(spark):
     from tidewater.llm.common import table
     docs = table(spark, "/root/testdata/sf0.001", "documents")

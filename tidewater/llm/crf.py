@@ -4,11 +4,13 @@ A word's emission depends on the word alone, so every distinct word is scored on
 messages run over all documents of a slice at once: the concatenated words are cut into equal blocks, each block's
 matrix product is built for all blocks in step, the products are chained, and the messages inside all blocks are again
 built in step.  A document's first word has a transition that forgets what stands before, so the work per word does
-not depend on how long single documents are.
+not depend on how long single documents are.  Block products cost the cube of the labels, so with many labels the documents
+themselves, grouped by length, are walked through in step.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -19,18 +21,40 @@ MAX_WORDS = 150_000
 STEPS = 128
 #: Weights that stay below this for all labels after training are left out of a model.
 LEAST_WEIGHT = 0.02
-
-
-def forward_backward(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarray,
-                     steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (words x labels), and expected transitions (labels x labels, documents' first words left out).
-
-    ``e``: positive emission potentials; ``start``: marks documents' first words; ``trans`` and ``first``: positive
-    transition and first-word potentials.
-    """
+#: Labels from which documents are walked through instead of blocks; words x labels trained or kept at once.
+MANY_LABELS = 17
+CELLS = 4_000_000
+#: Letters of scripts that put no spaces between words (Thai, Lao, Burmese, Khmer, Japanese, Chinese).
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf"
+                      "\u4e00-\u9fff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
+
+
+def word_spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """Places of the words of a text; stretches of an unspaced script are cut into overlapping pairs of letters."""
+    out = []
+    for m in pattern.finditer(text):
+        at, end = m.span()
+        for u in UNSPACED.finditer(text, at, end):
+            a, b = u.span()
+            if a > at:
+                out.append((at, a))
+            out += [(i, i + 2) for i in range(a, b - 1)] or [(a, b)]
+            at = b
+        if at < end:
+            out.append((at, end))
+    return out
+
+
+def words_in(pattern: re.Pattern, text: str) -> list[str]:
+    """The words at ``word_spans``."""
+    if text.isascii() or not UNSPACED.search(text):
+        return pattern.findall(text)
+    return [text[a:b] for a, b in word_spans(pattern, text)]
+
+
+def _by_block(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarray, steps: int) -> list[np.ndarray]:
+    """Forward and backward messages (words x labels each), in equal blocks."""
     n, k = e.shape
-    if not n:
-        return np.zeros((0, k)), np.zeros((k, k))
     steps = min(steps, n)
     blocks = -(-n // steps)
     pad = blocks * steps - n
@@ -70,7 +94,43 @@ def forward_backward(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first:
         if s.any():
             y[s] = (x[s] @ first)[:, None]
         b = y / y.sum(1, keepdims=True)
-    flat = [x.transpose(1, 0, 2).reshape(-1, k)[:n] for x in (alpha, beta)]
+    return [x.transpose(1, 0, 2).reshape(-1, k)[:n] for x in (alpha, beta)]
+
+
+def _by_document(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """As ``_by_block``, in step over documents whose lengths differ by less than a factor of two."""
+    n, k = e.shape
+    heads = np.union1d([0], np.flatnonzero(start))
+    sizes = np.diff(np.r_[heads, n])
+    kind = np.ceil(np.log2(sizes)).astype(int)
+    alpha, beta = np.empty((n, k)), np.empty((n, k))
+    for c in np.unique(kind):
+        head, size = heads[kind == c], sizes[kind == c]
+        for t in range(int(size.max())):
+            on = np.flatnonzero(size > t)
+            at = head[on] + t
+            x = (alpha[at - 1] @ trans if t else first) * e[at]
+            alpha[at] = x / x.sum(1, keepdims=True)
+        for t in range(int(size.max()) - 1, -1, -1):
+            beta[head[size == t + 1] + t] = 1 / k
+            at = head[size > t + 1] + t
+            if len(at):
+                y = (e[at + 1] * beta[at + 1]) @ trans.T
+                beta[at] = y / y.sum(1, keepdims=True)
+    return [alpha, beta]
+
+
+def forward_backward(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first: np.ndarray,
+                     steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (words x labels), and expected transitions (labels x labels, documents' first words left out).
+
+    ``e``: positive emission potentials; ``start``: marks documents' first words; ``trans`` and ``first``: positive
+    transition and first-word potentials.
+    """
+    n, k = e.shape
+    if not n:
+        return np.zeros((0, k)), np.zeros((k, k))
+    flat = _by_document(e, start, trans, first) if k >= MANY_LABELS else _by_block(e, start, trans, first, steps)
     marginal = flat[0] * flat[1]
     marginal /= marginal.sum(1, keepdims=True)
     inner = np.flatnonzero(~start[1:]) + 1
@@ -79,6 +139,13 @@ def forward_backward(e: np.ndarray, start: np.ndarray, trans: np.ndarray, first:
     return marginal, trans * ((left / weight).T @ right)
 
 
+def _ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Rows one after another, the place of the list that each is from, and the number of lists."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return (np.fromiter((r for own in rows for r in own), np.int64, int(sizes.sum())), np.repeat(np.arange(len(rows)), sizes),
+            len(rows))
+
+
 @dataclass
 class Crf:
     """Features' rows (0: none), weights (rows x labels), log transitions, log first-word scores."""
@@ -89,9 +156,10 @@ class Crf:
     first: np.ndarray
 
     def emissions(self, features: Iterable[Iterable[str]]) -> np.ndarray:
-        """Positive potentials of words from their features (as many for each word)."""
+        """Positive potentials of words from their features (any number for each word)."""
         row = self.rows.get
-        s = self.weights[np.array([[row(f, 0) for f in own] for own in features])].sum(1, dtype=np.float64)
+        slot, owner, n = _ragged([[row(f, 0) for f in own] for own in features])
+        s = np.stack([np.bincount(owner, w[slot], n) for w in self.weights.T], 1)
         return np.exp(np.maximum(s - s.max(1, keepdims=True), -30))
 
     def marginals(self, e: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -102,32 +170,36 @@ def train(features: list[list[str]], words: np.ndarray, start: np.ndarray, label
           rounds: int = 20, rate: float = 0.4, decay: float = 1e-6) -> Crf:
     """Maximum conditional likelihood by Adam on the full gradient.
 
-    ``features``: those of each distinct word (as many for each); ``words``: the sequences' words as places in
-    ``features``; ``start`` marks first words; ``labels``: the label of each word.
+    ``features``: those of each distinct word (any number); ``words``: the sequences' words as places in ``features``;
+    ``start`` marks first words; ``labels``: the label of each word.  Sequences run in parts of some ``CELLS`` marginals.
     """
     k, n = n_labels, len(words)
     rows = {"": 0}
-    slot = np.array([[rows.setdefault(f, len(rows)) for f in own] for own in features])
+    slot, owner, distinct = _ragged([[rows.setdefault(f, len(rows)) for f in own] for own in features])
     used = np.arange(len(rows))
     model = Crf(rows, np.zeros((0, k)), np.zeros((k, k)), np.zeros(k))
-    gold = np.zeros((n, k))
-    gold[np.arange(n), labels] = 1
     inner = np.flatnonzero(~start[1:]) + 1
     seen = np.bincount(labels[inner - 1] * k + labels[inner], minlength=k * k).reshape(k, k)
     heads = np.flatnonzero(start)
+    part = np.searchsorted(heads, np.arange(0, n, max(1, CELLS // k)))
+    parts = np.unique(np.r_[0, heads[part[part < len(heads)]], n])
     w = np.zeros((len(used), k))
     params = [w, model.trans, model.first]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for r in range(1, rounds + 1):
-        s = w[slot].sum(1)
-        e = np.exp(np.maximum(s - s.max(1, keepdims=True), -30))[words]
-        marginal, pairs = forward_backward(e, start, np.exp(model.trans), np.exp(model.first))
-        miss = marginal - gold
-        per_word = np.stack([np.bincount(words, miss[:, j], len(features)) for j in range(k)], 1)
-        per_slot = np.stack([np.bincount(slot.ravel(), np.repeat(per_word[:, j], slot.shape[1]), len(used))
-                             for j in range(k)], 1)
+        s = np.stack([np.bincount(owner, w[slot, j], distinct) for j in range(k)], 1)
+        word_e = np.exp(np.maximum(s - s.max(1, keepdims=True), -30))
+        per_word, pairs, at_first = np.zeros((distinct, k)), np.zeros((k, k)), np.zeros(k)
+        for a, b in zip(parts, parts[1:], strict=False):
+            miss, part_pairs = forward_backward(word_e[words[a:b]], start[a:b], np.exp(model.trans), np.exp(model.first))
+            miss[np.arange(b - a), labels[a:b]] -= 1
+            pairs += part_pairs
+            at_first += miss[start[a:b]].sum(0)
+            for j in range(k):
+                per_word[:, j] += np.bincount(words[a:b], miss[:, j], distinct)
+        per_slot = np.stack([np.bincount(slot, per_word[owner, j], len(used)) for j in range(k)], 1)
         per_slot[used == 0] = 0
-        grads = [per_slot / n + decay * w, (pairs - seen) / n, (marginal[heads] - gold[heads]).sum(0) / n]
+        grads = [per_slot / n + decay * w, (pairs - seen) / n, at_first / n]
         for p, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -145,7 +217,8 @@ class WordScores:
     """Emissions of words, each distinct word's computed once; the table is bounded."""
 
     def __init__(self, crf: Crf, features: Callable[[str], list[str]], max_words: int = MAX_WORDS):
-        self.crf, self.features, self.max_words = crf, features, max_words
+        self.crf, self.features = crf, features
+        self.max_words = min(max_words, CELLS // crf.weights.shape[1])
         self.at: dict[str, int] = {}
         self.table = np.zeros((0, crf.weights.shape[1]))
 

@@ -1,7 +1,8 @@
 """Language identification by a linear-chain conditional random field over words (operator 9).
 
 Labels are the languages of the sample.  Features of a word: itself if the lexicon (words of several sample texts)
-holds it, prefixes, suffixes and character trigrams with the word's borders.  The field is fitted on the driver from a bounded sample:
+holds it, a prefix, suffixes and all character trigrams with the word's borders.  Unspaced scripts have pairs of letters
+for words.  The field is fitted on the driver from a bounded sample:
 ``PER_LANG`` texts of each of the ``MAX_LANGS`` most frequent languages in order of their id's hash, none longer than
 ``MAX_CHARS``, none held out.  Sample texts are cut into stretches and spliced at random (fixed seed), so that the
 transitions learn how rarely the language changes inside a text, as it does in code-switched ones.
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.crf import Crf, WordScores, train
+from tidewater.llm.crf import Crf, WordScores, train, words_in
 from tidewater.llm.toxicity_crf import fold
 
 FOLDS, HELD = 4, 2
@@ -38,8 +39,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters; none if the text has no letter at all."""
-    words = _WORD.findall((text or "").lower())
+    """Lower-cased runs of letters, pairs of letters in unspaced scripts; none if the text has no letter at all."""
+    words = words_in(_WORD, (text or "").lower())
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
@@ -49,8 +50,8 @@ class Features:
 
     def __call__(self, word: str) -> list[str]:
         mark = f"^{word}$"
-        return [word if word in self.lexicon else "", mark[:3], mark[:4], mark[-2:], mark[-3:], mark[-4:],
-                mark[2:5], mark[3:6], mark[4:7], mark[5:8]]
+        return [word if word in self.lexicon else "", mark[:4], mark[-2:], mark[-4:],
+                *(mark[i:i + 3] for i in range(len(mark) - 2))]
 
 
 @dataclass

@@ -1,8 +1,8 @@
 """Toxicity by a linear-chain conditional random field (operator 2).
 
 Fitting (driver, on a bounded sample: ``PER_CLASS`` labelled texts of each class in order of their id's hash, none
-longer than ``MAX_CHARS``, none held out, texts that mostly repeat earlier ones left out): cues are words, or first four
-or five letters, that occur in toxic texts ``ODDS`` times as often as in the others.  They are chosen greedily, the cue
+longer than ``MAX_CHARS``, none held out, texts that mostly repeat earlier ones left out): cues are words, first four or
+five letters, or four letters anywhere in a word, that occur in toxic texts ``ODDS`` times as often as in the others.  They are chosen greedily, the cue
 of the most texts not yet explained by ``DEPTH`` others first, so that a word which only keeps company with cues is none.
 Words of a toxic text with a cue are labelled toxic tokens; all other words are clean tokens.  The field learns from
 these tokens; a logistic layer over the documents' aggregated marginals learns from their labels.
@@ -10,6 +10,8 @@ these tokens; a logistic layer over the documents' aggregated marginals learns f
 Scoring (every whole text, on Spark): forward-backward marginals of all words; the largest, their sum and their share
 make the score; runs of words with a marginal of a half or more are the offending spans (character offsets).
 
+Unspaced scripts have pairs of letters for words.
+
 Defined cases: null and empty texts have no words and get the score of no evidence; labels that are null are not used,
 several labels of one id count as toxic if one is; without labels of both classes all scores are the share of toxic
 labels (0 without any); held_out is false for a null id, which is never learned from.
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import small_batches
-from tidewater.llm.crf import Crf, WordScores, train
+from tidewater.llm.crf import Crf, WordScores, train, word_spans, words_in
 
 FOLDS = 5
 PER_CLASS = 1200
@@ -37,6 +39,7 @@ MAX_CHARS = 6_000
 ODDS = 20.0
 #: Toxic texts that a cue explains at least: three, or this share of them.
 LEAST_SHARE = 0.005
+LEAST_TEXTS = 3
 DEPTH = 2
 #: Characters scored at once.
 SLICE_CHARS = 1_000_000
@@ -45,8 +48,17 @@ RESULT = "score double, spans array<struct<start:long,end:long>>"
 
 
 def features(word: str) -> list[str]:
-    """Features of a lower-cased word: itself, its prefixes, its ending, and one that all share."""
-    return [word, "4" + word[:4], "5" + word[:5], "e" + word[-3:], "all"]
+    """Features of a lower-cased word: itself, its prefixes, its ending, all its runs of four letters, one that all share."""
+    return [word, "4" + word[:4], "5" + word[:5], "e" + word[-3:], "all", *_grams(word)]
+
+
+def _grams(word: str) -> list[str]:
+    return ["g" + word[i:i + 4] for i in range(max(1, len(word) - 3))]
+
+
+def _signs(word: str) -> list[str]:
+    """What may be a cue: the word, its marked prefixes, its runs of four letters."""
+    return [word, "4" + word[:4], "5" + word[:5], *_grams(word)]
 
 
 def fold(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
@@ -76,7 +88,7 @@ class ToxicityModel:
 
     def tag(self, texts: list[str | None], scores: WordScores) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
         """Scores, and offending spans as character offsets, of whole texts."""
-        words = [_WORD.findall((t or "").lower()) for t in texts]
+        words = [words_in(_WORD, (t or "").lower()) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         if self.crf is None:
             return self.score(np.zeros((len(texts), 3))), [[] for _ in texts]
@@ -96,7 +108,7 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     low = text.lower()
     if len(low) != len(text):  # a few characters have longer lower-case forms
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    places = [m.span() for m in _WORD.finditer(low)]
+    places = word_spans(_WORD, low)
     if len(places) != len(hit):
         return [(0, len(text))]
     edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
@@ -116,17 +128,17 @@ def _fresh(docs: list[list[str]], size: int = 5) -> list[int]:
 
 
 def _cues(docs: list[list[str]], y: np.ndarray) -> set[str]:
-    """Words and marked prefixes that explain the toxic texts (greedy cover)."""
+    """Signs of words (``_signs``) that explain the toxic texts (greedy cover)."""
     where: dict[str, list[int]] = {}
     clean: Counter[str] = Counter()
     for i, (words, label) in enumerate(zip(docs, y, strict=True)):
-        for f in {f for w in set(words) for f in (w, "4" + w[:4], "5" + w[:5])}:
+        for f in {f for w in set(words) for f in _signs(w)}:
             if label:
                 where.setdefault(f, []).append(i)
             else:
                 clean[f] += 1
     n_clean, n_toxic = int((y == 0).sum()), int((y == 1).sum())
-    least = max(3, int(LEAST_SHARE * n_toxic))
+    least = max(LEAST_TEXTS, int(LEAST_SHARE * n_toxic))
     where = {f: d for f, d in where.items() if len(d) >= least
              and (len(d) + 0.5) / (n_toxic + 1) >= ODDS * (clean[f] + 0.5) / (n_clean + 1)}
     heap = [(-len(d), f) for f, d in where.items()]
@@ -150,18 +162,22 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, np.zeros(4), float(y.mean()) if len(y) else 0.0)
-    docs = [_WORD.findall((t or "").lower()) for t in texts]
+    docs = [words_in(_WORD, (t or "").lower()) for t in texts]
     fresh = _fresh(docs)
     docs, y = [docs[i] for i in fresh], y[fresh]
     cue = _cues(docs, y)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in docs for w in words))}
-    is_cue = np.array([w in cue or "4" + w[:4] in cue or "5" + w[:5] in cue for w in vocabulary], bool)
+    is_cue = np.array([not cue.isdisjoint(_signs(w)) for w in vocabulary], bool)
     sizes = np.array([len(w) for w in docs])
     words = np.fromiter((vocabulary[w] for d in docs for w in d), np.int64, int(sizes.sum()))
     start = np.zeros(len(words), bool)
     start[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
     tokens = (is_cue[words] & (np.repeat(y, sizes) == 1)).astype(np.int64)
-    model = ToxicityModel(train([features(w) for w in vocabulary], words, start, tokens, 2), np.zeros(4))
+    # what stands in fewer texts than any cue would only learn its own words by heart
+    own = [features(w) for w in vocabulary]
+    seen = Counter(f for d in docs for f in {f for w in set(d) for f in own[vocabulary[w]]})
+    own = [[f for f in fs if f == "all" or seen[f] >= LEAST_TEXTS] for fs in own]
+    model = ToxicityModel(train(own, words, start, tokens, 2), np.zeros(4))
     scores = WordScores(model.crf, features, max_words=len(vocabulary) + 1)
     x = model.aggregate(model.crf.marginals(scores.potentials(docs), start)[:, 1], sizes)
     x1, layer = np.c_[np.ones(len(x)), x], np.zeros(4)
