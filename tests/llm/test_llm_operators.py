@@ -354,6 +354,19 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity_crf.score_documents(docs, labels.filter("false")).collect()} == {0.0}
 
 
+def test_many_languages_and_long_texts(spark):
+    """Every language is a label, be it the 104th or one whose texts are all long."""
+    rng = random.Random(4)
+    stems = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(104 * 5)]
+    say = lambda lang, n: " ".join(rng.choice(stems[5 * lang:5 * lang + 5]) for _ in range(n))
+    data = [(i * 200 + j, say(i, 3000 if i == 0 else 12), f"l{i:03}", "s", 0, "", "")
+            for i in range(104) for j in range(4 if i == 103 else 6)]
+    model = language_crf.fit_documents(spark.createDataFrame(data, SCHEMA))
+    assert model.langs == sorted({d[2] for d in data})
+    got = model.predict([d[1] for d in data], language_crf.WordScores(model.crf, model.features))
+    assert all(g[0] == d[2] for g, d in zip(got, data, strict=True))
+
+
 def test_forward_backward_matches_enumeration():
     from itertools import product
 

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.session import scratch_path
 
@@ -30,6 +31,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(text: str, most: Column) -> Column:
+    """The column ``text``; of one over ``most`` characters, four stretches from its beginning to its end."""
+    n, part = F.length(text), F.floor(most / 4).cast("int")
+    cut = [F.substring(F.col(text), F.floor((n - part) * k / 3).cast("int") + 1, part) for k in range(4)]
+    return F.when(n <= most, F.col(text)).otherwise(F.concat_ws("\n", *cut))
+
+
 def small_batches(docs: DataFrame) -> DataFrame:
     """``docs``, after a bound on the Arrow batches of its session: texts cross to Python a few megabytes at a time
     (one row at least), in the JVM's buffers as well as in the Python tasks."""

@@ -3,8 +3,8 @@
 Labels are the languages of the sample.  Features of a word: itself if the lexicon (words of several sample texts)
 holds it, a prefix, suffixes and all character trigrams with the word's borders.  Unspaced scripts have pairs of letters
 for words.  The field is fitted on the driver from a bounded sample:
-``PER_LANG`` texts of each of the ``MAX_LANGS`` most frequent languages in order of their id's hash, none longer than
-``MAX_CHARS``, none held out.  Sample texts are cut into stretches and spliced at random (fixed seed), so that the
+``PER_LANG`` texts of every language in order of their id's hash, of long ones stretches of ``MAX_CHARS`` in all (less with
+many languages, ``SAMPLE_CHARS`` over all texts), none held out.  Sample texts are cut into stretches and spliced at random (fixed seed), so that the
 transitions learn how rarely the language changes inside a text, as it does in code-switched ones.
 
 Scoring (every whole text, on Spark): forward-backward marginals label the words; the language with the largest sum is
@@ -27,13 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import saved, spread
 from tidewater.llm.crf import Crf, WordScores, train, words_in
 from tidewater.llm.toxicity_crf import fold
 
 FOLDS, HELD = 4, 2
 PER_LANG = 200
-MAX_LANGS = 100
 MAX_CHARS = 6_000
+#: Characters of all sample texts together, and of each at least.
+SAMPLE_CHARS = 12_000_000
+LEAST_CHARS = 200
 SLICE_CHARS = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -79,7 +82,8 @@ class LanguageModel:
 
 def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
     names = sorted(set(langs))
-    docs = [(words_of(t), names.index(lang)) for t, lang in zip(texts, langs, strict=True)]
+    label_of = {lang: i for i, lang in enumerate(names)}
+    docs = [(words_of(t), label_of[lang]) for t, lang in zip(texts, langs, strict=True)]
     docs = [d for d in docs if d[0]]
     if not docs:
         return LanguageModel(names, None, Features(frozenset()))
@@ -104,18 +108,20 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
                          features)
 
 
-def fit_documents(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS,
-                  max_chars: int = MAX_CHARS) -> LanguageModel:
+def fit_documents(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS,
+                  sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang"),
                         F.col("text").cast("string").alias("_text"))
-    known = known.filter("_lang is not null").filter(fold("_id", FOLDS) != HELD)
-    langs = [r["_lang"] for r in known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()]
-    sized = known.filter(F.col("_lang").isin(langs) & (F.length("_text") <= max_chars))
+    known = known.filter("_lang is not null").filter(fold("_id", FOLDS) != HELD).filter(F.col("_text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    # ranked without texts (Spark limits each group before the shuffle); at most per_lang * max_langs ids: a fixed bound
-    pick = sized.select("_id", "_lang").withColumn("_rank", rank).filter(F.col("_rank") <= per_lang).select("_id").distinct()
-    sample = (sized.join(F.broadcast(pick), "_id").orderBy(F.xxhash64("_id"), "_id", "_text")
-              .limit(per_lang * max_langs).collect())
+    # ranked without texts (Spark limits each group before the shuffle); at most per_lang ids a language
+    pick = known.select("_id", "_lang").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= per_lang)
+    pick = saved(pick.drop("_rank"), "language-sample")
+    n_langs = pick.select("_lang").distinct().count()
+    most = min(max_chars, max(LEAST_CHARS, sample_chars // max(1, n_langs * per_lang)))
+    sample = (known.join(pick, ["_id", "_lang"]).select("_id", "_lang", spread("_text", F.lit(most)).alias("_text"))
+              .groupBy("_id", "_lang").agg(F.min("_text").alias("_text"))
+              .orderBy(F.xxhash64("_id"), "_id", "_lang").collect())
     return fit([r["_text"] for r in sample], [r["_lang"] for r in sample])
 
 
@@ -126,11 +132,12 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scores = None if model.crf is None else WordScores(model.crf, model.features)
+        most = SLICE_CHARS * 8 // max(8, len(model.langs))  # marginals are words x languages
         for part in parts:
             texts, rows, at = part.tolist(), [], 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size < SLICE_CHARS):
+                while to < len(texts) and (to == at or size < most):
                     size += len(texts[to] or "")
                     to += 1
                 rows += model.predict(texts[at:to], scores)
