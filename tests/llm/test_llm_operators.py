@@ -354,6 +354,23 @@ def test_toxicity(spark, empty):
     assert {r.score for r in toxicity_crf.score_documents(docs, labels.filter("false")).collect()} == {0.0}
 
 
+def test_toxicity_of_long_texts(spark):
+    """A class that has only long texts is learned from stretches; one without any text is an error."""
+    from pyspark.sql import functions as F
+    docs, labels = labelled(spark)
+    toxic = labels.filter("toxic = 1 and doc_id is not null").select("doc_id").distinct()
+    long = docs.join(toxic, "doc_id").withColumn("text", F.repeat(F.concat("text", F.lit(" ")), 40))
+    mixed = long.select(docs.columns).union(docs.join(toxic, "doc_id", "left_anti").select(docs.columns))
+    model = toxicity_crf.fit_documents(mixed, labels, per_class=300, max_chars=1_000)
+    assert model.crf is not None
+    scores = toxicity_crf.WordScores(model.crf, toxicity_crf.features)
+    rows = mixed.filter("doc_id < 400").collect()
+    got = model.tag([r.text for r in rows], scores)[0]
+    assert sum((s >= 0.5) == (r.doc_id % 5 == 0) for s, r in zip(got, rows, strict=True)) >= 0.95 * len(rows)
+    with pytest.raises(ValueError):
+        toxicity_crf.fit_documents(docs.join(toxic, "doc_id", "left_anti"), labels)
+
+
 def test_many_languages_and_long_texts(spark):
     """Every language is a label, be it the 104th or one whose texts are all long."""
     rng = random.Random(4)

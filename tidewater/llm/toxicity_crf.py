@@ -1,7 +1,7 @@
 """Toxicity by a linear-chain conditional random field (operator 2).
 
-Fitting (driver, on a bounded sample: ``PER_CLASS`` labelled texts of each class in order of their id's hash, none
-longer than ``MAX_CHARS``, none held out, texts that mostly repeat earlier ones left out): cues are words, first four or
+Fitting (driver, on a bounded sample: ``PER_CLASS`` labelled texts of each class in order of their id's hash, those of up
+to ``MAX_CHARS`` first, then stretches of longer ones, none held out, texts that mostly repeat earlier ones left out): cues are words, first four or
 five letters, or four letters anywhere in a word, that occur in toxic texts ``ODDS`` times as often as in the others.  They are chosen greedily, the cue
 of the most texts not yet explained by ``DEPTH`` others first, so that a word which only keeps company with cues is none.
 Words of a toxic text with a cue are labelled toxic tokens; all other words are clean tokens.  The field learns from
@@ -14,7 +14,7 @@ Unspaced scripts have pairs of letters for words.
 
 Defined cases: null and empty texts have no words and get the score of no evidence; labels that are null are not used,
 several labels of one id count as toxic if one is; without labels of both classes all scores are the share of toxic
-labels (0 without any); held_out is false for a null id, which is never learned from.
+labels (0 without any); a class that has labels but no text to learn from is an error, unless docs is empty; held_out is false for a null id, which is never learned from.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import small_batches
+from tidewater.llm.common import saved, small_batches, spread
 from tidewater.llm.crf import Crf, WordScores, train, word_spans, words_in
 
 FOLDS = 5
@@ -195,11 +195,29 @@ def fit_documents(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     known = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
              .filter("_id is not null and _toxic is not null").filter(fold("_id", folds) != 0)
              .groupBy("_id").agg(F.max("_toxic").alias("_toxic")))
-    pick = [known.filter(F.col("_toxic") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)]
-    # at most 2 * per_class ids: a fixed bound
-    sample = (docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-              .filter(F.length("_text") <= max_chars).join(F.broadcast(pick[0].union(pick[1])), "_id")
-              .orderBy(F.xxhash64("_id"), "_id", "_text").limit(2 * per_class).collect())
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    texts = texts.filter("length(trim(_text)) > 0")
+    # ids and lengths only; long texts fill a class up after the others
+    able = saved(texts.select("_id", F.length("_text").alias("_n")).join(known, "_id")
+                 .groupBy("_id", "_toxic").agg(F.min("_n").alias("_n")), "toxic-candidates")
+    pick = [able.filter(F.col("_toxic") == c).orderBy(F.col("_n") > max_chars, F.xxhash64("_id"), "_id").limit(per_class)
+            for c in (0, 1)]
+    chosen = pick[0].union(pick[1]).select("_id", "_toxic").collect()  # at most 2 * per_class ids: a fixed bound
+    n = Counter(int(r["_toxic"]) for r in chosen)
+    if len(n) < 2:
+        labelled = {int(r["_toxic"]) for r in known.select("_toxic").distinct().collect()}
+        if missing := ({0, 1} & labelled) - set(n):
+            if not docs.isEmpty():
+                raise ValueError(f"no text to learn from for the toxic labels {sorted(missing)}")
+    if not chosen:
+        return fit([], [])
+    ids = docs.sparkSession.createDataFrame([(r["_id"], r["_toxic"]) for r in chosen], "_id long, _toxic int")
+    # a class of few texts may take longer stretches of them: the same characters in all
+    most = F.when(F.col("_toxic") == 1, max(max_chars, per_class * max_chars // max(1, n[1]))).otherwise(
+        max(max_chars, per_class * max_chars // max(1, n[0])))
+    sample = (texts.join(F.broadcast(ids), "_id").select("_id", "_toxic", spread("_text", most).alias("_text"))
+              .groupBy("_id", "_toxic").agg(F.min(F.struct(F.length("_text"), "_text")).alias("_t"))
+              .orderBy(F.xxhash64("_id"), "_id").select("_toxic", "_t._text").collect())
     return fit([r["_text"] for r in sample], [int(r["_toxic"] == 1) for r in sample])
 
 
