@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import (harmonic_packing, language_crf, license_scan, maxscore, quality_rules, sentencepiece_codec,
-                           simhash_balls, suffix_dedup, toxicity_crf, url_rules)
+from tidewater.llm import (filter_audit, harmonic_packing, html_crf, language_crf, license_scan, maxscore, quality_rules,
+                           sentencepiece_codec, simhash_balls, suffix_dedup, toxicity_crf, url_rules, whitening)
 from tidewater.llm.common import table
 
 
@@ -54,8 +54,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_toxicity, op3_packing, op4_suffix_dedup, op5_quality_rules, op6_maxscore, op7_url_filter,
-    op8_simhash, op9_language_id, op10_sentencepiece)}
+    op8_simhash, op9_language_id, op10_sentencepiece, op11_whitening, op12_html_extraction, op13_filter_audit)}
 
-ORACLES = {"op6_maxscore": maxscore.ORACLE_SQL, "op7_url_filter": url_rules.ORACLE_SQL}
+ORACLES = {"op6_maxscore": maxscore.ORACLE_SQL, "op7_url_filter": url_rules.ORACLE_SQL,
+           "op13_filter_audit": filter_audit.ORACLE_SQL}
