@@ -473,3 +473,22 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {
         r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_suffix_dedup_many_equal_rows(spark):
+    """Thousands of equal rows without ids: their spans are a set bounded by the text."""
+    text = "".join(random.Random(9).choices("abcdefgh ", k=3000))
+    docs = spark.createDataFrame([(None, text)] * 3000 + [(1, text), (2, "short")], "doc_id long, text string").repartition(4)
+    _, spans = suffix_dedup.repeated(docs)
+    assert spans.selectExpr("max(size(spans))").first()[0] < 100
+    got = records(suffix_dedup.dedup_documents(docs))
+    digest = hashlib.sha256(b"").hexdigest()
+    assert got == {(None, 3000, 3000, 1, digest): 3000, (1, 3000, 3000, 1, digest): 1,
+                   (2, 5, 0, 0, hashlib.sha256(b"short").hexdigest()): 1}
+
+
+def test_leading_zero_bytes():
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.integers(0, 2 ** 64, 2000, np.uint64) >> rng.integers(0, 64, 2000).astype(np.uint64),
+              np.uint64(2 ** 64 - 1), np.uint64(0), np.uint64(1), np.uint64(2 ** 53 + 1), np.uint64(2 ** 56 - 1)]
+    assert suffix_dedup._leading(x).tolist() == [8 - (int(v).bit_length() + 7) // 8 for v in x]

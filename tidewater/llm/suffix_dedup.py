@@ -6,9 +6,9 @@ strings of ``WIDTH`` bytes; matches never cross documents.
 1. Cores.  The core of a window is its leftmost smallest hashed ``CORE``-byte gram, so equal windows have equal cores.
    Successive windows with the same core form a context (about 65 windows in 265 bytes).  Each context becomes a row of
    hashes and numbers: core hash, hash of its bytes, row key, place, windows.
-2. Grouped by core (partial counts first): a core seen once has no repeat, and its contexts go.  A core whose contexts
-   all have the same bytes is settled: all its windows repeat.  Only cores with different contexts are left open.
-3. Open contexts with equal bytes are one text with a count.  Texts are dealt into shards by core.  A core with more
+   The rows are written once: they are counted, and joined to what the counts leave.
+2. Grouped by core (partial counts first): a core seen once has no repeat, and its contexts go.
+3. Contexts with equal bytes are one text with a count.  Texts are dealt into shards by core.  A core with more
    than ``GROUP`` texts is dealt over several shards.  Every shard builds the suffix array of its texts in numpy by
    Larsson-Sadakane refinement (ranks of 8 bytes are doubled; only groups that are still tied are sorted again) and
    Kasai's common prefixes; neighbours that share ``WIDTH`` bytes are repeats.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import saved, slices, small_batches
 
 WIDTH = 200
-CORE = 24
+CORE = 48
 #: Texts of one core in a shard, and bytes of text aimed at in a shard.
 GROUP = 2048
 SHARD_BYTES = 700_000
@@ -142,7 +142,7 @@ def suffix_array(raw: bytes, first: np.ndarray, size: np.ndarray, windows: np.nd
         if not len(tied):
             break
         second = rank[tied + step]
-        order = np.lexsort((second, rank[tied]))
+        order = np.argsort(rank[tied] << 32 | second)
         tied, second, group = tied[order], second[order], rank[tied][order]
         head = np.r_[True, group[1:] != group[:-1]]
         new = head | np.r_[True, second[1:] != second[:-1]]
@@ -153,6 +153,13 @@ def suffix_array(raw: bytes, first: np.ndarray, size: np.ndarray, windows: np.nd
     return windows[np.argsort(rank[windows], kind="stable")]
 
 
+def _leading(differ: np.ndarray) -> np.ndarray:
+    """Leading zero bytes of 64-bit numbers.  Halves of 32 bits are exact as floats."""
+    high = differ >> np.uint64(32)
+    half = np.where(high > 0, high, differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    return (64 - np.frexp(half)[1] - 32 * (high > 0)) // 8
+
+
 def common_prefixes(raw: bytes, order: np.ndarray, limit: int = WIDTH) -> np.ndarray:
     """Kasai: bytes (up to ``limit``) that each window shares with its predecessor in the order.
 
@@ -182,13 +189,7 @@ def common_prefixes(raw: bytes, order: np.ndarray, limit: int = WIDTH) -> np.nda
         go = np.flatnonzero((there >= 0) & (h < limit))
         while len(go):
             differ = words[here[go] + h[go]] ^ words[there[go] + h[go]]
-            equal = np.full(len(go), 8, np.int64)
-            some = differ != 0
-            # leading equal bytes of the first differing word
-            equal[some] = (63 - np.floor(np.log2(differ[some].astype(np.float64))).astype(np.int64).clip(0, 63)) // 8
-            for fix in range(8):  # float rounding may pass a power of two
-                wrong = some & (equal == fix) & (differ >> np.uint64(8 * (7 - fix)) == 0)
-                equal[wrong] += 1
+            equal = _leading(differ)
             h[go] += equal
             go = go[(equal == 8) & (h[go] < limit)]
         h = np.minimum(h, limit)
@@ -234,9 +235,9 @@ def shard_repeats(texts: list[bytes], counts: np.ndarray, merged: np.ndarray, wi
     return runs, (text_of[number[one]], offset[number[one]], prints[:, 0], prints[:, 1])
 
 
-def _open_texts(keyed: DataFrame, open_rows: DataFrame, width: int) -> DataFrame:
-    """core, bytes, n (occurrences), text of each distinct open context."""
-    one = open_rows.groupBy("core", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
+def _texts(keyed: DataFrame, hits: DataFrame, width: int) -> DataFrame:
+    """core, bytes, n (occurrences), text of each distinct context."""
+    one = hits.groupBy("core", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place")).alias("at"))
     wanted = one.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("core", "bytes", "n", F.col("at.place").alias("place")))
                                                .alias("cuts"))  # bounded by the document's length
     both = _packed(keyed).dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]).select("packed", "cuts")
@@ -274,7 +275,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
 
 def _searched(texts: DataFrame, width: int, group: int, shard_bytes: int) -> DataFrame:
-    """core, bytes, low, high: repeated windows of the open contexts, through suffix arrays and the merge."""
+    """core, bytes, low, high: repeated windows of the contexts, through suffix arrays and the merge."""
     # only cores beyond the bound; a written table, so the join below can be split on skew
     parts = saved(texts.groupBy("core").agg(F.ceil(F.count("*") / group).alias("parts")).filter("parts > 1"), "parts")
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -335,20 +336,15 @@ def repeated(docs: DataFrame, width: int = WIDTH, core: int = CORE, group: int =
              shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Keyed documents, and (k1, k2, spans): window starts [low, high) of each row key that repeat elsewhere."""
     keyed = _keyed(docs)
-    rows = context_rows(keyed, width, core)
-    cores = saved(rows.groupBy("core").agg(F.count("*").alias("n"), (F.min("bytes") != F.max("bytes")).alias("open"))
-                  .filter("n > 1").select("core", "open"), "cores")
-    hits = saved(rows.join(cores, "core").select(
-        F.when(F.col("open"), F.col("core")).alias("core"), F.when(F.col("open"), F.col("bytes")).alias("bytes"), "k1", "k2",
-        "place"), "hits")
-    open_rows = hits.filter("core is not null")
-    found = _searched(saved(_open_texts(keyed, open_rows, width), "open"), width, group, shard_bytes)
-    first, n = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF)
-    settled = hits.filter("core is null").select("k1", "k2", first.alias("low"), (first + n).alias("high"))
-    opened = open_rows.join(found, ["core", "bytes"]).select("k1", "k2", (first + F.col("low")).alias("low"),
-                                                             (first + F.col("high")).alias("high"))
-    spans = settled.union(opened).groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return keyed, spans
+    rows = saved(context_rows(keyed, width, core), "contexts")
+    cores = saved(rows.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "cores")
+    hits = saved(rows.join(cores, "core"), "hits")
+    found = _searched(saved(_texts(keyed, hits, width), "texts"), width, group, shard_bytes)
+    first = F.shiftright("place", 16)
+    spans = hits.join(found, ["core", "bytes"]).select("k1", "k2", (first + F.col("low")).alias("low"),
+                                                       (first + F.col("high")).alias("high"))
+    # rows equal in key have the same spans: a set of them is bounded by the document
+    return keyed, spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def covered(spans: list[dict] | None, width: int = WIDTH) -> list[tuple[int, int]]:
