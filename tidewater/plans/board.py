@@ -30,7 +30,7 @@ def _sites(ports: DataFrame) -> DataFrame:
 
 def recent_positions(positions: DataFrame, as_of: Column, hours: int = 6, days: int = 2) -> DataFrame:
     """Messages of the last ``hours`` inside the last ``days`` partitions."""
-    return lookback(positions, as_of, days).filter(
+    return lookback(positions, as_of, days, time_col="received_at").filter(
         F.col("received_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
@@ -94,7 +94,7 @@ def port_trend(positions: DataFrame, weather: DataFrame, ports: DataFrame, *, as
                days: int = 6, keep: int = 6) -> DataFrame:
     """Six most recent days per port: vessels, anchored, mean speed, max wave."""
     a = as_of_column(as_of, positions)
-    pos = lookback(positions, a, days)
+    pos = lookback(positions, a, days, time_col="received_at")
     order = F.struct("received_at", "event_id") if "event_id" in pos.columns else F.col("received_at")
     daily = (pos.groupBy("date", "mmsi")
              .agg(F.max_by(F.struct("ship_name", "lat", "lon", "sog", "nav_status"), order).alias("_l"))

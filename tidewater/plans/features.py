@@ -35,20 +35,27 @@ def _port_sites(ports: DataFrame) -> DataFrame:
 
 
 def as_of_column(as_of: AsOf, source: DataFrame | None = None, time_col: str = "received_at") -> Column:
-    """The run's reference time: a literal when given, else the newest ``time_col`` (scalar subquery)."""
+    """The run's reference time as a literal: the given one, else the newest ``time_col`` (one pass over that column).
+
+    A literal, so that lookbacks prune partitions and row groups when the plan is made.
+    """
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, (str, _dt.datetime)):
-        return F.lit(as_of).cast("timestamp_ntz")
-    if source is None:
-        raise ValueError("as_of or a source frame is required")
-    return source.agg(F.max(time_col).cast("timestamp_ntz")).scalar()
+    if as_of is None:
+        if source is None:
+            raise ValueError("as_of or a source frame is required")
+        as_of = source.agg(F.max(time_col).cast("timestamp_ntz")).first()[0]
+    return F.lit(as_of).cast("timestamp_ntz")
 
 
-def lookback(df: DataFrame, as_of: Column, days: int, date_col: str = "date") -> DataFrame:
-    """Keep partitions with date >= as_of date - days (S2); a literal as_of prunes partitions."""
-    start = F.date_format(F.date_sub(F.to_date(as_of), days), "yyyy-MM-dd")
-    return df.filter(F.col(date_col) >= start)
+def lookback(df: DataFrame, as_of: Column, days: int, date_col: str = "date", time_col: str | None = None) -> DataFrame:
+    """Keep partitions with date >= as_of date - days.
+
+    ``time_col``: the column whose day is the date; the same bound on it reaches row groups where the date is computed.
+    """
+    day = F.date_sub(F.to_date(as_of), days)
+    kept = df.filter(F.col(date_col) >= F.date_format(day, "yyyy-MM-dd"))
+    return kept if time_col is None else kept.filter(F.col(time_col) >= day.cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------------------
@@ -63,7 +70,7 @@ def hourly_positions(positions: DataFrame, *, extended: bool = False, as_of: AsO
     """
     pos = positions
     if lookback_days is not None:
-        pos = lookback(pos, as_of_column(as_of, positions), lookback_days)
+        pos = lookback(pos, as_of_column(as_of, positions), lookback_days, time_col="received_at")
     cols = ["lat", "lon", "sog"] + (["ship_name", "cog", "true_heading", "nav_status"] if extended else [])
     order = F.struct("received_at", "event_id") if "event_id" in pos.columns else F.col("received_at")
     return (pos.groupBy("mmsi", hour_trunc("received_at").alias("observation_hour"))
@@ -95,15 +102,15 @@ def vessel_inbound_hourly(positions: DataFrame, ports: DataFrame, *, as_of: AsOf
 # ---------------------------------------------------------------------------
 
 def hourly_with_voyage(positions: DataFrame, voyage: DataFrame, *, as_of: AsOf = None,
-                       lookback_days: int = 90) -> DataFrame:
+                       lookback_days: int = 90, hourly: DataFrame | None = None) -> DataFrame:
     """Hourly positions with the latest voyage message received before hour + 1 h.
 
     The as-of match depends only on (mmsi, hour), so it runs before the port
     join, once per vessel-hour instead of once per vessel-hour-port.
     """
     a = as_of_column(as_of, positions)
-    hp = hourly_positions(positions, extended=True, as_of=a, lookback_days=lookback_days)
-    vy = lookback(voyage, a, lookback_days)
+    hp = hourly if hourly is not None else hourly_positions(positions, extended=True, as_of=a, lookback_days=lookback_days)
+    vy = lookback(voyage, a, lookback_days, time_col="received_at")
     tb = "event_id" if "event_id" in vy.columns else None
     joined = asof_join(hp, vy, by=["mmsi"], left_time=F.col("observation_hour") + F.expr("INTERVAL 1 HOUR"),
                        right_time="received_at", payload=["destination", "eta_ts", "draught_m", "ship_type"],
@@ -115,8 +122,8 @@ def hourly_with_voyage(positions: DataFrame, voyage: DataFrame, *, as_of: AsOf =
 
 
 def vessel_state_hourly(positions: DataFrame, voyage: DataFrame, ports: DataFrame, *, as_of: AsOf = None,
-                        radius_nm: float = R.INBOUND_RADIUS_NM) -> DataFrame:
-    hv = hourly_with_voyage(positions, voyage, as_of=as_of)
+                        radius_nm: float = R.INBOUND_RADIUS_NM, hourly: DataFrame | None = None) -> DataFrame:
+    hv = hourly_with_voyage(positions, voyage, as_of=as_of, hourly=hourly)
     pairs = distance_join(hv, _port_sites(ports), radius_nm)
     from pyspark.sql import Window
     w = Window.partitionBy("port_code", "mmsi").orderBy("observation_hour")

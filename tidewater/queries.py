@@ -592,3 +592,6 @@ def q_source_freshness(spark, sf_dir):
 @register("source_alarms")
 def q_source_alarms(spark, sf_dir):
     return finish(BV.alarms(_freshness(spark, sf_dir)))
+
+
+from tidewater import queries_store as _queries_store  # noqa: E402,F401  registers its queries

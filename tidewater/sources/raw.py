@@ -8,37 +8,76 @@ prune partitions.  Message flattening runs on VARIANT values
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater import refdata as R
 
 POSITION_SCHEMA = ("mmsi BIGINT, ship_name STRING, lat DOUBLE, lon DOUBLE, sog DOUBLE, cog DOUBLE, "
                    "true_heading INT, nav_status INT, msg_type STRING, received_at STRING")
+# --- Fixed values: columns of the five raw sources, by their folder names (S1) ---
+RAW_SCHEMAS = {
+    "ais": POSITION_SCHEMA,
+    "ais_voyage": ("mmsi BIGINT, ship_name STRING, call_sign STRING, imo_number STRING, ship_type STRING, destination STRING, "
+                   "eta_raw STRING, eta_timestamp_utc STRING, draught_m DOUBLE, dimension_to_bow_m INT, dimension_to_stern_m INT, "
+                   "dimension_to_port_m INT, dimension_to_starboard_m INT, msg_type STRING, received_at STRING"),
+    "weather": ("port_code STRING, timestamp STRING, wave_height_m DOUBLE, wave_direction_deg DOUBLE, wave_period_s DOUBLE, "
+                "wind_wave_height_m DOUBLE, swell_wave_height_m DOUBLE"),
+    "noaa_tides": "port_code STRING, station_id STRING, timestamp STRING, tide_level_m DOUBLE, tide_type STRING",
+    "gdelt_events": ("event_id STRING, source STRING, query_name STRING, query STRING, fetched_at STRING, seen_at STRING, "
+                     "title STRING, url STRING, domain STRING, language STRING, source_country STRING, port_code STRING, "
+                     "port_name STRING, attribution_reason STRING, event_category STRING, severity_score DOUBLE, "
+                     "matched_terms ARRAY<STRING>"),
+}
 CORRUPT = "_corrupt_record"
 
 
+def source_path(root: str, source: str) -> str:
+    """The folder of a source; a record's own ``source`` field is another thing and stays in the file."""
+    return f"{root.rstrip('/')}/source={source}"
+
+
 def sink_ndjson(records: DataFrame, root: str, source: str, date_col: str = "date") -> None:
     """Append records under source=<s>/date=<d> (S3); an empty batch is an error."""
     if records.isEmpty():
         raise ValueError("refusing to write an empty batch")
-    (records.withColumn("source", F.lit(source)).write.mode("append")
-     .partitionBy("source", date_col).json(root))
+    records.write.mode("append").partitionBy(date_col).json(source_path(root, source))
 
 
-def scan_raw_json(spark: SparkSession, root: str, source: str, schema: str = POSITION_SCHEMA,
+def sink_counted(records: DataFrame, root: str, source: str, counts: dict[str, Column], date_col: str = "date") -> dict[str, int]:
+    """As ``sink_ndjson``, and the run's counts (A23): measured while the rows are written, without a second pass.
+
+    ``records`` counts all rows, ``counts`` the rows that meet a condition; ``files`` are those that the run wrote.  A run of
+    no records writes none and is an error.
+    """
+    seen, token = Observation(), uuid.uuid4().hex[:12]
+    measured = [F.count_if(c).alias(name) for name, c in counts.items()]
+    (records.observe(seen, F.count(F.lit(1)).alias("records"), *measured).withColumn("run", F.lit(token))
+     .write.mode("append").partitionBy(date_col, "run").json(source_path(root, source)))
+    out = {k: int(v) for k, v in seen.get.items()}
+    if not out["records"]:
+        raise ValueError("a run without records")
+    files = (records.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+             .load(source_path(root, source)).filter(F.col("path").contains(f"/run={token}/")))
+    return {**out, "files": files.select("path").count()}
+
+
+def scan_raw_json(spark: SparkSession, root: str, source: str, schema: str | None = None,
                   glob: str = "*.{json,ndjson,jsonl}", quarantine: bool = False) -> DataFrame:
     """Read one raw source with a fixed schema and its date partition.
 
     ``quarantine``: keep unparseable lines in ``_corrupt_record`` (S7) instead
-    of dropping them; blank lines are skipped by the reader.
+    of dropping them; blank lines are skipped by the reader.  The schema is that of the source unless given.
     """
+    schema = schema or RAW_SCHEMAS[source]
     full = f"{schema}, {CORRUPT} STRING, date STRING" if quarantine else f"{schema}, date STRING"
     reader = (spark.read.schema(full).option("pathGlobFilter", glob)
               .option("mode", "PERMISSIVE"))
     if quarantine:
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.json(f"{root.rstrip('/')}/source={source}")
+    return reader.json(source_path(root, source))
 
 
 def split_bad_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
