@@ -70,3 +70,61 @@ def build_oracles(o: dict[str, str], with_views, news: str, hourly: str, weather
         f"SELECT CAST({i + 1} AS INTEGER) AS step, '{n}' AS table_name, (SELECT count(*) FROM ({sql})) AS rows"
         for i, (n, sql) in enumerate(zip(names, counted, strict=True)))
     return out
+
+
+def document_oracles(o: dict[str, str], with_views, asof: str, status: str) -> dict[str, str]:
+    """Documents as DuckDB's JSON of the boards' own oracle texts.  ``status``: the port status table's oracle."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    ports = ", ".join(f"({i}, {q(c)}, {q(n)}, {q(f)}, {la}::DOUBLE, {lo}::DOUBLE)" for i, (c, n, f, la, lo) in enumerate(R.PORTS))
+    stamp = "strftime({}, '%Y-%m-%d %H:%M:%S.%g UTC')"
+    boards = f"""docs AS (
+  SELECT p.idx, p.code AS port_code, to_json({{'name': p.name, 'flag': p.flag, 'code': p.code, 'lat': p.lat, 'lon': p.lon,
+    'metrics': {{'congestionPct': m.congestion_pct, 'waiting': m.waiting, 'avgSpeed': m.avg_speed, 'maxWave': m.max_wave,
+                 'tracked': m.tracked, 'berthed': m.berthed}},
+    'forecast': t.forecast, 'trend': t.trend, 'vessels': coalesce(v.ships, []), 'vesselsTotal': coalesce(v.n, 0),
+    'aisDiagnostics': {{'status': d.status, 'message': d.message, 'detail': d.detail,
+      'latestMessageWithin50nm': {stamp.format('d.latest_within_50nm')}, 'latestMessageWithin200nm': {stamp.format('d.latest_within_200nm')},
+      'messageCountWithin50nm': d.messages_within_50nm, 'messageCountWithin200nm': d.messages_within_200nm,
+      'providerMessageCount': d.messages_within_200nm, 'nearestDistanceNm': d.nearest_distance_nm,
+      'secondSourceValidation': d.second_source_validation}},
+    'berthAllocations': coalesce(b.berths, []), 'schedule': coalesce(s.rows, [])}})::VARCHAR AS document
+  FROM (VALUES {ports}) AS p(idx, code, name, flag, lat, lon)
+  LEFT JOIN ({o['board_metrics']}) m ON m.port_code = p.code
+  LEFT JOIN ({o['trend_scores']}) t ON t.port_code = p.code
+  LEFT JOIN ({o['coverage_diagnostics']}) d ON d.port_code = p.code
+  LEFT JOIN (SELECT port_code, any_value(vessels_total) AS n,
+               list({{'name': name, 'mmsi': CAST(mmsi AS VARCHAR), 'lat': round_even(lat, 4), 'lon': round_even(lon, 4), 'sog': speed,
+                      'zone': zone, 'dist': dist, 'eta': eta, 'conf': conf}} ORDER BY list_rank) FILTER (list_rank <= 250) AS ships
+             FROM ({o['vessel_list']}) GROUP BY port_code) v ON v.port_code = p.code
+  LEFT JOIN (SELECT port_code, list({{'id': berth_id, 'name': name, 'status': status}} ORDER BY berth_id) AS berths
+             FROM ({o['berth_occupancy']}) GROUP BY port_code) b ON b.port_code = p.code
+  LEFT JOIN (SELECT port_code, list({{'vessel': vessel, 'mmsi': mmsi, 'type': type, 'status': status, 'eta': eta,
+                                      'distance_nm': distance_nm}} ORDER BY schedule_rank) FILTER (schedule_rank <= 250) AS rows
+             FROM ({o['arrival_schedule']}) GROUP BY port_code) s ON s.port_code = p.code)"""
+    out = {"board_documents": f"WITH {boards} SELECT port_code, document FROM docs"}
+    sources = ", ".join(f"({i}, {q(s)}, {q(n)}, {q(d)}, {c})" for i, (s, (n, _, d, c)) in enumerate(
+        zip(["positions", "weather", "tides", "news"], R.BOARD_SOURCES, strict=True)))
+    made = with_views(["ports", "positions"], f"SELECT strftime({asof}, '%Y-%m-%d %H:%M UTC') AS stamped")
+    days = "(SELECT list(label ORDER BY position) FROM (" + o["day_labels"] + ") WHERE kind = '{}')"
+    out["board_payload"] = f"""WITH {boards}
+SELECT '{{"metadata":' || to_json({{'generatedAt': (SELECT stamped FROM ({made})), 'mode': 'batch-export'}})
+  || ',"labels":' || to_json({{'trend': {days.format('trend')}, 'outlook': {days.format('outlook')}}})
+  || ',"sources":' || (SELECT to_json(list({{'name': x.name, 'status': f.status, 'freshness': f.freshness, 'detail': x.detail,
+       'contribution': x.share}} ORDER BY i)) FROM (VALUES {sources}) AS x(i, source, name, detail, share)
+       JOIN ({o['source_freshness']}) f USING (source))
+  || ',"ports":{{' || (SELECT string_agg('"' || port_code || '":' || document, ',' ORDER BY idx) FROM docs) || '}}}}' AS document"""
+    names = ", ".join(R.FEATURES_V1)
+    latest = f"SELECT port_code, observation_hour, {names} FROM ({status}) QUALIFY row_number() OVER (PARTITION BY port_code ORDER BY observation_hour DESC) = 1"
+    out["latest_per_port"] = latest
+    codes = ", ".join(f"({i}, {q(c)})" for i, (c, *_) in enumerate(R.PORTS))
+    out["prediction_payload"] = f"""SELECT '{{"generatedAt":"' || (SELECT stamped FROM ({made})) || '","predictions":{{' ||
+  string_agg('"' || code || '":' || CASE WHEN z.port_code IS NULL OR code = 'TWKHH' THEN 'null' ELSE to_json({{'port_code': code,
+    'prediction': CAST(p >= 0.5 AS INTEGER), 'probability': round(p, 4),
+    'as_of': strftime(observation_hour, '%Y-%m-%d %H:%M:%S.%g')}}) END, ',' ORDER BY i) || '}}}}' AS document
+FROM (VALUES {codes}) AS c(i, code) LEFT JOIN (
+  SELECT *, 1 / (1 + exp(1 - ifnull(vessels_at_anchor, 0) - ifnull(avg_wave_height_m, 0) / 2)) AS p FROM ({latest})) z ON z.port_code = c.code"""
+    out["safe_cast_results"] = """SELECT event_id, round(ifnull(x, 0), 6) AS as_float, round(ifnull(x, -1), 6) AS or_minus_one,
+  CAST(trunc(ifnull(x, 0)) AS BIGINT) AS as_int, CAST(trunc(ifnull(x, 7)) AS BIGINT) AS or_seven
+FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN -event_id - 0.75::DOUBLE WHEN 4 THEN 10.0::DOUBLE * event_id
+                            WHEN 6 THEN event_id / power(10, length(event_id::VARCHAR)) END AS x FROM events)"""
+    return out

@@ -248,3 +248,70 @@ def q_curated_dataset(spark, sf_dir):
     root = scratch_path(spark, "datasets")
     BU.sink_dataset(d, root, "v1")
     return finish(BU.read_dataset(spark, root, "v1"))
+
+
+# --- documents -----------------------------------------------------------------------------------------------------------
+
+from tidewater.functions.casts import safe_float, safe_int  # noqa: E402
+from tidewater.plans import board as BD  # noqa: E402
+from tidewater.plans import documents as DC  # noqa: E402
+from tidewater.plans import features as FT  # noqa: E402
+from tidewater.queries import Board, _freshness  # noqa: E402
+
+
+def _boards(spark, sf_dir: str) -> tuple[Board, DataFrame]:
+    b = Board(spark, sf_dir)
+    diagnostics = BD.coverage_diagnostics(b.inp.positions, b.ports, as_of=b.as_of)
+    return b, DC.board_documents(FT.ports_frame(spark), b.vessels, b.metrics, BD.trend_scores(b.trend, b.ports), diagnostics)
+
+
+@register("board_documents")
+def q_board_documents(spark, sf_dir):
+    """Every port's board as JSON text."""
+    return _boards(spark, sf_dir)[1].select("port_code", F.to_json("board", DC.KEEP_NULLS).alias("document"))
+
+
+@register("board_payload")
+def q_board_payload(spark, sf_dir):
+    """The whole document, written as one file and read back."""
+    b, boards = _boards(spark, sf_dir)
+    payload = DC.board_payload(boards, BD.day_labels(b.as_of, spark), DC.source_list(_freshness(spark, sf_dir)), b.as_of)
+    path = scratch_path(spark, "board") + "/latest.json"
+    DC.sink_document(payload, path)
+    return DC.read_document(spark, path)
+
+
+@register("latest_per_port")
+def q_latest_per_port(spark, sf_dir):
+    b = Board(spark, sf_dir)
+    return finish(ML.latest_per_port(b.status, R.FEATURES_V1))
+
+
+def rule_scores(latest: DataFrame) -> DataFrame:
+    """A fixed score in place of a model's, so that SQL can state the same: logistic in anchored vessels and waves."""
+    x = F.coalesce("vessels_at_anchor", F.lit(0)) - 1 + F.coalesce("avg_wave_height_m", F.lit(0.0)) / 2
+    p = 1 / (1 + F.exp(-x))
+    return latest.select("port_code", F.round(p, 4).alias("congestion_probability"), (p >= 0.5).cast("int").alias("predicted_congested"),
+                         F.col("observation_hour").alias("as_of"))
+
+
+@register("prediction_payload")
+def q_prediction_payload(spark, sf_dir):
+    """Predictions of a fixed score, one port left out, written as one file and read back."""
+    b = Board(spark, sf_dir)
+    scored = rule_scores(ML.latest_per_port(b.status.filter("port_code <> 'TWKHH'"), R.FEATURES_V1))
+    path = scratch_path(spark, "predictions") + "/latest.json"
+    DC.sink_document(DC.prediction_payload(scored, b.ports, b.as_of), path)
+    return DC.read_document(spark, path)
+
+
+@register("safe_cast_results")
+def q_safe_cast(spark, sf_dir):
+    """Numbers of texts that are numbers, blanks, words and nulls."""
+    e, n = F.col("event_id"), F.col("event_id").cast("string")
+    text = (F.when(e % 8 == 0, n).when(e % 8 == 1, F.concat(F.lit(" -"), n, F.lit(".75 "))).when(e % 8 == 2, F.lit(""))
+            .when(e % 8 == 3, F.concat(n, F.lit("kn"))).when(e % 8 == 4, F.concat(n, F.lit("e1"))).when(e % 8 == 5, F.lit("n/a"))
+            .when(e % 8 == 6, F.concat(F.lit("."), n)))
+    events = Inputs(spark, sf_dir).table("events").select("event_id", text.alias("result"))
+    return finish(events.select("event_id", safe_float("result").alias("as_float"), safe_float("result", -1.0).alias("or_minus_one"),
+                                safe_int("result").alias("as_int"), safe_int("result", 7).alias("or_seven")))
