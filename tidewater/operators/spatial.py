@@ -156,9 +156,8 @@ def best_zone(points: DataFrame, zones: DataFrame, key: list[str], *, lat: str =
     return points.join(best, key, "left")
 
 
-def in_any_box(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: str = "lon",
-               cell_deg: float = 1.0) -> DataFrame:
-    """Keep points inside any (lat_min, lat_max, lon_min, lon_max) box (F7): a semi join keyed on grid cells."""
+def _by_cell(points: DataFrame, boxes: DataFrame, lat: str, lon: str, cell_deg: float) -> tuple[DataFrame, Column]:
+    """Boxes exploded to their grid cells with columns ``_b_*``, and the condition that pairs points with them."""
     def span(low: str, high: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(low) / cell_deg), F.floor(F.col(high) / cell_deg)))
 
@@ -167,4 +166,18 @@ def in_any_box(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: st
     cond = ((F.floor(F.col(lat) / cell_deg) == F.col("_by")) & (F.floor(F.col(lon) / cell_deg) == F.col("_bx"))
             & F.col(lat).between(F.col("_b_lat_min"), F.col("_b_lat_max"))
             & F.col(lon).between(F.col("_b_lon_min"), F.col("_b_lon_max")))
+    return b, cond
+
+
+def in_any_box(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: str = "lon",
+               cell_deg: float = 1.0) -> DataFrame:
+    """Keep points inside any (lat_min, lat_max, lon_min, lon_max) box (F7): a semi join keyed on grid cells."""
+    b, cond = _by_cell(points, boxes, lat, lon, cell_deg)
     return points.join(b, cond, "left_semi")
+
+
+def box_pairs(points: DataFrame, boxes: DataFrame, *, lat: str = "lat", lon: str = "lon", cell_deg: float = 1.0) -> DataFrame:
+    """A row for each point and each box that holds it, with the box's other columns; an equi-join on grid cells."""
+    b, cond = _by_cell(points, boxes, lat, lon, cell_deg)
+    kept = [c for c in boxes.columns if c not in ("lat_min", "lat_max", "lon_min", "lon_max")]
+    return points.join(b, cond).select(*points.columns, *[F.col("_b_" + c).alias(c) for c in kept])

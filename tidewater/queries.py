@@ -426,6 +426,7 @@ from tidewater.session import scratch_path  # noqa: E402
 from tidewater.sources import marine as MR  # noqa: E402
 from tidewater.sources import raw as RW  # noqa: E402
 from tidewater.streaming import capture as SC  # noqa: E402
+from tidewater.streaming import live as LV  # noqa: E402
 
 FLAT_COLS = ["mmsi", "ship_name", "lat", "lon", "sog", "cog", "true_heading", "nav_status", "msg_type", "received_at"]
 
@@ -504,12 +505,56 @@ def q_stream_capture(spark, sf_dir):
     return finish(SC.read_positions(spark, out).select(*FLAT_COLS, "date"))
 
 
+def _capture_all(spark, sf_dir) -> str:
+    """A feed of positions, voyages, messages of another type, and lines that are cut short or have no vessel."""
+    pos = Inputs(spark, sf_dir).positions
+    e = F.col("event_id")
+    feed = RW.envelopes_from_positions(pos).filter(e % 3 != 2).union(
+        RW.envelopes_from_voyages(pos).filter((e % 3 == 2) & (e % 4 != 3)))
+    text = (F.when(e % 50 == 7, F.substring("value", 1, 25)).when(e % 50 == 8, '{"MessageType":"PositionReport","Message":{}}')
+            .when(e % 50 == 9, '{"MessageType":"Other","MetaData":{"MMSI":1}}').otherwise(F.col("value")))
+    src, out = scratch_path(spark, "feed"), scratch_path(spark, "captured")
+    feed.withColumn("value", text).write.json(src)
+    SC.run_capture(spark, src, out, scratch_path(spark, "captured-ckpt"), max_files=3)
+    return out
+
+
+@register("stream_positions")
+def q_stream_positions(spark, sf_dir):
+    return finish(SC.read_sink(spark, _capture_all(spark, sf_dir), "positions").select(*FLAT_COLS, "date"))
+
+
+@register("stream_voyages")
+def q_stream_voyages(spark, sf_dir):
+    return finish(SC.read_sink(spark, _capture_all(spark, sf_dir), "voyage"))
+
+
+@register("stream_quarantine")
+def q_stream_quarantine(spark, sf_dir):
+    return SC.read_sink(spark, _capture_all(spark, sf_dir), "quarantine")
+
+
+@register("stream_counts")
+def q_stream_counts(spark, sf_dir):
+    counts = SC.capture_counts(spark, _capture_all(spark, sf_dir))
+    return counts.select("received", *SC.SINKS, "other", *[(F.col(f"{s}_files") > 0).alias(f"{s}_written") for s in SC.SINKS])
+
+
+@register("stream_live_state")
+def q_stream_live_state(spark, sf_dir):
+    """Live vessels of the derived feed's end; silence of six hours, as the feed is thin."""
+    inp = Inputs(spark, sf_dir)
+    src, out = scratch_path(spark, "live-src"), scratch_path(spark, "live-out")
+    RW.envelopes_from_positions(inp.positions).write.json(src)
+    LV.run_live(spark, src, inp.ports, out, scratch_path(spark, "live-ckpt"), ttl_minutes=360)
+    return finish(LV.live_vessels(spark, out))
+
+
 @register("stream_hourly_features")
 def q_stream_hourly(spark, sf_dir):
     out = _capture(spark, sf_dir)
-    schema = spark.read.parquet(f"{out}/positions").schema
     hourly = scratch_path(spark, "hourly-out")
-    SC.run_hourly_features(spark, f"{out}/positions", hourly, scratch_path(spark, "hourly-ckpt"), schema)
+    SC.run_hourly_features(spark, out, hourly, scratch_path(spark, "hourly-ckpt"))
     return finish(spark.read.parquet(hourly))
 
 

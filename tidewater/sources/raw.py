@@ -109,19 +109,13 @@ def _field(p: Column, keys: list[str], typ: str) -> Column:
     return out
 
 
-def flatten_positions(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
-    """AIS envelope text -> flat position rows (N1); non-position types are dropped.
+POSITION_TYPES = R.POSITION_MESSAGE_TYPES + ["1", "2", "3", "18"]
+VOYAGE_TYPES = R.VOYAGE_MESSAGE_TYPES + ["5"]
 
-    All fields come from one payload, that under its type name, else the message itself; payload lat/lon else
-    metadata lat/lon; defaults sog 0, cog 0, heading 511, nav 15; trimmed name.
-    """
-    v, p = F.col("_v"), F.col("_p")
-    m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
-    mtype = _vget(v, "$.MessageType", "string")
-    names = R.POSITION_MESSAGE_TYPES
-    is_pos = mtype.isin(names + ["1", "2", "3", "18"])
-    m = m.filter(is_pos & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull()).withColumn("_p", _payload(v, names))
-    return m.select(
+
+def _position_fields(v: Column, p: Column, mtype: Column, received: Column) -> list[Column]:
+    """Flat columns of a position message ``v`` with the payload ``p``."""
+    return [
         _vget(v, "$.MetaData.MMSI", "bigint").alias("mmsi"),
         F.trim(F.coalesce(_vget(v, "$.MetaData.ShipName", "string"), F.lit(""))).alias("ship_name"),
         F.coalesce(_field(p, ["Latitude"], "double"), _vget(v, "$.MetaData.latitude", "double"), F.lit(0.0)).alias("lat"),
@@ -130,8 +124,21 @@ def flatten_positions(messages: DataFrame, text_col: str = "value", received_col
         F.coalesce(_field(p, ["Cog", "CourseOverGround"], "double"), F.lit(0.0)).alias("cog"),
         F.coalesce(_field(p, ["TrueHeading"], "int"), F.lit(511)).alias("true_heading"),
         F.coalesce(_field(p, ["NavigationalStatus", "NavigationStatus"], "int"), F.lit(15)).alias("nav_status"),
-        mtype.alias("msg_type"),
-        F.col(received_col).alias("received_at"))
+        mtype.alias("msg_type"), received.alias("received_at")]
+
+
+def flatten_positions(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
+    """AIS envelope text -> flat position rows (N1); non-position types are dropped.
+
+    All fields come from one payload, that under its type name, else the message itself; payload lat/lon else
+    metadata lat/lon; defaults sog 0, cog 0, heading 511, nav 15; trimmed name.
+    """
+    v, p = F.col("_v"), F.col("_p")
+    m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    mtype = _vget(v, "$.MessageType", "string")
+    m = m.filter(mtype.isin(POSITION_TYPES) & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull()) \
+        .withColumn("_p", _payload(v, R.POSITION_MESSAGE_TYPES))
+    return m.select(*_position_fields(v, p, mtype, F.col(received_col)))
 
 
 def infer_eta(eta: Column, received: Column) -> Column:
@@ -150,23 +157,13 @@ def infer_eta(eta: Column, received: Column) -> Column:
                   F.when(now >= received, now).when(now < received, turn(F.year(received) + 1))))
 
 
-def flatten_voyages(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
-    """AIS envelope text -> the 15 voyage columns (N2); other types are dropped.
-
-    ``eta_raw`` keeps an ETA object as compact JSON text.  An empty or uncastable field is null.
-    """
-    v, p, eta = F.col("_v"), F.col("_p"), F.col("_eta")
-    m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
-    mtype = _vget(v, "$.MessageType", "string")
-    m = m.filter(mtype.isin(R.VOYAGE_MESSAGE_TYPES + ["5"]) & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull())
-    m = m.withColumn("_p", _payload(v, R.VOYAGE_MESSAGE_TYPES))
-    m = m.withColumn("_eta", _field(p, ["Eta", "ETA", "EstimatedTimeOfArrival"], "variant"))
-
+def _voyage_fields(v: Column, p: Column, eta: Column, mtype: Column, received: Column) -> list[Column]:
+    """The 15 columns of a voyage message ``v`` with the payload ``p`` and its ETA value."""
     def text(*keys: str) -> Column:
         return F.trim(_field(p, list(keys), "string"))
 
     sides = {"bow": "A", "stern": "B", "port": "C", "starboard": "D"}
-    return m.select(
+    return [
         _vget(v, "$.MetaData.MMSI", "bigint").alias("mmsi"),
         F.coalesce(text("Name", "ShipName"), F.trim(_vget(v, "$.MetaData.ShipName", "string")), F.lit("")).alias("ship_name"),
         text("CallSign", "Callsign").alias("call_sign"),
@@ -174,11 +171,47 @@ def flatten_voyages(messages: DataFrame, text_col: str = "value", received_col:
         text("Type", "ShipType").alias("ship_type"),
         text("Destination").alias("destination"),
         eta.cast("string").alias("eta_raw"),
-        F.date_format(infer_eta(eta, F.to_timestamp(received_col)), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("eta_timestamp_utc"),
+        F.date_format(infer_eta(eta, received.cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("eta_timestamp_utc"),
         _field(p, ["MaximumStaticDraught", "MaximumDraught", "Draught"], "double").alias("draught_m"),
         *[F.coalesce(_field(p, [f"DimensionTo{s.capitalize()}"], "int"), _field(p, [f"Dimension.{k}"], "int"))
           .alias(f"dimension_to_{s}_m") for s, k in sides.items()],
-        mtype.alias("msg_type"), F.col(received_col).alias("received_at"))
+        mtype.alias("msg_type"), received.alias("received_at")]
+
+
+_ETA = ["Eta", "ETA", "EstimatedTimeOfArrival"]
+
+
+def flatten_voyages(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
+    """AIS envelope text -> the 15 voyage columns (N2); other types are dropped.
+
+    ``eta_raw`` keeps an ETA object as compact JSON text.  An empty or uncastable field is null.
+    """
+    v, p, eta = F.col("_v"), F.col("_p"), F.col("_eta")
+    m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    mtype = _vget(v, "$.MessageType", "string")
+    m = m.filter(mtype.isin(VOYAGE_TYPES) & _vget(v, "$.MetaData.MMSI", "bigint").isNotNull())
+    m = m.withColumn("_p", _payload(v, R.VOYAGE_MESSAGE_TYPES)).withColumn("_eta", _field(p, _ETA, "variant"))
+    return m.select(*_voyage_fields(v, p, eta, mtype, F.col(received_col)))
+
+
+def sorted_messages(messages: DataFrame, text_col: str = "value", received_col: str = "received_at") -> DataFrame:
+    """Every message with the sink it belongs to, parsed once.
+
+    ``sink``: ``positions`` or ``voyage`` (their columns are the struct of that name), ``other`` (a message of another type),
+    ``quarantine`` (no JSON, no message type, or a position or voyage without a vessel number; ``value`` keeps the line).
+    """
+    v, p, eta, received = F.col("_v"), F.col("_p"), F.col("_eta"), F.col(received_col)
+    m = messages.withColumn("_v", F.try_parse_json(F.col(text_col)))
+    mtype = _vget(v, "$.MessageType", "string")
+    is_pos, is_voy = mtype.isin(POSITION_TYPES), mtype.isin(VOYAGE_TYPES)
+    bad = v.isNull() | mtype.isNull() | ((is_pos | is_voy) & _vget(v, "$.MetaData.MMSI", "bigint").isNull())
+    m = m.withColumn("sink", F.when(bad, "quarantine").when(is_pos, "positions").when(is_voy, "voyage").otherwise("other"))
+    sink = F.col("sink")
+    m = m.withColumn("_p", F.when(sink == "positions", _payload(v, R.POSITION_MESSAGE_TYPES)).when(sink == "voyage", _payload(v, R.VOYAGE_MESSAGE_TYPES)))
+    m = m.withColumn("_eta", F.when(sink == "voyage", _field(p, _ETA, "variant")))
+    return m.select("sink", F.when(sink == "positions", F.struct(*_position_fields(v, p, mtype, received))).alias("position"),
+                    F.when(sink == "voyage", F.struct(*_voyage_fields(v, p, eta, mtype, received))).alias("voyage"),
+                    F.when(sink == "quarantine", F.col(text_col)).alias("value"), F.substring(received, 1, 10).alias("date"))
 
 
 def envelopes_from_positions(positions: DataFrame) -> DataFrame:

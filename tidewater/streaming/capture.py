@@ -1,128 +1,94 @@
-"""Structured Streaming jobs.
-
-The reference captures a socket feed for a fixed budget and flushes every
-60 s.  Here a file (or Kafka) source of raw message lines is read with
-``readStream``; each micro-batch is flattened with Column expressions and
-written to two sinks (positions, voyages) plus a quarantine sink through
-``foreachBatch``.  Checkpoints live in the shared checkpoint folder, so a lost
-executor or driver restart resumes without loss.  Every micro-batch overwrites
-its own ``batch_id`` folder, so a replayed batch replaces itself; duplicates of
-(mmsi, received_at) across batches go when the sink is read
-(``read_positions``).  No watermark stands before the sinks: late rows stay.
+"""Structured Streaming capture of raw messages.
+
+The reference captures a socket feed for a fixed budget and flushes every 60 s.  Here a file (or Kafka) source of raw message
+lines is one stream: a micro-batch is parsed once and written once, as positions, voyages and rejected lines (partitions of
+one folder).  A batch overwrites its own ``batch_id`` folder, so a replayed batch replaces itself; duplicates of
+(mmsi, received_at) across batches go when the sink is read.  No watermark stands before the sinks: late rows stay.
+Checkpoints lie in the shared checkpoint folder, so a lost executor or a restarted driver resumes without loss.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.timefn import hour_trunc, parse_iso
-from tidewater.sources.raw import flatten_positions, flatten_voyages
+from tidewater.sources.raw import sorted_messages
 
 LINE_SCHEMA = "event_id BIGINT, value STRING, received_at STRING, date STRING"
+SINKS = ["positions", "voyage", "quarantine"]
+
+
+def write_batch(batch: DataFrame, epoch: int, out_root: str) -> dict[str, int]:
+    """One micro-batch into its three sinks, in one pass; its counts, measured on the way and kept beside them."""
+    seen, sink = Observation(), F.col("sink")
+    rows = sorted_messages(batch).observe(seen, F.count_if(sink != "quarantine").alias("received"),
+                                          *[F.count_if(sink == s).alias(s) for s in [*SINKS, "other"]])
+    rows.filter(sink != "other").write.mode("overwrite").partitionBy("sink", "date").parquet(f"{out_root}/messages/batch_id={epoch}")
+    counts = {k: int(v) for k, v in seen.get.items()}
+    spark = batch.sparkSession
+    spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)).coalesce(1) \
+        .write.mode("overwrite").parquet(f"{out_root}/counts/batch_id={epoch}")
+    return counts
 
 
 def run_capture(spark: SparkSession, source_dir: str, out_root: str, checkpoint: str, *,
-                processing_time: str | None = None, timeout_s: float | None = None):
-    """Raw message lines -> positions / voyage / quarantine sinks.
+                processing_time: str | None = None, timeout_s: float | None = None, max_files: int | None = None):
+    """Raw message lines -> positions, voyage and quarantine sinks.
 
-    ``processing_time=None`` runs ``availableNow`` (bounded run: process what
-    is there, then stop - R2); otherwise a fixed flush trigger such as
-    "60 seconds" (R1) until ``timeout_s``.
+    ``processing_time=None`` runs ``availableNow`` (bounded run: process what is there, then stop - R2); otherwise a fixed
+    flush trigger such as "60 seconds" (R1) until ``timeout_s``.  ``max_files``: of a micro-batch.
     """
-    lines = spark.readStream.schema(LINE_SCHEMA).json(source_dir)
-    flat = flatten_positions(lines).withColumn("date", F.substring("received_at", 1, 10))
+    reader = spark.readStream.schema(LINE_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
 
-    def put(batch: DataFrame, sink: str, epoch: int) -> None:
-        batch.write.mode("overwrite").partitionBy("date").parquet(f"{out_root}/{sink}/batch_id={epoch}")
+    def put(batch: DataFrame, epoch: int) -> None:
+        write_batch(batch, epoch, out_root)
 
-    def write_positions(batch: DataFrame, epoch: int) -> None:
-        put(batch.dropDuplicates(["mmsi", "received_at"]), "positions", epoch)
+    writer = reader.json(source_dir).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    query = (writer.trigger(availableNow=True) if processing_time is None else writer.trigger(processingTime=processing_time)).start()
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+    return query
 
-    def write_side(batch: DataFrame, epoch: int) -> None:
-        put(flatten_voyages(batch).withColumn("date", F.substring("received_at", 1, 10)), "voyage", epoch)
-        put(batch.filter(F.try_parse_json(F.col("value")).isNull()).select("event_id", "value", "date"), "quarantine", epoch)
 
-    def trig(w):
-        return w.trigger(availableNow=True) if processing_time is None else w.trigger(processingTime=processing_time)
-
-    q1 = trig(flat.writeStream.foreachBatch(write_positions).option("checkpointLocation", f"{checkpoint}/positions"))
-    q2 = trig(lines.writeStream.foreachBatch(write_side).option("checkpointLocation", f"{checkpoint}/side"))
-    s1, s2 = q1.start(), q2.start()
-    for q in (s1, s2):
-        if timeout_s is None:
-            q.awaitTermination()
-        elif not q.awaitTermination(timeout_s):
-            q.stop()
-    return s1, s2
+def read_sink(spark: SparkSession, out_root: str, sink: str) -> DataFrame:
+    """Rows of one sink with ``date``: positions and voyages one per (mmsi, received_at), rejected lines as they came."""
+    rows = spark.read.parquet(f"{out_root}/messages").filter(F.col("sink") == sink).withColumn("date", F.col("date").cast("string"))
+    if sink == "quarantine":
+        return rows.select("value", "date")
+    struct = "position" if sink == "positions" else sink
+    return rows.select(f"{struct}.*", "date").dropDuplicates(["mmsi", "received_at"])
 
 
 def read_positions(spark: SparkSession, out_root: str) -> DataFrame:
     """The positions sink, one row per (mmsi, received_at)."""
-    return spark.read.parquet(f"{out_root}/positions").drop("batch_id").dropDuplicates(["mmsi", "received_at"])
+    return read_sink(spark, out_root, "positions")
+
 
+def capture_counts(spark: SparkSession, out_root: str) -> DataFrame:
+    """One row: messages received, positions, voyages, rejected and other ones of all batches, and the files written."""
+    names = ["received", *SINKS, "other"]
+    counts = spark.read.parquet(f"{out_root}/counts").agg(*[F.sum(n).alias(n) for n in names])
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+             .load(f"{out_root}/messages").select("path"))
+    written = files.agg(*[F.count_if(F.col("path").contains(f"/sink={s}/")).alias(f"{s}_files") for s in SINKS])
+    return counts.join(written)  # one row each
 
-def run_hourly_features(spark: SparkSession, positions_dir: str, out_dir: str, checkpoint: str,
-                        schema: str) -> None:
-    """Hour windows over arrival time with a watermark (R7); append mode emits closed hours only."""
-    pos = spark.readStream.schema(schema).parquet(positions_dir)
-    ts = parse_iso(F.col("received_at")).cast("timestamp")
-    agg = (pos.withColumn("_ts", ts).withWatermark("_ts", "1 hour")
+
+def run_hourly_features(spark: SparkSession, out_root: str, out_dir: str, checkpoint: str) -> None:
+    """Hour windows over arrival time of the captured positions, with a watermark (R7); append mode emits closed hours only."""
+    captured = f"{out_root}/messages"
+    rows = spark.readStream.schema(spark.read.parquet(captured).schema).parquet(captured)
+    pos = rows.filter(F.col("sink") == "positions").select("position.*")
+    agg = (pos.withColumn("_ts", parse_iso(F.col("received_at")).cast("timestamp")).withWatermark("_ts", "1 hour")
            .groupBy("mmsi", F.window("_ts", "1 hour").alias("w"))
            .agg(F.max_by(F.struct("lat", "lon", "sog"), F.col("_ts")).alias("_l"))
            .select("mmsi", F.col("w.start").cast("timestamp_ntz").alias("observation_hour"), "_l.*"))
-    q = (agg.writeStream.outputMode("append").format("parquet").option("path", out_dir)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def live_state(spark: SparkSession, source_dir: str, boxes: DataFrame, checkpoint: str, out_dir: str,
-               ttl_minutes: int = 5) -> None:
-    """Latest record per vessel inside a box, dropped after ``ttl_minutes`` of silence.
-
-    ``transformWithStateInPandas`` keeps one value per vessel with a TTL; the
-    box filter is a broadcast range join against the (small) box table.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
-
-    out_schema = StructType([StructField("mmsi", LongType()), StructField("lat", DoubleType()),
-                             StructField("lon", DoubleType()), StructField("sog", DoubleType()),
-                             StructField("received_at", StringType())])
-
-    class Latest(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("latest", out_schema, ttl_minutes * 60 * 1000)
-
-        def handleInputRows(self, key, rows, timerValues):
-            best = None
-            for pdf in rows:
-                top = pdf.sort_values("received_at").iloc[-1]
-                if best is None or top["received_at"] >= best["received_at"]:
-                    best = top
-            if self.state.exists():
-                prev = self.state.get()
-                if best is None or prev[4] > best["received_at"]:
-                    best = pd.Series(dict(zip(out_schema.names, prev)))
-            self.state.update((int(best["mmsi"]), float(best["lat"]), float(best["lon"]),
-                               float(best["sog"]), str(best["received_at"])))
-            yield pd.DataFrame([{k: best[k] for k in out_schema.names}])
-
-        def close(self) -> None:
-            pass
-
-    lines = spark.readStream.schema(LINE_SCHEMA).json(source_dir)
-    flat = flatten_positions(lines)
-    cond = ((flat["lat"] >= boxes["lat_min"]) & (flat["lat"] <= boxes["lat_max"])
-            & (flat["lon"] >= boxes["lon_min"]) & (flat["lon"] <= boxes["lon_max"]))
-    inside = flat.join(boxes, cond, "left_semi").select("mmsi", "lat", "lon", "sog", "received_at")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = inside.groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=Latest(), outputStructType=out_schema, outputMode="Update", timeMode="ProcessingTime")
-    (out.writeStream.outputMode("update").foreachBatch(
-        lambda b, e: b.write.mode("append").parquet(out_dir))
+    (agg.writeStream.outputMode("append").format("parquet").option("path", out_dir)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
