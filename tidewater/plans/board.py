@@ -7,8 +7,8 @@ per-vessel scoring is Column expressions.
 
 Skew: a port is a hot key (10 values; one may hold a third of the vessels).
 Nothing collects a port's rows into one task: aggregates are partial, lists are
-ranked in two phases (bucket offsets, then row numbers inside a bucket), and
-full counts come from a separate grouped count.
+ranked over ranges of their whole sort key, and full counts come from a
+separate grouped count.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewater import refdata as R
 from tidewater.functions import rules
+from tidewater.operators.ranking import range_rank
 from tidewater.operators.spatial import distance_join
 from tidewater.plans.features import as_of_column, lookback
 
@@ -149,29 +150,22 @@ def board_vessels(positions: DataFrame, ports: DataFrame, *, as_of=None) -> Data
             .withColumn("name", rules.name_fallback(F.col("ship_name"), F.col("mmsi"))))
 
 
-def ranked(df: DataFrame, bucket: list, order: list, rank: str, limit: int | None) -> DataFrame:
-    """Rank within each port by ``order``, whose leading part grows with ``bucket``.
+def ranked(df: DataFrame, order: list, rank: str, limit: int | None) -> DataFrame:
+    """Rank within each port by ``order``.
 
-    Two phases, so that no port's rows are sorted in one task: bucket counts give each bucket's offset (a few hundred
-    rows a port), and rows are numbered inside their bucket only.  ``limit``: an explicit top-k.
+    All rows: ranges of the whole sort key, so that no port's rows are sorted in one task.  ``limit``, an explicit top-k: a
+    filtered row number, of which every task keeps the first ``limit`` rows of a port before the shuffle.
     """
-    keys = [f"_k{i}" for i in range(len(bucket))]
-    d = df.withColumns(dict(zip(keys, bucket, strict=True)))
-    counts = d.groupBy("port_code", *keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("port_code").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("port_code", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    if limit is not None:
-        offsets = offsets.filter(F.col("_off") < limit)
-    out = (d.join(offsets, ["port_code", *keys])
-           .withColumn(rank, (F.col("_off") + F.row_number().over(Window.partitionBy("port_code", *keys).orderBy(*order)))
-                       .cast("int")).drop("_off", *keys))
-    return out if limit is None else out.filter(F.col(rank) <= limit)
+    if limit is None:
+        return range_rank(df, ["port_code"], order, rank).withColumn(rank, F.col(rank).cast("int"))
+    top = Window.partitionBy("port_code").orderBy(*order)
+    return df.withColumn(rank, F.row_number().over(top).cast("int")).filter(F.col(rank) <= limit)
 
 
 def vessel_list(vessels: DataFrame, limit: int | None = None) -> DataFrame:
     """All vessels by priority, distance, speed desc, with the port's count (T3); ``limit`` asks for a top-k."""
     order = ["zone_priority", "distance_nm", F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi"]
-    top = ranked(vessels, [F.col("zone_priority"), F.floor("distance_nm")], order, "list_rank", limit)
+    top = ranked(vessels, order, "list_rank", limit)
     totals = vessels.groupBy("port_code").agg(F.count("*").alias("vessels_total"))
     return top.join(totals, "port_code", "left")
 
@@ -180,7 +174,7 @@ def arrival_schedule(vessels: DataFrame, limit: int | None = None) -> DataFrame:
     """Approaching and transit vessels, nearest first (T4); ``limit`` asks for a top-k."""
     order = ["dist", "zone_priority", "distance_nm", F.coalesce(F.col("sog"), F.lit(0.0)).desc(), "mmsi"]
     moving = vessels.filter(F.col("zone").isin("approaching", "transit"))
-    return (ranked(moving, [F.floor("dist")], order, "schedule_rank", limit)
+    return (ranked(moving, order, "schedule_rank", limit)
             .select("port_code", "schedule_rank", F.col("name").alias("vessel"), F.col("mmsi").cast("string").alias("mmsi"),
                     F.lit("Arrival").alias("type"), F.lit("In Transit").alias("status"), "eta",
                     F.col("dist").alias("distance_nm")))

@@ -1,7 +1,7 @@
 """What a board shows of a port's vessels: orders, filters, previews, berth use, source freshness and alarms.
 
-All functions work on every port at once.  Ranks come from ``board.ranked``: bucket offsets first, then row numbers
-inside a bucket, so no port is sorted in one task.
+All functions work on every port at once.  Ranks come from ``board.ranked``: ranges of the whole sort key, so no port is
+sorted in one task.
 """
 
 from __future__ import annotations
@@ -16,14 +16,12 @@ from tidewater.functions import rules
 from tidewater.plans.board import berth_occupancy, ranked, vessel_list
 
 PREVIEW = 6
-#: Leading characters of a name that make a rank bucket.
-NAME_BUCKET = 4
 
 
 def board_order(vessels: DataFrame) -> DataFrame:
     """Vessels of each port by zone (berth, anchor, approaching, transit), distance, name, then mmsi (T5)."""
     zone = rules.zone_ordinal("zone")
-    return (ranked(vessels, [zone, F.floor("dist")], [zone, "dist", "name", "mmsi"], "board_rank", None)
+    return (ranked(vessels, [zone, "dist", "name", "mmsi"], "board_rank", None)
             .select("port_code", "board_rank", "mmsi", "name", "zone", "dist", rules.schedule_status("zone").alias("status")))
 
 
@@ -32,18 +30,11 @@ def schedule_sort(vessels: DataFrame, by: str) -> DataFrame:
 
     Names compare by code points.  A vessel that makes no way has an infinite ETA and comes last.
     """
-    eta = rules.eta_hours("dist", "speed")
-    orders: dict[str, tuple[Column, list[Column]]] = {
-        "distance": (F.floor("dist"), [F.col("dist")]),
-        # buckets of an hour; everything beyond a year of hours is one bucket, infinity included
-        "eta": (F.floor(F.least(eta, F.lit(8760.0))), [eta]),
-        "speed": (-F.floor("speed"), [F.col("speed").desc()]),
-        "name": (F.substring("name", 1, NAME_BUCKET), [F.col("name")]),
-    }
+    orders: dict[str, Column] = {"distance": F.col("dist"), "eta": rules.eta_hours("dist", "speed"), "speed": F.col("speed").desc(),
+                                 "name": F.col("name")}
     if by not in orders:
         raise ValueError(f"sort must be one of {sorted(orders)}")
-    bucket, order = orders[by]
-    return ranked(vessels, [bucket], [*order, F.col("mmsi")], "sort_rank", None)
+    return ranked(vessels, [orders[by], F.col("mmsi")], "sort_rank", None)
 
 
 def board_filters(vessels: DataFrame, zone: str = "all", movement: str = "all", search: str = "") -> DataFrame:

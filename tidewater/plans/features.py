@@ -289,11 +289,13 @@ def p75_by_port(inbound: DataFrame, as_of: Column, *, days: int = 90, accuracy:
 
 
 def congestion_target(inbound: DataFrame, *, as_of: AsOf = None, source: DataFrame | None = None,
-                      threshold: str = "global") -> DataFrame:
+                      threshold: str = "global", least_anchor: int = 2, fan_out: bool = False) -> DataFrame:
     """Row for hour T carries the state at T + 24 h and a 0/1 label.
 
-    The reference's same-hour self-join is an identity on the unique
-    (port, hour, date) key and is not built; the 24 h shift is a projection.
+    The reference joins the table to itself on (port, hour).  Where an hour lies in one date partition that changes nothing,
+    and the 24 h shift is a projection.  Where it lies in several, every one of its rows meets every other;
+    ``fan_out`` does the same (a join of the rows with the counts of their hour).
+    ``least_anchor``: a congested port holds more anchored vessels than that (2 in the reference).
     ``threshold='global'``: one p75 per port over the last 90 days at build
     time (reference behaviour); ``'trailing'``: p75 of the preceding 90 days
     of each row (no look-ahead), computed as a RANGE window per port over
@@ -309,8 +311,12 @@ def congestion_target(inbound: DataFrame, *, as_of: AsOf = None, source: DataFra
         w = (Window.partitionBy("port_code").orderBy(epoch_seconds("observation_hour"))
              .rangeBetween(-90 * 86400, 0))
         base = inbound.withColumn("p75_anchor", F.percentile_approx("vessels_at_anchor", 0.75, 10000).over(w))
+    if fan_out:
+        key = ["port_code", "observation_hour"]
+        later = base.select(*key, F.col("vessels_at_anchor").alias("_later"), F.col("p75_anchor"))
+        base = base.select(*key, "date_partition").join(later, key).withColumn("vessels_at_anchor", F.col("_later"))
     fut = F.col("vessels_at_anchor")
-    label = F.when((fut > F.col("p75_anchor")) & (fut > 2), 1).otherwise(0)
+    label = F.when((fut > F.col("p75_anchor")) & (fut > least_anchor), 1).otherwise(0)
     return base.select("port_code",
                        (F.col("observation_hour") - F.expr("INTERVAL 24 HOURS")).alias("observation_hour"),
                        fut.alias("future_anchor"), "p75_anchor", label.alias("is_congested_24h"),

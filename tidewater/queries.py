@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -98,6 +98,11 @@ class Graph:
     def target(self):
         return self._get("target", lambda: FT.congestion_target(self.inbound, as_of=self.as_of))
 
+    @property
+    def target_thin(self):
+        """Labels without the least number of anchored vessels: the derived feed is too thin for it to hold both classes."""
+        return self._get("target_thin", lambda: FT.congestion_target(self.inbound, as_of=self.as_of, least_anchor=0))
+
 
 @register("hourly_last_position")
 def q_hourly_last_position(spark, sf_dir):
@@ -353,10 +358,16 @@ def _dataset_v1(g: Graph) -> DataFrame:
     return ML.training_dataset(g.status, g.target, RD.FEATURES_V1)
 
 
-def _dataset_v2(g: Graph) -> DataFrame:
-    start = g.as_of - F.make_dt_interval(F.lit(90))
-    f = g.status_v2.filter(F.col("observation_hour") >= start)
-    return ML.training_dataset(f, g.target, RD.FEATURES_V2)
+def _dataset_v2(g: Graph, thin: bool = False) -> DataFrame:
+    return ML.dataset_v2(g.status_v2, g.target_thin if thin else g.target, g.as_of - F.make_dt_interval(F.lit(90)))
+
+
+def _thin_v1(g: Graph) -> DataFrame:
+    return ML.training_dataset(g.status, g.target_thin, RD.FEATURES_V1)
+
+
+def _rule_score() -> Column:
+    return F.least(F.lit(1.0), F.coalesce(F.col("vessels_at_anchor") / 4.0, F.lit(0.0)))
 
 
 @register("dataset_v1")
@@ -392,32 +403,70 @@ def q_class_weight(spark, sf_dir):
 def q_evaluate(spark, sf_dir):
     """Metrics of a fixed score column (anchored share of the 10 nm ring) against the label."""
     d = _dataset_v1(Graph(spark, sf_dir))
-    score = F.least(F.lit(1.0), F.coalesce(F.col("vessels_at_anchor") / 4.0, F.lit(0.0)))
-    return finish(ML.evaluate(d.withColumn("score", score)))
+    return finish(ML.evaluate(d.withColumn("score", _rule_score())))
+
+
+@register("evaluate_two_classes")
+def q_evaluate_two_classes(spark, sf_dir):
+    """The same score against labels of both classes, from ten rings and speeds, so that most scores differ."""
+    d = _thin_v1(Graph(spark, sf_dir))
+    spread = F.coalesce(F.col("avg_speed_50nm") / 100, F.lit(0.0)) + F.col("vessels_in_200nm") / 1000
+    return finish(ML.evaluate(d.withColumn("score", F.least(F.lit(1.0), _rule_score() + F.round(spread, 9)))))
 
 
 @register("split_stratified")
 def q_split_stratified(spark, sf_dir):
-    d = ML.stratified_split(_dataset_v1(Graph(spark, sf_dir)), ["port_code", "observation_hour"])
-    return d.groupBy("split", RD.TARGET).agg(F.count("*").alias("rows"))
+    d = ML.stratified_split(_thin_v1(Graph(spark, sf_dir)), ["port_code", "observation_hour"])
+    return d.select("port_code", "observation_hour", RD.TARGET, "split")
 
 
 @register("train_gbt_importance")
 def q_train(spark, sf_dir):
-    g = Graph(spark, sf_dir)
-    d = ML.fill_features(ML.chronological_split(_dataset_v2(g)), RD.FEATURES_V2)
+    d = ML.fill_features(ML.chronological_split(_dataset_v2(Graph(spark, sf_dir), thin=True)), RD.FEATURES_V2)
     train = d.filter(F.col("split") == "train")
-    model = ML.train_gbt(ML.with_weights(train, ML.positive_weight(train, strict=False)), RD.FEATURES_V2, max_iter=150)
+    model = ML.train_gbt(ML.with_weights(train, ML.positive_weight(train)), RD.FEATURES_V2, max_iter=150)
     return ML.importance(model, RD.FEATURES_V2, spark)
 
 
+def _trained_v1(g: Graph, max_iter: int = 100):
+    d = ML.fill_features(_thin_v1(g), RD.FEATURES_V1)
+    train = ML.stratified_split(d, ["port_code", "observation_hour"]).filter(F.col("split") == "train")
+    return ML.train_gbt(ML.with_weights(train, ML.positive_weight(train)), RD.FEATURES_V1, max_iter=max_iter)
+
+
 @register("score_latest")
 def q_score_latest(spark, sf_dir):
     g = Graph(spark, sf_dir)
-    d = ML.fill_features(_dataset_v1(g), RD.FEATURES_V1)
-    train = ML.stratified_split(d, ["port_code", "observation_hour"]).filter(F.col("split") == "train")
-    model = ML.train_gbt(ML.with_weights(train, ML.positive_weight(train, strict=False)), RD.FEATURES_V1, max_iter=100)
-    return ML.score_latest(model, g.status, g.ports, RD.FEATURES_V1)
+    return ML.score_latest(_trained_v1(g), g.status, g.ports, RD.FEATURES_V1)
+
+
+@register("score_latest_rows")
+def q_score_latest_rows(spark, sf_dir):
+    """Which rows a model scores, and that its class follows from its probability; the probability itself is the model's."""
+    g = Graph(spark, sf_dir)
+    scored = ML.score_latest(_trained_v1(g, max_iter=10), g.status, g.ports, RD.FEATURES_V1)
+    p = F.col("congestion_probability")
+    follows = (p == 0.5) | ((p > 0.5).cast("int") == F.col("predicted_congested"))
+    return scored.select("port_code", "as_of", p.between(0, 1).alias("is_probability"), follows.alias("class_follows"))
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    """A v2 candidate and the saved v1 model on the same last hours (60 and 30 rounds)."""
+    g = Graph(spark, sf_dir)
+    serving, candidate = scratch_path(spark, "serving-v1"), scratch_path(spark, "candidate-v2")
+    _trained_v1(g, max_iter=30).write().save(serving)
+    return ML.compare_models(spark, _dataset_v2(g, thin=True), serving, candidate, max_iter=60)[0]
+
+
+@register("label_fan_out")
+def q_label_fan_out(spark, sf_dir):
+    """Labels where an hour lies in two date partitions: derived by a second partition of every fifth hour."""
+    g = Graph(spark, sf_dir)
+    twice = g.inbound.filter(F.hour("observation_hour") % 5 == 0).withColumns({
+        "date_partition": F.date_format(F.date_add(F.to_date("observation_hour"), 1), "yyyy-MM-dd"),
+        "vessels_at_anchor": F.col("vessels_at_anchor") + 1})
+    return finish(FT.congestion_target(g.inbound.union(twice), as_of=g.as_of, fan_out=True))
 
 
 # --- raw sources, AIS flattening, streaming -----------------------------------------
