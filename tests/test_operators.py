@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidewater.operators.spatial import distance_join
+from tidewater.operators.spatial import distance_join, nearest_in_reach
 from tidewater.operators.temporal import asof_join
 
 
@@ -29,6 +29,17 @@ def test_distance_join_equals_brute_force(spark):
         got = {(x.id, x.port_code) for x in distance_join(pdf, sdf, r).select("id", "port_code").collect()}
         want = {(i, c) for i, la, lo in pts for c, sla, slo in sites if _hav(la, lo, sla, slo) <= r}
         assert got == want
+        near = {x.id: (x.port_code, x.distance_nm) for x in nearest_in_reach(pdf, sdf, r).collect()}
+        assert len(near) == len(pts)
+        for i, la, lo in pts:
+            best = min(((_hav(la, lo, sla, slo), c) for c, sla, slo in sites), default=None)
+            if best[0] > r:
+                assert near[i] == (None, None)
+            else:
+                assert near[i][0] == best[1] and abs(near[i][1] - best[0]) < 1e-6
+    twins = sdf.filter("port_code = 'S0'").union(sdf.filter("port_code = 'S0'").withColumn("port_code", F.lit("A")))
+    at = twins.limit(1).select(F.lit(1).alias("id"), F.col("port_lat").alias("lat"), F.col("port_lon").alias("lon"))
+    assert [x.port_code for x in nearest_in_reach(at, twins, 50.0).collect()] == ["A"]  # a tie
 
 
 def test_asof_join_equals_brute_force(spark):

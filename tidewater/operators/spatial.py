@@ -67,6 +67,24 @@ def distance_join(points: DataFrame, sites: DataFrame, radius_nm: float, *,
             .filter(F.col(distance_col) <= F.lit(float(radius_nm))))
 
 
+def nearest_in_reach(points: DataFrame, sites: DataFrame, radius_nm: float, *, lat: str = "lat", lon: str = "lon",
+                     site_lat: str = "port_lat", site_lon: str = "port_lon", site_col: str = "port_code",
+                     distance_col: str = "distance_nm") -> DataFrame:
+    """Every point with its nearest site within ``radius_nm`` and the distance; nulls without one (J3).  Ties go to the smaller code.
+
+    Sites are gathered into one list per grid cell (as many as have the cell in reach), so a point meets one row and the nearest
+    is a minimum inside it: points are neither multiplied nor shuffled again by a key of their own.
+    """
+    cy, cx = point_cells(F.col(lat), F.col(lon), radius_nm)
+    rows, cols = site_cells(F.col(site_lat), F.col(site_lon), radius_nm)
+    cells = (sites.withColumn("_cy", F.explode(rows)).withColumn("_cx", F.explode(cols)).groupBy("_cy", "_cx")
+             .agg(F.collect_list(F.struct(F.col(site_col).alias("code"), F.col(site_lat).alias("y"), F.col(site_lon).alias("x"))).alias("_sites")))
+    j = points.withColumn("_cy", cy).withColumn("_cx", cx).join(cells, ["_cy", "_cx"], "left")
+    far = F.transform("_sites", lambda s: F.struct(haversine_nm(F.col(lat), F.col(lon), s["y"], s["x"]).alias("d"), s["code"].alias("code")))
+    nearest = F.array_min(F.filter(far, lambda t: t["d"] <= F.lit(float(radius_nm))))
+    return j.withColumn("_near", nearest).select(*points.columns, F.col("_near.code").alias(site_col), F.col("_near.d").alias(distance_col))
+
+
 def nearest_site(pairs: DataFrame, key_cols: list[str], distance_col: str = "distance_nm",
                  site_col: str = "port_code") -> DataFrame:
     """Keep the closest site per key (J3): min_by over (distance, site code) as tie-break.

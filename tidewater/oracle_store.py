@@ -128,3 +128,35 @@ FROM (VALUES {codes}) AS c(i, code) LEFT JOIN (
 FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id::DOUBLE WHEN 1 THEN -event_id - 0.75::DOUBLE WHEN 4 THEN 10.0::DOUBLE * event_id
                             WHEN 6 THEN event_id / power(10, length(event_id::VARCHAR)) END AS x FROM events)"""
     return out
+
+
+def place_oracles(o: dict[str, str], with_views) -> dict[str, str]:
+    codes = """codes AS (
+  SELECT c_custkey AS k, chr(CAST(65 + c_nationkey % 26 AS INTEGER)) || chr(CAST(65 + c_nationkey * 7 % 26 AS INTEGER)) AS country,
+    CASE WHEN c_custkey % 29 = 0 THEN '' ELSE chr(CAST(65 + c_custkey % 20 AS INTEGER)) || chr(CAST(65 + c_custkey * 3 % 20 AS INTEGER)) || 'X' END
+        AS location,
+    (c_custkey % 90 + (c_custkey % 60) / 60) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END AS lat,
+    (c_custkey % 180 + (c_custkey * 7 % 60) / 60) * CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE -1 END AS lon
+  FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 17 NOT IN (3, 5, 7))"""
+    box = """round_even({lat} - 50 / 60, 4) AS lat_min, round_even({lat} + 50 / 60, 4) AS lat_max,
+  round_even({lon} - 50 / 60 / greatest(cos(radians({lat})), 0.1), 4) AS lon_min,
+  round_even({lon} + 50 / 60 / greatest(cos(radians({lat})), 0.1), 4) AS lon_max"""
+    out = {"port_code_boxes": f"WITH {codes} SELECT country || location AS locode, {box.format(lat='lat', lon='lon')} FROM codes",
+           "port_code_centres": f"""WITH {codes}
+SELECT country || location AS locode, round_even(arg_max(lat, k), 4) AS lat, round_even(arg_max(lon, k), 4) AS lon
+FROM codes WHERE location <> '' GROUP BY ALL"""}
+    out["bbox_filter"] = with_views(["ports", "positions"], f"""SELECT event_id, round(v.lat, 6) AS lat, round(v.lon, 6) AS lon FROM positions v
+SEMI JOIN (SELECT {box.format(lat='lat', lon='lon')} FROM ports) b
+  ON v.lat BETWEEN b.lat_min AND b.lat_max AND v.lon BETWEEN b.lon_min AND b.lon_max""")
+    stations = ", ".join(f"('{p}', '{s}')" for p, s in R.TIDE_STATIONS)
+    out["station_lookup"] = f"""SELECT port_code, observation_hour, station_id FROM ({o['feature_vessel_inbound_hourly']})
+JOIN (VALUES {stations}) AS s(port_code, station_id) USING (port_code)"""
+    out["file_freshness"] = with_views(["weather", "tides"], """SELECT s.source, d.date,
+  CASE WHEN d.date IS NULL THEN 'stale' ELSE 'active' END AS status, CASE WHEN d.date IS NOT NULL THEN true END AS has_age,
+  d.date IS NOT NULL AS minutes
+FROM (VALUES ('weather'), ('noaa_tides'), ('gdelt_events')) AS s(source) LEFT JOIN (
+  SELECT source, max(date) AS date FROM (SELECT 'weather' AS source, date FROM weather
+                                         UNION ALL SELECT 'noaa_tides', strftime(tide_ts, '%Y-%m-%d') FROM tides), 
+       (SELECT CAST(max(CAST(date AS DATE)) + 1 AS DATE) AS today FROM weather)
+  WHERE CAST(date AS DATE) IN (today, today - 1) GROUP BY source) d USING (source)""")
+    return out

@@ -45,10 +45,11 @@ def normalise_articles(articles: DataFrame, include_unattributed: bool = True) -
          .filter(~((F.col("_title") == "") & (F.col("_url") == ""))))
     a = a.withColumn("_seen", T.seen_date_parse(_first_non_empty(a, "seendate", "seenDate", "seen_date")))
     a = a.withColumn("_text", T.normalize_text(F.concat(F.col("_title"), F.lit(" "), F.col("_url"))))
-    a = (a.withColumn("_cat", T.categorise(F.col("_text"), F.col("query_name")))
-         .withColumn("_sev", T.severity(F.col("_text")))
-         .withColumn("_base", T.event_base_id(F.col("_url"), F.col("_title"), F.col("_seen")))
-         .withColumn("_attrs", T.attribute_ports(F.col("_text"))))
+    # each term is looked for once; what follows reads bits and first terms
+    a = a.withColumns({"_masks": T.category_masks(F.col("_text")), "_sev": T.severity(F.col("_text")),
+                       "_base": T.event_base_id(F.col("_url"), F.col("_title"), F.col("_seen")), "_reasons": T.port_reasons(F.col("_text"))})
+    a = a.withColumns({"_cat": T.categorise_masks(F.col("_masks"), F.col("query_name")),
+                       "_attrs": F.array_compact(T.attributions(F.col("_reasons")))})
     gen = F.explode_outer("_attrs") if include_unattributed else F.explode("_attrs")
     a = a.withColumn("_a", gen)
     extra = [c for c in ("query_ordinal", "article_ordinal") if c in a.columns]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater import refdata as R
 from tidewater.functions.geo import haversine_nm
 from tidewater.functions.rules import live_zone
-from tidewater.operators.spatial import distance_join
+from tidewater.operators.spatial import nearest_in_reach
 from tidewater.operators.temporal import asof_join
 
 # --- Fixed values: loader column maps (source key -> warehouse column) per table ---
@@ -65,11 +67,7 @@ def stage_positions(positions: DataFrame, ports: DataFrame, radius_nm: float = R
     dedup = (positions.groupBy("mmsi", "received_at")
              .agg(F.min_by(F.struct(*cols), F.col("event_id")).alias("_r")).select("mmsi", "received_at", "_r.*"))
     sites = ports.select("port_code", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon"))
-    pairs = distance_join(dedup.select("event_id", "lat", "lon"), sites, radius_nm)
-    near = (pairs.groupBy("event_id")
-            .agg(F.min_by(F.struct("port_code", "distance_nm"), F.struct("distance_nm", "port_code")).alias("_n"))
-            .select("event_id", F.col("_n.port_code").alias("port_code"), F.col("_n.distance_nm").alias("distance_nm")))
-    j = dedup.join(near, "event_id", "left")
+    j = nearest_in_reach(dedup, sites, radius_nm)
     zone = (F.when(F.col("distance_nm").isNull(), "in_transit")
             .otherwise(F.element_at(F.create_map(F.lit("berth"), F.lit("at_berth"), F.lit("anchor"), F.lit("at_anchor"),
                                                  F.lit("approaching"), F.lit("approaching"), F.lit("transit"),
@@ -123,13 +121,13 @@ def stage_macro(macro: DataFrame) -> DataFrame:
 def mart_port_daily(staged: DataFrame) -> DataFrame:
     """Daily vessels by zone and anchored share per port."""
     z = F.col("zone")
-    day = F.to_date("received_at")
-    g = (staged.filter(F.col("port_code").isNotNull())
-         .groupBy("port_code", day.alias("activity_date"))
-         .agg(F.count_distinct("mmsi").alias("total_vessels"),
-              F.count_distinct(F.when(z == "at_berth", F.col("mmsi"))).alias("vessels_at_berth"),
-              F.count_distinct(F.when(z == "at_anchor", F.col("mmsi"))).alias("vessels_at_anchor"),
-              F.count_distinct(F.when(z == "approaching", F.col("mmsi"))).alias("vessels_approaching")))
+    # one row per vessel first: plain sums then, instead of four distinct counts that would copy every row
+    kinds = {"vessels_at_berth": "at_berth", "vessels_at_anchor": "at_anchor", "vessels_approaching": "approaching"}
+    vessels = (staged.filter(F.col("port_code").isNotNull())
+               .groupBy("port_code", F.to_date("received_at").alias("activity_date"), "mmsi")
+               .agg(*[F.max(z == kind).alias(name) for name, kind in kinds.items()]))
+    g = vessels.groupBy("port_code", "activity_date").agg(F.count("mmsi").alias("total_vessels"),
+                                                          *[F.count_if(F.col(name)).alias(name) for name in kinds])
     return g.withColumn("congestion_score", F.col("vessels_at_anchor") / F.col("total_vessels"))
 
 
@@ -161,29 +159,24 @@ def mart_vessel_daily(staged: DataFrame) -> DataFrame:
 
 def quality_checks(positions: DataFrame, port_daily: DataFrame, macro_staged: DataFrame, weather: DataFrame,
                    ports: DataFrame, attribution: DataFrame, trade_staged: DataFrame, as_of: Column) -> DataFrame:
-    """Eight checks, one row each: (check_name, violations)."""
-    def one(name: str, df: DataFrame, expr: Column) -> DataFrame:
-        return df.agg(expr.cast("bigint").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-
+    """Eight checks, one row each: (check_name, violations) (D7).  Every source is read once, by one aggregate."""
     lat, lon = F.col("lat"), F.col("lon")
+
+    def checked(df: DataFrame, **violations: Column) -> DataFrame:
+        one = df.agg(*[c.cast("bigint").alias(name) for name, c in violations.items()])
+        pairs = [x for name in violations for x in (F.lit(name), F.col(name))]
+        return one.select(F.stack(F.lit(len(violations)), *pairs).alias("check_name", "violations"))
+
     checks = [
-        one("coordinates_in_range", positions, F.count_if((lat < -90) | (lat > 90) | (lon < -180) | (lon > 180))),
-        one("speed_below_50kn", positions, F.count_if(F.col("sog") >= MAX_SPEED_KN)),
-        one("congestion_score_in_unit_range", port_daily,
-            F.count_if((F.col("congestion_score") < 0) | (F.col("congestion_score") > 1))),
-        one("no_future_timestamps", positions, F.count_if(F.col("received_at") > as_of)),
-        one("macro_series_complete", macro_staged,
-            F.lit(len(MACRO_SERIES)) - F.count_distinct(F.col("series_id"))),
-        one("weather_coverage_per_port",
-            ports.join(weather.select("port_code").distinct(), "port_code", "left_anti"), F.count("*")),
-        one("no_duplicate_events",
-            attribution.groupBy("event_id").count().filter(F.col("count") > 1), F.count("*")),
-        one("positive_trade_values", trade_staged, F.count_if(F.col("primary_value") <= 0)),
+        checked(positions, coordinates_in_range=F.count_if((lat < -90) | (lat > 90) | (lon < -180) | (lon > 180)),
+                speed_below_50kn=F.count_if(F.col("sog") >= MAX_SPEED_KN), no_future_timestamps=F.count_if(F.col("received_at") > as_of)),
+        checked(port_daily, congestion_score_in_unit_range=F.count_if((F.col("congestion_score") < 0) | (F.col("congestion_score") > 1))),
+        checked(macro_staged.select("series_id").distinct(), macro_series_complete=F.lit(len(MACRO_SERIES)) - F.count("series_id")),
+        checked(ports.join(weather.select("port_code").distinct(), "port_code", "left_anti"), weather_coverage_per_port=F.count(F.lit(1))),
+        checked(attribution.groupBy("event_id").count().filter(F.col("count") > 1), no_duplicate_events=F.count(F.lit(1))),
+        checked(trade_staged, positive_trade_values=F.count_if(F.col("primary_value") <= 0)),
     ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out.withColumn("passed", F.col("violations") == 0)
+    return reduce(DataFrame.unionByName, checks).withColumn("passed", F.col("violations") == 0)
 
 
 # --- D8, D10 --------------------------------------------------------------------------

@@ -315,3 +315,69 @@ def q_safe_cast(spark, sf_dir):
     events = Inputs(spark, sf_dir).table("events").select("event_id", text.alias("result"))
     return finish(events.select("event_id", safe_float("result").alias("as_float"), safe_float("result", -1.0).alias("or_minus_one"),
                                 safe_int("result").alias("as_int"), safe_int("result", 7).alias("or_seven")))
+
+
+# --- port codes, boxes, file ages ----------------------------------------------------------------------------------------
+
+from tidewater.operators.spatial import in_any_box  # noqa: E402
+from tidewater.sources import file_ages as FA  # noqa: E402
+from tidewater.sources import port_codes as PC  # noqa: E402
+
+BOM = "\ufeff"
+
+
+def _code_list(spark, sf_dir: str) -> DataFrame:
+    """A code list of the customers: repeated codes, several kinds of unusable rows; files in the order of the keys."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    country = F.concat(F.char(65 + n % 26), F.char(65 + (n * 7) % 26))
+    location = F.when(k % 29 == 0, "").otherwise(F.concat(F.char(65 + k % 20), F.char(65 + (k * 3) % 20), F.lit("X")))
+    coordinates = (F.when(k % 17 == 3, "").when(k % 17 == 5, "5A12N 00410E").when(k % 17 == 7, "5155N")
+                   .otherwise(F.format_string("%02d%02d%s %03d%02d%s", k % 90, k % 60, F.when(k % 2 == 0, "N").otherwise("s"), k % 180,
+                                              (k * 7) % 60, F.when(k % 3 == 0, "E").otherwise("W"))))
+    function = F.when(k % 5 == 0, "--34----").when(k % 5 == 1, "123-----").otherwise("1-------")
+    quoted = F.concat(F.lit('"'), F.concat(F.lit('Port ""'), k, F.lit('"", west')), F.lit('"'))
+    line = F.concat_ws(",", F.lit(""), country, location, quoted, F.lit("x"), F.lit(""), function, F.lit("AF"), F.lit("0401"), F.lit(""), coordinates, F.lit(""))
+    customers = Inputs(spark, sf_dir).table("customer")
+    path = scratch_path(spark, "codes")
+    first = customers.agg(F.min("c_custkey")).first()[0]
+    (customers.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+     .select(F.when(k == first, F.concat(F.lit(BOM), line)).otherwise(line).alias("value")).write.text(path))
+    return PC.scan_locode_csv(spark, path)
+
+
+@register("port_code_boxes")
+def q_port_code_boxes(spark, sf_dir):
+    return finish(PC.port_boxes(_code_list(spark, sf_dir)))
+
+
+@register("port_code_centres")
+def q_port_code_centres(spark, sf_dir):
+    return finish(PC.port_centres(_code_list(spark, sf_dir)))
+
+
+@register("bbox_filter")
+def q_bbox_filter(spark, sf_dir):
+    """Positions inside the capture box of any port."""
+    inp = Inputs(spark, sf_dir)
+    boxes = PC.capture_boxes(inp.ports.select("lat", "lon"))
+    return finish(in_any_box(inp.positions.select("event_id", "lat", "lon"), boxes))
+
+
+@register("station_lookup")
+def q_station_lookup(spark, sf_dir):
+    """Hours of ports with a tide station, and the station; other ports give no rows."""
+    b = Board(spark, sf_dir)
+    stations = spark.createDataFrame(R.TIDE_STATIONS, "port_code string, station_id string")
+    return b.inbound.select("port_code", "observation_hour").join(F.broadcast(stations), "port_code")
+
+
+@register("file_freshness")
+def q_file_freshness(spark, sf_dir):
+    """Sources whose files were just written: which of two partitions was taken; one without files is unavailable."""
+    root = scratch_path(spark, "raw")
+    for source in ("weather", "noaa_tides"):
+        RW.sink_ndjson(raw_records(spark, sf_dir, source).select(*[c.split()[0] for c in RW.RAW_SCHEMAS[source].split(", ")], "date"),
+                       root, source)
+    last = raw_records(spark, sf_dir, "weather").agg(F.date_add(F.max(F.to_date("date")), 1).cast("string")).first()[0]
+    ages = FA.file_freshness(spark, root, ["weather", "noaa_tides", "gdelt_events"], last)
+    return ages.select("source", "date", "status", (F.col("age_minutes") >= 0).alias("has_age"), F.col("freshness").endswith("min ago").alias("minutes"))

@@ -21,7 +21,6 @@ PORTS: list[tuple[str, str, str, float, float]] = [
     ("USNYC", "New York", "US", 40.6892, -74.0445),
     ("TWKHH", "Kaohsiung", "TW", 22.6163, 120.2650),
 ]
-PORT_CODES = [p[0] for p in PORTS]
 
 # --- Fixed values: verified terminal names per port (others have none) ---
 PORT_TERMINALS: dict[str, list[str]] = {
@@ -125,9 +124,6 @@ TIDE_STATIONS: list[tuple[str, str]] = [
     ("USFPG", "8452660"),
 ]
 
-# --- Fixed values: weather ports ---
-WEATHER_PORTS = ["NLRTM", "SGSIN", "USLAX", "CNSHA", "DEHAM", "BEANR", "GBFXT", "JPTYO", "KRPUS", "AEJEA"]
-
 # --- Fixed values: AIS message types ---
 POSITION_MESSAGE_TYPES = ["PositionReport", "StandardClassBPositionReport", "ExtendedClassBPositionReport"]
 VOYAGE_MESSAGE_TYPES = ["ShipStaticData", "StaticDataReport", "ShipStaticAndVoyageData",
@@ -141,9 +137,8 @@ FEATURES_V2 = FEATURES_V1 + ["vessels_at_berth", "vessels_waiting_anchor", "vess
                              "avg_distance_delta_nm", "avg_draught_waiting_anchor"]
 TARGET = "is_congested_24h"
 
-# --- Fixed values: board zone order and vessel states ---
+# --- Fixed values: board zone order ---
 ZONE_ORDER = ["berth", "anchor", "approaching", "transit"]
-VESSEL_STATES = ["at_berth", "waiting_anchor", "inbound", "outbound", "transit_unknown"]
 
 #: Alarm limits (fixed values): the greatest age in minutes, the least rows of an hour.
 ALARM_LIMITS = [("positions", "age_minutes", 90.0), ("boards", "age_minutes", 120.0), ("positions", "rows_per_hour", 1.0)]

@@ -61,15 +61,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder (never machine-local on a cluster)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tidewater-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder in the application's scratch folder, below the shared checkpoint folder (never machine-local on a cluster)."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a file: scheme for Python-side checks in tests."""
-    return path[len("file:"):] if path.startswith("file:") else path
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables.  They stay until ``remove_scratch``, as frames may still read them."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewater-scratch/{spark.sparkContext.applicationId}"
 
 
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete the intermediate tables of this application, and nothing else.  For the end of a run, when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -80,13 +80,6 @@ def scan_raw_json(spark: SparkSession, root: str, source: str, schema: str | Non
     return reader.json(source_path(root, source))
 
 
-def split_bad_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined raw lines) of a permissive read."""
-    bad = df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT, "date")
-    good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    return good, bad
-
-
 # --- AIS envelope flattening (N1, N3) -------------------------------------------------
 
 def _vget(v: Column, path: str, typ: str) -> Column:
