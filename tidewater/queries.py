@@ -452,11 +452,11 @@ def q_score_latest_rows(spark, sf_dir):
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    """A v2 candidate and the saved v1 model on the same last hours (60 and 30 rounds)."""
+    """A v2 candidate and the saved v1 model on the same last hours (30 and 15 rounds)."""
     g = Graph(spark, sf_dir)
     serving, candidate = scratch_path(spark, "serving-v1"), scratch_path(spark, "candidate-v2")
-    _trained_v1(g, max_iter=30).write().save(serving)
-    return ML.compare_models(spark, _dataset_v2(g, thin=True), serving, candidate, max_iter=60)[0]
+    _trained_v1(g, max_iter=15).write().save(serving)
+    return ML.compare_models(spark, _dataset_v2(g, thin=True), serving, candidate, max_iter=30)[0]
 
 
 @register("label_fan_out")
