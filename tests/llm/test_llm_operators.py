@@ -492,3 +492,39 @@ def test_leading_zero_bytes():
     x = np.r_[rng.integers(0, 2 ** 64, 2000, np.uint64) >> rng.integers(0, 64, 2000).astype(np.uint64),
               np.uint64(2 ** 64 - 1), np.uint64(0), np.uint64(1), np.uint64(2 ** 53 + 1), np.uint64(2 ** 56 - 1)]
     assert suffix_dedup._leading(x).tolist() == [8 - (int(v).bit_length() + 7) // 8 for v in x]
+
+
+@pytest.mark.parametrize("text,words", [("हिन्दी भाषा है", ["हिन्दी", "भाषा", "है"]), ("مُحَمَّد كِتاب", ["مُحَمَّد", "كِتاب"]), ("été naïve", ["été", "naïve"]),
+                                        ("עִבְרִית", ["עִבְרִית"]), ("a1b c_d", ["a", "b", "c", "d"])])
+def test_letters_keep_their_marks(text, words):
+    assert language_crf.words_of(text) == words
+
+
+def test_unspaced_scripts_keep_their_marks():
+    """Thai vowel and tone signs are letters of the pairs; every character is read."""
+    pairs = language_crf.words_of("ภาษาที่นี้")
+    assert all(len(p) == 2 for p in pairs) and {c for p in pairs for c in p} == set("ภาษาที่นี้")
+
+
+def test_toxicity_words_with_marks():
+    assert toxicity_crf._WORD.findall("गाली_1 न x²") == ["गाली_1", "न", "x²"]
+
+
+def test_word_scores_hold_no_long_words():
+    from tidewater.llm.crf import Crf, WordScores
+    crf = Crf({"": 0, "a": 1}, np.array([[0.0, 0.0], [1.0, -1.0]]), np.zeros((2, 2)), np.zeros(2))
+    scores = WordScores(crf, lambda w: [w[:1]])
+    got = scores.potentials([["a", "b" * 500, "b"], ["a" * 500, "a"]])
+    assert set(scores.at) == {"a", "b"} and len(scores.table) == 2
+    assert (got == crf.emissions([["a"], ["b"], ["b"], ["a"], ["a"]])).all()
+
+
+def test_language_sample_is_the_smallest_hashes(spark):
+    rows = [(i, "hot" if i % 20 else f"l{i % 60}") for i in range(6000)]
+    ids = spark.createDataFrame(rows, "_id long, _lang string")
+    got = Counter(r._lang for r in language_crf.first_ids(ids, 100).collect())
+    sizes = Counter(r[1] for r in rows)
+    assert got == Counter({lang: min(100, n) for lang, n in sizes.items()})
+    hashed = ids.selectExpr("_id", "_lang", "xxhash64(_id) & 9223372036854775807 h").collect()
+    want = sorted((r.h, r._id) for r in hashed if r._lang == "hot")[:100]
+    assert {r._id for r in language_crf.first_ids(ids, 100).filter("_lang = 'hot'").collect()} == {i for _, i in want}

@@ -11,6 +11,8 @@ themselves, grouped by length, are walked through in step.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -18,6 +20,8 @@ import numpy as np
 
 #: Words kept with their emissions in a task, and words that a block walks through in step.
 MAX_WORDS = 150_000
+#: Longer words (joined text, encoded data) are scored each time, so that the table is bounded in bytes as well.
+LONG_WORD = 80
 STEPS = 128
 #: Weights that stay below this for all labels after training are left out of a model.
 LEAST_WEIGHT = 0.02
@@ -29,6 +33,19 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u30
                       "\u4e00-\u9fff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
 
 
+def char_class(test: Callable[[str], bool]) -> str:
+    """The body of a character class (ranges) of all characters that meet the test."""
+    points = [i for i in range(sys.maxunicode + 1) if test(chr(i))]
+    ends = [i for i, (a, b) in enumerate(zip(points, points[1:], strict=False)) if b != a + 1]
+    starts, stops = [points[0], *(points[i + 1] for i in ends)], [*(points[i] for i in ends), points[-1]]
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops, strict=True))
+
+
+def is_mark(c: str) -> bool:
+    """Combining marks: vowel signs and the like, which belong to the letter before them."""
+    return unicodedata.category(c)[0] == "M"
+
+
 def word_spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
     """Places of the words of a text; stretches of an unspaced script are cut into overlapping pairs of letters."""
     out = []
@@ -227,8 +244,15 @@ class WordScores:
         if len(self.at) > self.max_words:
             self.at, self.table = {}, self.table[:0]
         at = self.at
-        if new := list({w for words in texts for w in words if w not in at}):
-            self.table = np.concatenate([self.table, self.crf.emissions(map(self.features, new))])
-            at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
+        new = list({w for words in texts for w in words if w not in at})
+        kept = [w for w in new if len(w) <= LONG_WORD]
+        if kept:
+            self.table = np.concatenate([self.table, self.crf.emissions(map(self.features, kept))])
+            at.update(zip(kept, range(len(at), len(at) + len(kept)), strict=True))
+        table = self.table
+        if len(kept) < len(new):
+            long = [w for w in new if len(w) > LONG_WORD]
+            table = np.concatenate([table, self.crf.emissions(map(self.features, long))])
+            at = {**at, **dict(zip(long, range(len(at), len(at) + len(long)), strict=True))}
         n = sum(map(len, texts))
-        return self.table[np.fromiter((at[w] for words in texts for w in words), np.int64, n)]
+        return table[np.fromiter((at[w] for words in texts for w in words), np.int64, n)]

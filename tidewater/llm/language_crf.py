@@ -27,8 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import saved, spread
-from tidewater.llm.crf import Crf, WordScores, train, words_in
+from tidewater.llm.common import saved, small_batches, spread
+from tidewater.llm.crf import Crf, WordScores, char_class, is_mark, train, words_in
 from tidewater.llm.toxicity_crf import fold
 
 FOLDS, HELD = 4, 2
@@ -38,7 +38,8 @@ MAX_CHARS = 6_000
 SAMPLE_CHARS = 12_000_000
 LEAST_CHARS = 200
 SLICE_CHARS = 1_000_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters with their combining marks (numbers that are no digits count as letters).
+_WORD = re.compile(f"[{char_class(lambda c: (c.isalnum() and not c.isdecimal()) or is_mark(c))}]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -108,15 +109,28 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> LanguageModel:
                          features)
 
 
+def first_ids(ids: DataFrame, most: int) -> DataFrame:
+    """The ``most`` ids (``_id``) of every language (``_lang``) whose hashes are the smallest.
+
+    Hashes of fewer bits are smaller, and each bit less halves their number.  Counts by language and bits (63 rows a language)
+    tell the bits that ``most`` ids have; only ids up to these, about twice ``most`` a language, are ranked.
+    """
+    d = ids.withColumn("_h", F.xxhash64("_id").bitwiseAND(F.lit(2 ** 63 - 1))).withColumn("_bits", F.length(F.bin("_h")))
+    upto = Window.partitionBy("_lang").orderBy("_bits")
+    counts = d.groupBy("_lang", "_bits").agg(F.count("*").alias("_n")).withColumn("_sum", F.sum("_n").over(upto))
+    cut = saved(counts.groupBy("_lang").agg(F.coalesce(F.min(F.when(F.col("_sum") >= most, F.col("_bits"))), F.max("_bits")).alias("_cut")),
+                "language-cuts")
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_id"))
+    near = d.join(cut, "_lang").filter(F.col("_bits") <= F.col("_cut"))
+    return near.withColumn("_rank", rank).filter(F.col("_rank") <= most).select("_id", "_lang")
+
+
 def fit_documents(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS,
                   sample_chars: int = SAMPLE_CHARS) -> LanguageModel:
     known = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("lang").cast("string").alias("_lang"),
                         F.col("text").cast("string").alias("_text"))
     known = known.filter("_lang is not null").filter(fold("_id", FOLDS) != HELD).filter(F.col("_text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    # ranked without texts (Spark limits each group before the shuffle); at most per_lang ids a language
-    pick = known.select("_id", "_lang").distinct().withColumn("_rank", rank).filter(F.col("_rank") <= per_lang)
-    pick = saved(pick.drop("_rank"), "language-sample")
+    pick = saved(first_ids(saved(known.select("_id", "_lang").distinct(), "language-ids"), per_lang), "language-sample")
     n_langs = pick.select("_lang").distinct().count()
     most = min(max_chars, max(LEAST_CHARS, sample_chars // max(1, n_langs * per_lang)))
     sample = (known.join(pick, ["_id", "_lang"]).select("_id", "_lang", spread("_text", F.lit(most)).alias("_text"))
@@ -144,6 +158,6 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
                 at = to
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
-    judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), predict(F.col("text").cast("string")).alias("p"))
+    judged = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), predict(F.col("text").cast("string")).alias("p"))
     return judged.select("doc_id", F.coalesce(fold("doc_id", FOLDS) == HELD, F.lit(False)).alias("held_out"), "p.lang_pred",
                          "p.score")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import saved, small_batches, spread
-from tidewater.llm.crf import Crf, WordScores, train, word_spans, words_in
+from tidewater.llm.crf import Crf, WordScores, char_class, is_mark, train, word_spans, words_in
 
 FOLDS = 5
 PER_CLASS = 1200
@@ -43,7 +43,8 @@ LEAST_TEXTS = 3
 DEPTH = 2
 #: Characters scored at once.
 SLICE_CHARS = 1_000_000
-_WORD = re.compile(r"\w+")
+#: Letters, digits and underscores, with their combining marks.
+_WORD = re.compile(f"[{char_class(lambda c: c.isalnum() or c == '_' or is_mark(c))}]+")
 RESULT = "score double, spans array<struct<start:long,end:long>>"
 
 
