@@ -33,17 +33,15 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u30
                       "\u4e00-\u9fff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]+")
 
 
-def char_class(test: Callable[[str], bool]) -> str:
-    """The body of a character class (ranges) of all characters that meet the test."""
-    points = [i for i in range(sys.maxunicode + 1) if test(chr(i))]
-    ends = [i for i, (a, b) in enumerate(zip(points, points[1:], strict=False)) if b != a + 1]
-    starts, stops = [points[0], *(points[i + 1] for i in ends)], [*(points[i] for i in ends), points[-1]]
-    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, stops, strict=True))
+def with_marks(letters: str) -> re.Pattern:
+    """Runs of a class of characters together with the combining marks (vowel signs and the like) that follow them.
 
-
-def is_mark(c: str) -> bool:
-    """Combining marks: vowel signs and the like, which belong to the letter before them."""
-    return unicodedata.category(c)[0] == "M"
+    All marks stand beyond U+0300, so the end of a run mostly costs one comparison.
+    """
+    marks = [i for i in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "M"]
+    heads = [i for i, (a, b) in enumerate(zip([-2, *marks], marks, strict=False)) if b != a + 1]
+    ranges = "".join(f"\\U{marks[i]:08x}-\\U{marks[j - 1]:08x}" for i, j in zip(heads, [*heads[1:], len(marks)], strict=True))
+    return re.compile(f"{letters}+(?:(?=[^\\x00-\\u02ff])[{ranges}]+{letters}*)*")
 
 
 def word_spans(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:

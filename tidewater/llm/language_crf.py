@@ -17,7 +17,6 @@ are; held_out is false for a null id, which is never learned from; repeated rows
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import saved, small_batches, spread
-from tidewater.llm.crf import Crf, WordScores, char_class, is_mark, train, words_in
+from tidewater.llm.crf import Crf, WordScores, train, with_marks, words_in
 from tidewater.llm.toxicity_crf import fold
 
 FOLDS, HELD = 4, 2
@@ -38,8 +37,8 @@ MAX_CHARS = 6_000
 SAMPLE_CHARS = 12_000_000
 LEAST_CHARS = 200
 SLICE_CHARS = 1_000_000
-#: Letters with their combining marks (numbers that are no digits count as letters).
-_WORD = re.compile(f"[{char_class(lambda c: (c.isalnum() and not c.isdecimal()) or is_mark(c))}]+")
+#: Letters with their combining marks.
+_WORD = with_marks(r"[^\W\d_]")
 
 
 def words_of(text: str | None) -> list[str]:

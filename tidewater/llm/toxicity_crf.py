@@ -20,7 +20,6 @@ labels (0 without any); a class that has labels but no text to learn from is an
 from __future__ import annotations
 
 import heapq
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import saved, small_batches, spread
-from tidewater.llm.crf import Crf, WordScores, char_class, is_mark, train, word_spans, words_in
+from tidewater.llm.crf import Crf, WordScores, train, with_marks, word_spans, words_in
 
 FOLDS = 5
 PER_CLASS = 1200
@@ -44,7 +43,7 @@ DEPTH = 2
 #: Characters scored at once.
 SLICE_CHARS = 1_000_000
 #: Letters, digits and underscores, with their combining marks.
-_WORD = re.compile(f"[{char_class(lambda c: c.isalnum() or c == '_' or is_mark(c))}]+")
+_WORD = with_marks(r"\w")
 RESULT = "score double, spans array<struct<start:long,end:long>>"
 
 
