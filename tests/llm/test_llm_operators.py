@@ -528,3 +528,52 @@ def test_language_sample_is_the_smallest_hashes(spark):
     hashed = ids.selectExpr("_id", "_lang", "xxhash64(_id) & 9223372036854775807 h").collect()
     want = sorted((r.h, r._id) for r in hashed if r._lang == "hot")[:100]
     assert {r._id for r in language_crf.first_ids(ids, 100).filter("_lang = 'hot'").collect()} == {i for _, i in want}
+
+
+def brute_licenses(scanner, text, name):
+    """All stretches of a text against a template, then the same choice of stretches without overlap."""
+    words = [scanner.ids.get(w, -1) for w in license_scan._WORD.findall(text.lower())]
+    template = scanner.templates[name]
+    reach, found = int(license_scan.REACH * len(template)) + 1, set()
+    for a in range(len(words)):
+        for b in range(a + 1, min(len(words), a + reach) + 1):
+            found |= scanner._stretches(words, name, set(), a, b)
+    return sorted((a, b) for _, a, b in license_scan._apart(found))
+
+
+def test_license_short_templates_equal_brute_force():
+    rng = random.Random(12)
+    templates = {"a": "licensed under the open work license 2", "b": "the work is free for all of the world and the sea",
+                 "c": "public domain"}
+    scanner = license_scan.Scanner(templates, keys={"a": ["open work license"], "b": ["free for all"]})
+    pool = sorted({w for t in templates.values() for w in t.split()}) + ["x", "y", "z"]
+    hits = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 5)):
+            t = templates[rng.choice("abc")].split()
+            for _ in range(rng.randint(0, 3)):
+                i = rng.randrange(max(1, len(t)))
+                t = rng.choice([t[:i] + t[i + 1:], t[:i] + [rng.choice(pool)] + t[i:], t])
+            parts += t + [rng.choice(pool) for _ in range(rng.randint(0, 4))]
+        text = " ".join(parts)
+        spans = [m.span() for m in license_scan._WORD.finditer(text)]
+        got = scanner.scan(text)[-1]
+        for name in templates:
+            want = [(spans[a][0], spans[b][1]) for a, b in brute_licenses(scanner, text, name)]
+            assert sorted((h["start"], h["end"]) for h in got if h["license"] == name) == want, (name, text)
+            hits += len(want)
+    assert hits > 200
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 10, 300])
+@pytest.mark.parametrize("name", ["mit-notice", "isc-notice", "bsd-3-clause-notice"])
+def test_license_adjacent_notices(n, name):
+    notice = license_scan.TEMPLATES[name]
+    hits = [h for h in license_scan.Scanner().scan("\n".join([notice] * n))[-1] if h["license"] == name]
+    assert len(hits) == n and all(h["coverage"] == 1 for h in hits)
+
+
+def test_license_word_after_it():
+    got = license_scan.Scanner().scan("Licensed under the Common Development and Distribution License 1.1. The license")
+    assert got[0] is not None and got[0].startswith("cddl")

@@ -7,11 +7,17 @@ largest share of the template's words aligned inside a stretch of 1.5 template l
 neighbouring licenses apart, so each template has keys (``KEYS``): word sequences, as names and versions, of which each
 must be aligned whole, with nothing inserted, and a version must not go on (2 is not 2.1, but is 2.0).
 
-Stretches are found without loss: a coverage of ``MIN_COVERAGE`` leaves out fewer than r = (1 - MIN_COVERAGE) * words + 1
-of the template's words, so every hit holds one of any r of them.  For each text the r words with the fewest
-occurrences are taken.  Where one stands, the template is laid on the text by its place in it, and the text there is
-aligned twice: with half a template length to spare on both sides, for notices with inserted words, and with an eighth,
-for notices that follow each other closely (their words are not unique in the wider stretch).
+A coverage of ``MIN_COVERAGE`` leaves out fewer than r = (1 - MIN_COVERAGE) * words + 1 of the template's words, so every
+hit holds one of any r of them.  For each text the r words with the fewest occurrences are taken, and only stretches around
+their places are aligned.
+
+* Templates of up to ``EXACT`` words: every stretch that holds such a place, from one template word to another, no longer
+  than allowed.  No hit is lost (other words at the ends of a stretch change nothing).
+* Longer templates are laid on the text by the word's place in them, and the text there is aligned with half a template
+  length to spare on both sides, for notices with inserted words, with an eighth, and with none, for notices that follow
+  each other closely (their words are not unique in a wider stretch).  Then the text between accepted stretches is looked
+  through in the same way by itself, until nothing more is found.  A long notice can be lost if words are inserted in it and
+  the same words stand next to it, outside of any accepted stretch.
 
 Defined cases: null and empty texts, and texts without a hit, have a null license, coverage 0 and no place; of several
 hits the one with the most words aligned wins, then the larger coverage, then the name; ``hits`` has all of them, those of
@@ -28,9 +34,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewater.llm.common import slices
+from tidewater.llm.common import slices, small_batches
 
 MIN_COVERAGE = 0.8
+#: Templates of so many words are aligned with every stretch around a place.
+EXACT = 24
 REACH = 1.5
 SCHEMA = "doc_id long, license string, coverage double, n_aligned long, start long, end long, n_licenses long, "\
          "hits array<struct<license:string,coverage:double,n_aligned:long,start:long,end:long>>"
@@ -172,6 +180,18 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches without overlap: most words first, then the shorter, then the earlier."""
+    out: list[tuple[int, int, int]] = []
+    ends: list[tuple[int, int]] = []  # accepted stretches in order
+    for n, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        i = bisect_left(ends, (a, b))
+        if (i == 0 or ends[i - 1][1] < a) and (i == len(ends) or ends[i][0] > b):
+            ends.insert(i, (a, b))
+            out.append((n, a, b))
+    return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE,
                  keys: dict[str, list[str]] = KEYS):
@@ -201,38 +221,71 @@ class Scanner:
             out.append(found)
         return out
 
+    def _stretches(self, text: list[int], name: str, goes_on: set[int], first: int, end: int) -> set[tuple[int, int, int]]:
+        """(words aligned, first, last place) inside text[first:end] wherever the alignment covers enough, with all keys."""
+        template, need = self.templates[name], self.min_coverage * len(self.templates[name])
+        if end - first < need:
+            return set()
+        both = [(i + first, j) for i, j in align(text[first:end], template)]
+        if len(both) < need:
+            return set()
+        keyed = self._keyed(both, self.keys[name], goes_on)
+        if not all(keyed):
+            return set()
+        pairs, reach, low, out = [i for i, _ in both], int(REACH * len(template)) + 1, 0, set()
+        for high, p in enumerate(pairs):
+            while p - pairs[low] >= reach:
+                low += 1
+            n = high - low + 1
+            if n >= need and all(any(a >= pairs[low] and b <= p for a, b in k) for k in keyed):
+                out.add((n, pairs[low], p))
+        return out
+
+    def _exact(self, text: list[int], name: str, goes_on: set[int], seeds: list[int]) -> set[tuple[int, int, int]]:
+        """Stretches of all windows that hold a seed."""
+        m, own = len(self.templates[name]), set(self.templates[name])
+        reach, need = int(REACH * m) + 1, self.min_coverage * m
+        done: set[tuple[int, int]] = set()
+        out: set[tuple[int, int, int]] = set()
+        for p in seeds:
+            left = [i for i in range(max(0, p - reach + 1), p + 1) if text[i] in own]
+            right = [i for i in range(p, min(len(text), p + reach)) if text[i] in own]
+            for x, a in enumerate(left):
+                for y, b in enumerate(right):
+                    if b - a < reach and len(left) - x + y >= need and (a, b) not in done:
+                        done.add((a, b))
+                        out |= self._stretches(text, name, goes_on, a, b + 1)
+        return out
+
+    def _laid(self, text: list[int], name: str, goes_on: set[int], start: int, end: int, laid: list[int]) -> set[tuple[int, int, int]]:
+        """Stretches inside text[start:end] where the template is laid on it."""
+        m = len(self.templates[name])
+        step, out = max(1, m // 8), set()
+        for spare in (m // 2, m // 8, 0):
+            for at in sorted({x // step * step for x in laid} if spare else set(laid)):
+                out |= self._stretches(text, name, goes_on, max(start, at - spare), min(end, at + m + spare + (step if spare else 0)))
+        return out
+
     def _hits(self, text: list[int], places: dict[int, list[int]], name: str, goes_on: set[int]) -> list[tuple[int, int, int]]:
         """(words aligned, first, last place) of the stretches that cover enough of the template, without overlap."""
         template, m = self.templates[name], len(self.templates[name])
         spare = m - max(1, -int(-self.min_coverage * m // 1)) + 1  # any so many words meet every hit
         rare = sorted(range(m), key=lambda j: (len(places.get(template[j], ())), j))[:spare]
-        reach, step = int(REACH * m) + 1, max(1, m // 8)
-        laid = {(p - j) // step * step for j in rare for p in places.get(template[j], ())}
-        found = set()
-        for spare in (m // 2, m // 8):
-            for at in sorted(laid):
-                first = max(0, at - spare)
-                both = [(i + first, j) for i, j in align(text[first:at + m + spare + step], template)]
-                if len(both) < self.min_coverage * m:
-                    continue
-                keyed = self._keyed(both, self.keys[name], goes_on)
-                if not all(keyed):
-                    continue
-                pairs = [i for i, _ in both]
-                low = 0
-                for high, p in enumerate(pairs):
-                    while p - pairs[low] >= reach:
-                        low += 1
-                    n = high - low + 1
-                    if n >= self.min_coverage * m and all(any(a >= pairs[low] and b <= p for a, b in k) for k in keyed):
-                        found.add((n, pairs[low], p))
-        out: list[tuple[int, int, int]] = []
-        ends: list[tuple[int, int]] = []  # accepted stretches in order
-        for n, a, b in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
-            i = bisect_left(ends, (a, b))
-            if (i == 0 or ends[i - 1][1] < a) and (i == len(ends) or ends[i][0] > b):
-                ends.insert(i, (a, b))
-                out.append((n, a, b))
+        if m <= EXACT:
+            seeds = sorted({p for j in rare for p in places.get(template[j], ())})
+            return _apart(self._exact(text, name, goes_on, seeds))
+        seeded = sorted((p, p - j) for j in rare for p in places.get(template[j], ()))
+        out, open_parts = [], [(0, len(text))]
+        while open_parts:
+            start, end = open_parts.pop()
+            lo, hi = bisect_left(seeded, (start,)), bisect_left(seeded, (end,))
+            if lo == hi or end - start < self.min_coverage * m:
+                continue
+            new = _apart(self._laid(text, name, goes_on, start, end, [x for _, x in seeded[lo:hi]]))
+            if new:
+                out += new
+                edges = [(start, start), *sorted((a, b + 1) for _, a, b in new), (end, end)]
+                open_parts += [(b, c) for (_, b), (c, _) in zip(edges, edges[1:], strict=False)]
         return out
 
     def scan(self, text: str | None) -> tuple:
@@ -276,4 +329,4 @@ def scan_documents(docs: DataFrame, templates: dict[str, str] = TEMPLATES,
             columns = zip(*(scanner.scan(t) for t in b.column("text").to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, columns, kinds)], names=names)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    return small_batches(docs).selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)

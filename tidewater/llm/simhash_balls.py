@@ -205,7 +205,10 @@ def links(keyed: DataFrame) -> DataFrame:
 
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """fp, root: every distinct fingerprint that has a link, and its component's smallest fingerprint."""
-    return components(links(variants(fps.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    distinct = fps.select("fp").distinct()
+    # few bytes, but every row becomes 131: as many tasks as a shuffle has, not as few as the bytes ask for
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return components(links(variants(distinct.repartition(parts, "fp")))).withColumnRenamed("node", "fp")
 
 
 def _members(fps: DataFrame) -> DataFrame:
