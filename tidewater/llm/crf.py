@@ -247,10 +247,11 @@ class WordScores:
         if kept:
             self.table = np.concatenate([self.table, self.crf.emissions(map(self.features, kept))])
             at.update(zip(kept, range(len(at), len(at) + len(kept)), strict=True))
-        table = self.table
-        if len(kept) < len(new):
-            long = [w for w in new if len(w) > LONG_WORD]
-            table = np.concatenate([table, self.crf.emissions(map(self.features, long))])
-            at = {**at, **dict(zip(long, range(len(at), len(at) + len(long)), strict=True))}
         n = sum(map(len, texts))
-        return table[np.fromiter((at[w] for words in texts for w in words), np.int64, n)]
+        if len(kept) == len(new):
+            return self.table[np.fromiter((at[w] for words in texts for w in words), np.int64, n)]
+        row = np.fromiter((at.get(w, -1) for words in texts for w in words), np.int64, n)
+        long = {w: i for i, w in enumerate(w for w in new if len(w) > LONG_WORD)}
+        out = self.table[row] if len(self.table) else np.zeros((n, self.table.shape[1]))
+        out[row < 0] = self.crf.emissions(map(self.features, long))[[long[w] for words in texts for w in words if w in long]]
+        return out

@@ -208,7 +208,8 @@ def fingerprint_components(fps: DataFrame) -> DataFrame:
     distinct = fps.select("fp").distinct()
     # few bytes, but every row becomes 131: as many tasks as a shuffle has, not as few as the bytes ask for
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return components(links(variants(distinct.repartition(parts, "fp")))).withColumnRenamed("node", "fp")
+    # (dealt by another expression than the distinct's own, which would make this one void)
+    return components(links(variants(distinct.repartition(parts, F.xxhash64("fp"))))).withColumnRenamed("node", "fp")
 
 
 def _members(fps: DataFrame) -> DataFrame:
