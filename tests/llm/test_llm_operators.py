@@ -577,3 +577,67 @@ def test_license_adjacent_notices(n, name):
 def test_license_word_after_it():
     got = license_scan.Scanner().scan("Licensed under the Common Development and Distribution License 1.1. The license")
     assert got[0] is not None and got[0].startswith("cddl")
+
+
+def naive_kept(texts, width=200):
+    """Texts without the bytes of strings that occur twice."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i:i + width] for b in raw for i in range(len(b) - width + 1))
+    out = []
+    for t, b in zip(texts, raw, strict=True):
+        hit = np.zeros(len(b), bool)
+        for i in range(len(b) - width + 1):
+            if seen[b[i:i + width]] > 1:
+                hit[i:i + width] = True
+        out.append(t if t is None or not hit.any() else bytes(np.frombuffer(b, np.uint8)[~hit]).decode(errors="ignore"))
+    return out
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing columns: each stage on its own input against its operator or brute force."""
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    long = " ".join(f"w{i % 300}x" for i in range(900))
+    odd = [(9000, None, None, None, None), (9001, "", "en", "h", 0), (None, long, None, None, None), (None, long, None, None, None),
+           (9002, long, "en", "h", 1), (9002, long, "en", "h", 1), (None, None, None, None, None)]
+    docs = base.union(spark.createDataFrame(odd, base.schema))
+    for name in ("core", "score", "spans", "root", "fp", "key", "toxic", "kept", "packed"):
+        docs = docs.withColumn(name, docs["source"])
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+
+    def written(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    docs = written(docs, "docs")
+    clean = written(stages["toxicity"](spark, docs, sf), "clean")
+    flags = toxicity_crf.score_documents(docs, labels).groupBy("doc_id").agg({"predicted": "sum"}).collect()
+    toxic = {r[0] for r in flags if r[1]}
+    assert clean.columns == docs.columns and pairs(clean) == Counter({k: n for k, n in pairs(docs).items() if k[0] not in toxic})
+    good = written(stages["quality_rules"](spark, clean, sf), "good")
+    kept = Counter(r.doc_id for r in quality_rules.judge(clean).filter("kept").collect())
+    assert good.columns == docs.columns and Counter(k[0] for k in pairs(good).elements()) == kept
+    one = written(stages["simhash_near_dedup"](spark, good, sf), "one")
+    groups = simhash_balls.near_duplicates(good).select("component_id").distinct().count()
+    assert one.columns == docs.columns and one.count() == groups and not pairs(one) - pairs(good)
+    cut = written(stages["suffix_array_dedup"](spark, one, sf), "cut")
+    rows = one.select("doc_id", "text").collect()
+    want = Counter(zip([r.doc_id for r in rows], naive_kept([r.text for r in rows]), strict=True))
+    assert cut.columns == docs.columns and pairs(cut) == want
+    assert cut.filter("n_chars <> length(text)").count() == 0
+    pieces = stages["packing"](spark, cut, sf).collect()
+    assert {p.doc_id for p in pieces} == {k[0] for k in want}
+
+
+def test_pipeline_empty_table(spark):
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns
