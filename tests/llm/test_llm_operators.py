@@ -88,6 +88,34 @@ def test_packing(docs, rows, empty):
     assert harmonic_packing.pack_documents(docs, path).groupBy("doc_id").count().count() == len({r[0] for r in rows})
 
 
+def test_packing_keeps_documents_whole():
+    """Each closed bin: k whole items of class k and at most one head; few pieces; every id once; little held open."""
+    rng = np.random.default_rng(4)
+    lengths = np.r_[np.ones(9000, int), [4096, 8192, 4097, 2048, 2048, 1], rng.geometric(1 / 500, 4000), [90_000],
+                    rng.integers(1, 60, 3000), np.full(70, 59)]
+    packer, held = harmonic_packing.Packer(4096, 7 << 40), 0
+    docs = [np.arange(n, dtype=np.uint32) + 1000 * i for i, n in enumerate(lengths)]
+    for i, ids in enumerate(docs):
+        packer.add(i, ids)
+        for k, members in packer.open.items():
+            assert len(members) <= k and all(4096 // (len(m[2]) // 4) == k for m in members)
+        if i % 500 == 0:
+            held = max(held, sum(len(m[2]) for members in packer.open.values() for m in members))
+    packer.finish()
+    assert held <= 4 * 4096 * 128 and not packer.open
+    assert len(packer.rows) <= len(lengths) + packer.next_id - (7 << 40)  # one cut a sequence at most
+    at = {}
+    for doc, start, n, crc, tokens, sequence, offset in sorted(packer.rows, key=lambda r: (r[0], r[1])):
+        assert start == at.get(doc, 0) and tokens == lengths[doc]
+        assert crc == zlib.crc32(docs[doc][start:start + n].tobytes())
+        at[doc] = start + n
+    assert at == dict(enumerate(lengths))
+    size = Counter()
+    for r in packer.rows:
+        size[r[5]] += r[2]
+    assert all(n <= 4096 and n & (n - 1) == 0 for n in size.values()) and sum(n < 4096 for n in size.values()) <= 12
+
+
 def naive_repeats(rows, width):
     raw = [(r[0], (r[1] or "").encode()) for r in rows]
     seen = Counter(b[i:i + width] for _, b in raw for i in range(len(b) - width + 1))

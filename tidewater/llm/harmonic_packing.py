@@ -1,11 +1,13 @@
 """Harmonic packing of documents into fixed-length sequences (operator 3).
 
-Class k holds pieces of capacity / 2^k tokens, a reciprocal of the capacity, and fills each of its bins with exactly
-2^k pieces.  A document is cut into full sequences and the powers of two of what is left, so that every piece sits on
-the upper border of its class and full bins have no padding at all.  Every task packs its own partition: a bin leaves
-as soon as its fixed count is there, so a task holds fewer than 2^k pieces (numbers only) of each class.  At its end a
-task lays the open bins' pieces side by side, largest first; they never straddle a sequence, and the last, partly
-filled sequence is cut at its powers of two, which need no padding either.
+Class k holds what is longer than capacity / (k + 1) and not longer than capacity / k, and its bins take k whole
+documents each.  What a bin then lacks is shorter than any member of its class, so the head of the class's next document
+fills it to the last token; the tail of that document goes on to the class of its own length.  So a bin has one cut at
+most and no padding, and a document stays whole unless it fills a bin or is longer than a sequence (full sequences are
+cut off first).  Every task packs its own partition: a bin leaves as soon as it is full, so a task holds fewer than k + 1
+documents of a class, less than a sequence of ids for each of the about 2 * sqrt(capacity) classes.  At its end a task
+lays what is open side by side, longest first, cut where a sequence ends; the last, partly filled sequence is cut at its
+powers of two, which need no padding either.
 
 Token ids: white space cannot be inside a token here, so each distinct word between ASCII white space is tokenized
 once per task and its ids are joined back by position (the table of words is bounded).
@@ -31,6 +33,7 @@ from tidewater.llm.common import slices, small_batches
 CAPACITY = 4096
 END_ID = 2
 MAX_WORDS = 350_000
+ID_BYTES = 4
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 SCHEMA = ", ".join(f"{f} long" for f in FIELDS)
 
@@ -118,53 +121,69 @@ class WordIds:
             yield out
 
 
-def cut(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of a document's pieces: full sequences, then the powers of two of the rest."""
-    start = 0
-    while n - start >= capacity:
-        yield start, capacity
-        start += capacity
-    while start < n:
-        length = 1 << ((n - start).bit_length() - 1)
-        yield start, length
-        start += length
-
-
 class Packer:
-    """Fills bins of one task; ``rows`` are finished pieces."""
+    """Fills bins of one task; ``rows`` are finished pieces.  An item is (document, start, raw ids, tokens of the document)."""
 
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
         self.rows: list[tuple] = []
 
-    def _close(self, pieces: list[tuple]) -> None:
+    def _close(self, items: list[tuple]) -> None:
         offset = 0
-        for p in pieces:
-            self.rows.append((*p, self.next_id, offset))
-            offset += p[2]
+        for doc, start, raw, tokens in items:
+            n = len(raw) // ID_BYTES
+            self.rows.append((doc, start, n, zlib.crc32(raw), tokens, self.next_id, offset))
+            offset += n
         self.next_id += 1
 
-    def add(self, piece: tuple) -> None:
-        length = piece[2]
-        bin_ = self.open.setdefault(length, [])
-        bin_.append(piece)
-        if len(bin_) * length == self.capacity:
-            self._close(bin_)
-            self.open[length] = []
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        """A whole document: its full sequences, then what is left."""
+        raw, tokens = memoryview(ids).cast("B"), len(ids)
+        full = tokens - tokens % self.capacity
+        for start in range(0, full, self.capacity):
+            self._close([(doc, start, raw[ID_BYTES * start:ID_BYTES * (start + self.capacity)], tokens)])
+        if full < tokens:
+            self._place((doc, full, bytes(raw[ID_BYTES * full:]), tokens))  # a copy, so that a long text's ids can go
+
+    def _place(self, item: tuple) -> None:
+        """Put an item into its class's bin; a tail that it leaves is shorter and goes on to its own class."""
+        while item:
+            length = len(item[2]) // ID_BYTES
+            k = self.capacity // length
+            members = self.open.setdefault(k, [])
+            full = len(members) == k
+            head, item = _split(item, self._lacks(members) if full else length)
+            members.append(head)
+            if full or len(members) == k and not self._lacks(members):
+                self._close(members)
+                self.open[k] = []
+
+    def _lacks(self, members: list[tuple]) -> int:
+        return self.capacity - sum(len(m[2]) for m in members) // ID_BYTES
 
     def finish(self) -> None:
-        """Open bins side by side, largest pieces first; the last partial sequence ends at powers of two."""
-        rest = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        self.open, left = {}, sum(p[2] for p in rest)
-        at = 0
+        """What is open side by side, longest first; the last partial sequence ends at powers of two."""
+        rest = [m for k in sorted(self.open) for m in self.open[k]][::-1]
+        self.open, left = {}, sum(len(m[2]) for m in rest) // ID_BYTES
         while left:
-            size, n, end = min(self.capacity, 1 << (left.bit_length() - 1)), 0, at
+            size, n, items = min(self.capacity, 1 << (left.bit_length() - 1)), 0, []
             while n < size:
-                n += rest[end][2]
-                end += 1
-            self._close(rest[at:end])
-            at, left = end, left - size
+                head, tail = _split(rest.pop(), size - n)
+                items.append(head)
+                n += len(head[2]) // ID_BYTES
+                if tail:
+                    rest.append(tail)
+            self._close(items)
+            left -= size
+
+
+def _split(item: tuple, n: int) -> tuple[tuple, tuple | None]:
+    """The first ``n`` ids of an item and what is left of it."""
+    doc, start, raw, tokens = item
+    if ID_BYTES * n >= len(raw):
+        return item, None
+    return (doc, start, raw[:ID_BYTES * n], tokens), (doc, start + n, raw[ID_BYTES * n:], tokens)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -184,9 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
         for b in slices(batches):
             for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode(b.column("text").to_pylist()), strict=True):
-                raw = memoryview(ids).cast("B")
-                for start, n in cut(len(ids), capacity):
-                    packer.add((doc, start, n, zlib.crc32(raw[4 * start:4 * (start + n)]), len(ids)))
+                packer.add(doc, ids)
                 if len(packer.rows) > 50_000:
                     yield flush()
         packer.finish()
