@@ -1,11 +1,14 @@
 """Exact top-k inner products by MaxScore (operator 6).
 
 Components are terms; a shard's postings are its vectors' components, sorted by id.  Every block of a shard bounds each
-term's contribution to a query (from the block's largest and smallest component).  Terms are split by these bounds:
-essential terms are the fewest, widest first, without which no vector of the block can pass the k-th best score so far.
-Their postings are traversed for all vectors; the others are probed only for vectors whose partial score plus the
-bounds of the rest still is competitive.  Shards are merged by a ranked window.
-
+term's contribution to a query (from the block's largest and smallest component).  Each query orders the terms by these
+bounds, widest first, and splits them: essential terms are the fewest without which no vector of the block can pass the
+k-th best score so far.  Their postings are traversed for all vectors, and further ones while many vectors are
+competitive: their partial score plus a bound of the terms to come passes that score.  The other terms are probed in
+steps, only for vectors that are still competitive.  Terms to come are bounded by the sum of their own bounds and by the product of the query's norm over them and the vector's norm,
+whichever is less.  A query skips blocks that cannot pass at all.  Shards are merged by a ranked window.
+
+A first shard is searched alone; the k-th best score that a query finds there is its threshold in all other shards.
 The query set is stated (ids divisible by ``query_mod``).  Vectors and queries are dealt by hash into shards and query
 blocks of a bounded size, and each (shard, block) pair is one task's group; nothing is gathered beyond that.
 
@@ -16,9 +19,11 @@ not its candidates.  Scores are exact while the sum of products stays below 2^53
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import saved
@@ -27,7 +32,10 @@ K = 20
 QUERY_MOD = 20
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 2048
-POSTINGS_BLOCK = 1024
+POSTINGS_BLOCK = 4096
+#: Terms probed between two looks at the bounds; one of so many vectors competitive: the block is read on as a whole.
+PROBE_TERMS = 8
+DENSE_SHARE = 6
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -60,47 +68,82 @@ def _merge(top_s: np.ndarray, top_i: np.ndarray, q: np.ndarray, s: np.ndarray, i
     top_s[at], top_i[at] = scores[best].reshape(-1, k), ids[best].reshape(-1, k)
 
 
+def _bounds(q: np.ndarray, block: np.ndarray, norm: float) -> tuple[np.ndarray, ...]:
+    """Per query: its order of the terms, its components' norm and the bound of the terms from each place on, and what
+    the terms before each place give at least."""
+    high, low = q * block.max(0), q * block.min(0)
+    high, low = np.maximum(high, low).astype(np.float64), np.minimum(high, low).astype(np.float64)
+    order = np.argsort(low - high, axis=1, kind="stable")
+    high, low, sorted_q = (np.take_along_axis(x, order, 1) for x in (high, low, q.astype(np.float64)))
+    over = np.zeros((len(q), q.shape[1] + 1))
+    over[:, :-1] = np.sqrt((sorted_q ** 2)[:, ::-1].cumsum(1)[:, ::-1])
+    rest, least = np.zeros_like(over), np.zeros_like(over)
+    rest[:, :-1] = high[:, ::-1].cumsum(1)[:, ::-1]
+    least[:, 1:] = low.cumsum(1)
+    return order, over, np.minimum(rest, over * norm), least
+
+
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = K,
-           step: int = POSTINGS_BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of the k best vectors of a shard for each query; empty places have score -inf."""
+           step: int = POSTINGS_BLOCK, theta: np.ndarray | None = None,
+           work: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the k best vectors of a shard for each query; empty places have score -inf.
+
+    ``theta``: scores that are known to be reached k times elsewhere; lower ones need not be found.  ``work`` counts
+    ``pairs``, those ``scored`` over all terms, and ``terms`` that were multiplied."""
     width = max(vectors.shape[1], queries.shape[1])
     vectors = np.pad(vectors, ((0, 0), (0, width - vectors.shape[1])))
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
     kind = _exact(vectors, queries)
     order = np.argsort(ids, kind="stable")
     ids, d, q = ids[order], vectors[order].astype(kind), queries.astype(kind)
+    # a little more than the norm, so that rounding never makes a bound too small
+    norms = np.sqrt((d.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9) + 1e-9
     top_s = np.full((len(q), k), -np.inf)
     top_i = np.full((len(q), k), np.iinfo(np.int64).max)
-    at, size = 0, min(step, 4 * k)  # a small first block sets the thresholds
+    # scores are whole numbers: an equal score of another shard may still win by its id
+    floor = np.full(len(q), -np.inf) if theta is None else theta - 1
+    work = Counter() if work is None else work
+    at, size = 0, min(step, 4 * k)  # small first blocks set the thresholds
     while at < len(ids):
-        block, names = d[at:at + size], ids[at:at + size]
-        high, low = q * block.max(0), q * block.min(0)
-        high, low = np.maximum(high, low), np.minimum(high, low)
-        terms = np.argsort(-(high - low).sum(0, dtype=np.float64), kind="stable")
-        rest = np.zeros((len(q), width + 1))  # bound of the terms from each place on
-        rest[:, :-1] = high[:, terms][:, ::-1].cumsum(1, dtype=np.float64)[:, ::-1]
-        least = np.zeros_like(rest)  # what the terms before each place give at least
-        least[:, 1:] = low[:, terms].cumsum(1, dtype=np.float64)
-        theta = top_s[:, -1]
-        dead = rest + least <= theta[:, None]
+        block, names, norm = d[at:at + size], ids[at:at + size], norms[at:at + size]
+        postings = np.ascontiguousarray(block.T)
+        terms, over, rest, least = _bounds(q, block, float(norm.max()))
+        limit = np.maximum(top_s[:, -1], floor)
+        work["pairs"] += len(q) * len(block)
+        dead = rest + least <= limit[:, None]
         split = np.where(dead.any(1), dead.argmax(1), width)
-        n = int(np.median(split))  # one split for the queries of a block; any split gives the same result
-        essential, others = terms[:n], terms[n:]
-        partial = (q[:, essential] @ block[:, essential].T).astype(np.float64)
-        # ids ascend, so an equal score further on never displaces one: only larger ones are competitive
-        qi, vi = np.nonzero(partial + rest[:, n:n + 1] > theta[:, None])
-        own = names[vi] == query_ids[qi]
-        qi, vi = qi[~own], vi[~own]
-        score = partial[qi, vi]
-        if len(others) and len(qi):
-            for s in range(0, len(qi), 65536):
-                e = slice(s, s + 65536)
-                score[e] += np.einsum("ij,ij->i", q[np.ix_(np.arange(len(q)), others)][qi[e]],
-                                      block[:, others][vi[e]], dtype=np.float64 if kind is np.float32 else kind)
-        good = score > theta[qi]
-        if good.any():
-            _merge(top_s, top_i, qi[good], score[good], names[vi[good]])
-        at, size = at + size, step
+        found = []
+        for i in np.flatnonzero(rest[:, 0] > limit):  # else: no vector of the block can pass
+            n, own = int(split[i]), terms[i]
+            # ids ascend, so an equal score further on never displaces one: only larger ones are competitive
+            partial = q[i, own[:n]] @ postings[own[:n]]
+            work["terms"] += n * len(block)
+            # while many vectors are competitive, reading on costs less than picking them
+            passes = partial + np.minimum(over[i, n] * norm, rest[i, n]) > limit[i]
+            while n < width and DENSE_SHARE * np.count_nonzero(passes) > len(block):
+                probe = own[n:n + PROBE_TERMS]
+                partial += q[i, probe] @ postings[probe]
+                n += len(probe)
+                work["terms"] += len(probe) * len(block)
+                passes = partial + np.minimum(over[i, n] * norm, rest[i, n]) > limit[i]
+            alive = np.flatnonzero(passes)
+            if n == width:
+                work["scored"] += len(block)
+            partial = partial[alive]
+            while n < width and len(alive):
+                probe = own[n:n + PROBE_TERMS]
+                partial += q[i, probe] @ postings[probe[:, None], alive]
+                n += len(probe)
+                work["terms"] += len(probe) * len(alive)
+                work["scored"] += len(alive) * (n == width)
+                passes = partial + np.minimum(over[i, n] * norm[alive], rest[i, n]) > limit[i]
+                alive, partial = alive[passes], partial[passes]
+            other = names[alive] != query_ids[i]
+            if other.any():
+                found.append((np.full(int(other.sum()), i), partial[other].astype(np.float64), names[alive[other]]))
+        if found:
+            _merge(top_s, top_i, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        at, size = at + size, min(step, 4 * size)
     return top_s, top_i
 
 
@@ -114,28 +157,43 @@ def top_k(embeddings: DataFrame, k: int = K, query_mod: int = QUERY_MOD, scale:
     n = rows.agg(F.count("*"), F.count(F.expr(f"case when vec_id % {query_mod} = 0 then 1 end"))).first()
     shards, blocks = max(1, -(-n[0] // shard_rows)), max(1, -(-n[1] // block_queries))
 
-    def deal(df: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        return (df.withColumn(own, F.expr(f"cast(pmod(xxhash64(vec_id, v), {parts}) as int)"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))))
+    def deal(df: DataFrame, own: str, parts: int) -> DataFrame:
+        return df.withColumn(own, F.expr(f"cast(pmod(xxhash64(vec_id, v), {parts}) as int)"))
+
+    def copies(name: str, first: int, last: int) -> Column:
+        return F.explode(F.sequence(F.lit(first), F.lit(last))).alias(name)
 
-    vectors = deal(rows, "shard", shards, "block", blocks)
-    queries = deal(rows.filter(f"vec_id % {query_mod} = 0"), "block", blocks, "shard", shards)
+    vectors = deal(rows, "shard", shards)
+    queries = deal(rows.filter(f"vec_id % {query_mod} = 0"), "block", blocks).withColumn("theta", F.lit(None).cast("double"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [np.zeros(0, np.int64)] * 3
         if left.num_rows and right.num_rows:
             query_ids = right.column("vec_id").to_numpy()
+            theta = np.asarray(right.column("theta").fill_null(-np.inf).to_numpy(), np.float64)
             s, i = search(left.column("vec_id").to_numpy(), _matrix(left.column("v")), query_ids,
-                          _matrix(right.column("v")), k)
+                          _matrix(right.column("v")), k, theta=theta)
             full = np.isfinite(s)
             out = [np.repeat(query_ids, k).reshape(s.shape)[full], i[full], s[full].astype(np.int64)]
         return pa.table(dict(zip(["query_id", "vec_id", "score"], out, strict=True)))
 
     keys = ["shard", "block"]
-    best = vectors.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(
-        run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(asked: DataFrame, first: int, last: int) -> DataFrame:
+        """The k best of each query and shard from ``first`` to ``last``."""
+        left = vectors.filter(F.col("shard").between(first, last)).select("*", copies("block", 0, blocks - 1))
+        right = asked.toDF(*asked.columns).select("*", copies("shard", first, last))
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+            run, "query_id long, vec_id long, score long")
+
+    found = best(queries, 0, 0)
+    if shards > 1:
+        found = saved(found, "first-shard")
+        theta = (found.withColumn("rank", rank).filter(F.col("rank") == k)
+                 .select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("theta")))
+        found = found.union(best(queries.drop("theta").join(theta, "vec_id", "left"), 1, shards - 1))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same result as DuckDB SQL (brute force).
