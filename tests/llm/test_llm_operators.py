@@ -284,6 +284,28 @@ def test_maxscore(spark):
     assert maxscore.top_k(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale,offset", [(20, 0), (3, 0), (20, 15), (3_000_000, 0)])
+def test_maxscore_search_prunes_without_loss(scale, offset):
+    """Equal to brute force for known and unknown thresholds, whatever the components' size; probing ends early."""
+    rng = np.random.default_rng(scale + offset)
+    d = np.floor(rng.normal(offset, scale, (3000, 64))).astype(np.int64)
+    d[100:140] = d[100]  # ties
+    d[200:230] = 0
+    ids, asked = rng.permutation(3000) * 2, np.arange(0, 3000, 29)
+    product = d[asked].astype(object) @ d.T.astype(object) if scale > 10 ** 6 else d[asked] @ d.T
+    want = [sorted(((-int(s), int(i)) for s, i in zip(row, ids, strict=True) if i != ids[q]))[:20]
+            for q, row in zip(asked, product, strict=True)]
+    reached = np.array([-w[-1][0] for w in want], float)
+    shares = []
+    for theta in (None, reached):
+        work = Counter()
+        s, i = maxscore.search(ids, d, ids[asked], d[asked], step=512, theta=theta, work=work)
+        assert [[(-int(a), int(b)) for a, b in zip(x, y, strict=True)] for x, y in zip(s, i, strict=True)] == want
+        assert work["pairs"] == len(asked) * 3000
+        shares.append(work["scored"] / work["pairs"])
+    assert max(shares) < (0.9 if offset else 0.2)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "HTTP://Example.ORG/es/x?y", "http://a.example.org/en/12", "http://example.org",
             "https://x.com/fr/", "https://x.com/de/#a", "http://notcom/fr/", "http://m.ads-track.example.net/en/1",
@@ -306,6 +328,38 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(df.filter("false")).count() == 0
 
 
+def test_url_index_equals_every_rule(spark, tmp_path):
+    """Random URLs of the rules' own words, in both cases, with odd borders and a very long one: index, all rules and SQL."""
+    import duckdb
+    rng = random.Random(8)
+    words = [*url_rules.HOST_LABELS, *url_rules.PATH_SEGMENTS, *url_rules.FILE_ENDINGS, "org", "com", "net", "example", "es",
+             "en", "de", "fr", "1", "a", "É", "ſign-in", "ads track", "x\ny"]
+
+    def part(most, between):
+        out = "".join(rng.choice(words) + rng.choice(between) for _ in range(rng.randint(0, most)))
+        return out.upper() if rng.random() < 0.3 else out
+    urls = [f"http://{part(4, '...-')}{rng.choice(['com', 'org', 'net', ''])}{rng.choice(['/', ''])}"
+            f"{part(5, '//..-_')}{rng.choice(['', '/', '?login', '#/login'])}" for _ in range(3000)]
+    urls += ["http://a.net/" + "x/" * 200_000 + "Login", "http://a.net/Sign-In.php?x", "http://a.net/design-in/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {tuple(r) for r in url_rules.judge_urls(df).collect()}
+    every = url_rules.RuleIndex(tuple(url_rules.Rule(r.verdict, r.pattern, (), r.name) for r in url_rules.RULES), {})
+    parts = [url_rules.split_url(u) for u in urls]
+    assert got == {(i, *p, *every.judge(*p)) for i, p in enumerate(parts)}
+    verdicts = [r[4] for r in sorted(got)]
+    assert verdicts[-3:] == ["block", "block", "allow"] and 600 < verdicts.count("block") < 2900
+    path = str(tmp_path / "pages.parquet")
+    df.toPandas().to_parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view pages as from '{path}'")
+    assert set(con.execute(url_rules.ORACLE_SQL).fetchall()) == got
+    # few candidates a URL, whatever the number of rules
+    index = url_rules.RuleIndex(url_rules.RULES, url_rules.token_counts(df))
+    runs = [len(index.always) + sum(len(index.by_token.get(t, ())) for t in set(url_rules.tokens_of("".join(p))))
+            for p in parts]
+    assert sum(runs) < len(url_rules.RULES) * len(runs) / 10
+
+
 def test_license_alignment(spark, docs, rows, empty):
     notice = license_scan.TEMPLATES["mit-notice"]
     near = notice.replace("free of charge", "for free").replace("modify, merge", "change")
