@@ -202,6 +202,53 @@ def test_quality_failing_host_among_many(spark):
     assert quality_rules.bad_hosts(rows.filter("host = 'good1' and not weak")).count() == 0
 
 
+def naive_bad_hosts(counts):
+    """Hosts that go by the documented rule; each prior fitted anew, in plain numbers."""
+    def moments(hosts, mean):
+        rates = [f / n for n, f in hosts]
+        raw = sum(rates) / len(rates)
+        between = sum((r - raw) ** 2 for r in rates) / len(rates)
+        return between - mean * (1 - mean) * sum(1 / n for n, _ in hosts) / len(hosts)
+
+    bad = set()
+    everyone = list(counts.values())
+    overall = sum(f for _, f in everyone) / sum(n for n, _ in everyone)
+    true_var = moments(everyone, overall)
+    weight = max(overall * (1 - overall) / true_var - 1, 10.0) if true_var > 0 else 10.0
+    for host, (n, failed) in counts.items():
+        if (failed + overall * weight) / (n + weight) >= 0.8:
+            bad.add(host)
+        others = [c for h, c in counts.items() if h != host]
+        if not others:
+            continue
+        mean = (sum(f / m for m, f in others) + 0.5) / (len(others) + 1)
+        var = moments(others, mean)
+        w = min(max(mean * (1 - mean) / var - 1, 10.0), 100.0) if var > 0 else 100.0
+        own = (failed + mean * w) / (n + w)
+        lower = own - 3 * (own * (1 - own) / (n + w + 1)) ** 0.5
+        if lower > mean + 3 * max((mean * (1 - mean) / (w + 1)) ** 0.5, 0.05):
+            bad.add(host)
+    return bad
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_quality_host_verdict_equals_brute_force(spark, seed):
+    """Random hosts of all sizes and rates, a null host among them."""
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(seed)
+    base = rng.uniform(0, 0.5)
+    counts = {}
+    for h in [None, *(f"h{i}" for i in range(int(rng.choice([0, 1, 2, 12, 60]))))]:
+        n = int(rng.choice([1, 3, 20, 150, 400]))
+        rate = rng.uniform(0.5, 1) if rng.random() < 0.2 else np.clip(rng.normal(base, 0.1 * seed / 8), 0, 1)
+        counts[h] = (n, int(rng.binomial(n, rate)))
+    hosts = spark.createDataFrame([(h, *c) for h, c in counts.items()], "host string, n int, failed int")
+    zero = {m: F.lit(0) for m in quality_rules.MEASURES}
+    rows = hosts.select("host", "failed", F.explode(F.expr("sequence(1, n)")).alias("i")).withColumns(
+        {**zero, "n_words": F.lit(100), "word_chars": F.lit(500), "base_failed": F.col("i") <= F.col("failed")})
+    assert {r.host for r in quality_rules.bad_hosts(rows).collect()} == naive_bad_hosts(counts)
+
+
 def naive_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     h = [xxhash.xxh64(" ".join(words[i:i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))]

@@ -6,7 +6,8 @@ once per task by the library, and ids and decoded text are joined back in order.
 cleared between slices once it holds ``max_chunks`` words; words longer than ``LONG`` characters are never kept.
 
 Defined cases: null is an empty text; an empty text has no ids and decodes to an empty text.  A model with a piece
-that has a marker behind another character, or with user-defined pieces, is encoded text by text instead.
+that has a marker behind another character, or that changes white space, is encoded text by text instead.  User-defined
+pieces that hold white space are such pieces too; others lie within a word and need no special case.
 """
 
 from __future__ import annotations
