@@ -1,10 +1,12 @@
 """Rewrite equivalence: grid distance join, as-of join and range windows against brute force."""
 
+import datetime as dt
 import math
 import random
 
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_SMALL
 from tidewater.operators.spatial import distance_join, nearest_in_reach
 from tidewater.operators.temporal import asof_join
 
@@ -61,3 +63,40 @@ def test_asof_join_equals_brute_force(spark):
                 else:
                     want = min(cands)[1] if cands else None
                 assert res[(k, i)] == want, (strict, direction, k, i, t)
+
+
+def test_asof_join_with_one_left_row_per_bucket(spark):
+    """Left rows in the order of their key: the same rows as by the join, nulls in keys and times included."""
+    rng = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    left = [(k, i, base + dt.timedelta(hours=h)) for i, (k, h) in enumerate(
+        {(rng.choice([1, 2, 3, None]), rng.randint(0, 60)) for _ in range(120)})] + [(1, 500, None), (9, 501, base)]
+    right = [(rng.choice([1, 2, 3, None]), j, base + dt.timedelta(minutes=30 * rng.randint(0, 130)), None if j % 7 == 0 else f"p{j}")
+             for j in range(80)]
+    ldf = spark.createDataFrame(left, "k long, i int, hour timestamp_ntz").repartition(5)
+    rdf = spark.createDataFrame(right, "k long, j int, ts timestamp_ntz, d string").repartition(3)
+
+    def joined(**one):
+        return asof_join(ldf, rdf, by=["k"], left_time=F.col("hour") + F.expr("INTERVAL 1 HOUR"), right_time="ts", payload=["j", "d"],
+                         left_time_at_bucket_end=True, tiebreak="j", **one)
+
+    def rows(df):
+        return {r.i: (r.k, r.hour, r["_asof"] and tuple(r["_asof"])) for r in df.collect()}
+
+    new = joined(left_row_per_bucket=True)
+    assert rows(new) == rows(joined()) and len(rows(new)) == len(left)
+    want = {i: max(((t, j) for kk, j, t, _ in right if k is not None and kk == k and h is not None and t < h + dt.timedelta(hours=1)),
+                   default=(None, None))[1] for k, i, h in left}
+    assert {i: a and a[0] for i, (_, _, a) in rows(new).items()} == want
+
+
+def test_vessel_states_are_moved_once_by_vessel(spark):
+    """The widest rows pass two shuffles: to the hour's last position, and to their vessel's order."""
+    from tidewater.plans import features as FT
+    from tidewater.sources.derived import Inputs
+    inp = Inputs(spark, SF_SMALL)
+    hourly = FT.hourly_positions(inp.positions, extended=True).localCheckpoint()
+    state = FT.vessel_state_hourly(inp.positions, inp.voyage, inp.ports, hourly=hourly)
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2  # latest voyages of an hour; hours and voyages by vessel
+    assert "port_code" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(" in x)

@@ -161,3 +161,16 @@ def test_literal_as_of_reaches_the_scan(spark):
     pos = Inputs(spark, SF_SMALL).positions
     plan = FT.hourly_positions(pos, as_of="2024-01-30 00:00:00", lookback_days=2)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts,2024-01-28T00:00" in plan
+
+
+def test_write_in_place(spark, tmp_path):
+    """Rows are not moved before the write, and come back whole; the session's setting is as before."""
+    df = spark.range(0, 900, 1, 3).selectExpr("id", "concat('2024-01-', lpad(cast(1 + id % 9 as string), 2, '0')) as date_partition")
+    before = spark.conf.get(BU.WRITERS)
+    assert BU.sink_curated(df, str(tmp_path), "t", in_place=True) == 900
+    assert spark.conf.get(BU.WRITERS) == before
+    back = BU.read_curated(spark, str(tmp_path), "t")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert len(list((tmp_path / "t").glob("slot=*/date_partition=2024-01-01/*.parquet"))) == 3  # one of each task
+    assert BU.sink_curated(df, str(tmp_path), "u") == 900
+    assert len(list((tmp_path / "u").glob("slot=*/date_partition=2024-01-01/*.parquet"))) == 1

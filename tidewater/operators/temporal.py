@@ -12,6 +12,8 @@ over (key, bucket).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def _micros(ts: Column) -> Column:
 
 def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: Column, right_time: str,
               payload: list[str], strict: bool = True, bucket_seconds: int = 3600,
-              left_time_at_bucket_end: bool = False, tiebreak: str | None = None,
+              left_time_at_bucket_end: bool = False, left_row_per_bucket: bool = False, tiebreak: str | None = None,
               direction: str = "backward", out_col: str = "_asof") -> DataFrame:
     """Attach to every left row the right row with the latest ``right_time`` before ``left_time``.
 
@@ -35,6 +37,8 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: Co
     value per field, because the latest row may itself hold nulls.
     ``left_time_at_bucket_end``: every left time is an exact bucket boundary
     (e.g. hour + 1 h with hourly buckets), so the within-bucket step is skipped.
+    ``left_row_per_bucket``: left also holds at most one row per key and bucket, so its rows themselves stand in the order
+    of their key: they are moved once, by ``by`` alone, and a window over more columns needs no other shuffle.
     """
     b_us = bucket_seconds * 1_000_000
     fwd = direction == "forward"
@@ -54,6 +58,16 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_time: Co
         lb = F.floor((lt_us - (1 if strict else 0)) / b_us)
     lf = left.withColumn("_lt", left_time).withColumn("_lb", lb)
 
+    if left_time_at_bucket_end and left_row_per_bucket and not fwd:
+        lrows = lf.drop("_lt").withColumnRenamed("_lb", "_rb").withColumn("_side", F.lit(0))
+        u = lrows.unionByName(summary.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+        w = Window.partitionBy(*by).orderBy(F.col("_rb").asc(), F.col("_side").desc()) \
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # nulls equal nothing, as in a join
+        keyed = reduce(Column.__and__, [F.col(c).isNotNull() for c in [*by, "_rb"]])
+        return (u.withColumn(out_col, F.when(keyed, F.last("_p", ignorenulls=True).over(w)))
+                .filter(F.col("_side") == 0).drop("_rb", "_side", "_p"))
+
     # carried value from whole buckets strictly before (backward) / after (forward) the left bucket,
     # or including it when left times sit on bucket ends
     include_same = left_time_at_bucket_end and not fwd

@@ -114,7 +114,7 @@ def hourly_with_voyage(positions: DataFrame, voyage: DataFrame, *, as_of: AsOf =
     tb = "event_id" if "event_id" in vy.columns else None
     joined = asof_join(hp, vy, by=["mmsi"], left_time=F.col("observation_hour") + F.expr("INTERVAL 1 HOUR"),
                        right_time="received_at", payload=["destination", "eta_ts", "draught_m", "ship_type"],
-                       strict=True, bucket_seconds=3600, left_time_at_bucket_end=True, tiebreak=tb)
+                       strict=True, bucket_seconds=3600, left_time_at_bucket_end=True, left_row_per_bucket=True, tiebreak=tb)
     return joined.select("*", F.col("_asof.destination").alias("destination"),
                          F.col("_asof.eta_ts").alias("eta_timestamp_utc"),
                          F.col("_asof.draught_m").alias("draught_m"),
@@ -126,6 +126,7 @@ def vessel_state_hourly(positions: DataFrame, voyage: DataFrame, ports: DataFram
     hv = hourly_with_voyage(positions, voyage, as_of=as_of, hourly=hourly)
     pairs = distance_join(hv, _port_sites(ports), radius_nm)
     from pyspark.sql import Window
+    # the as-of join left the rows dealt by vessel, and so they stay here
     w = Window.partitionBy("port_code", "mmsi").orderBy("observation_hour")
     t = pairs.withColumn("distance_delta_nm", F.col("distance_nm") - F.lag("distance_nm").over(w))
     t = (t.withColumn("destination_matches_port",
