@@ -157,3 +157,23 @@ def test_compare_models(spark, tmp_path):
     assert doc["rows"] == {"total": 600, "train": 420, "validation": 90, "test": 90} and list(doc["models"]) == ["baseline_v1", "candidate_v2"]
     order = [r.feature for r in gains.orderBy("rank").collect()]
     assert list(doc["feature_importance_gain"]) == order and len(order) == 16 and doc["promotion_note"]
+
+
+def test_splits_make_their_dataset_once(spark):
+    """Counts, ranges and rows of a split read what was written: the rows' own work is done once, whatever reads the parts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    hour = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("P", hour + dt.timedelta(hours=i), i % 2) for i in range(40)],
+                                 f"port_code string, observation_hour timestamp_ntz, {R.TARGET} int")
+    for split in (ML.chronological_split, lambda d: ML.stratified_split(d, ["port_code", "observation_hour"])):
+        seen.value = 0
+        d = split(rows.mapInArrow(count, rows.schema))
+        parts = {r.split: r["n"] for r in d.groupBy("split").agg(F.count("*").alias("n")).collect()}
+        assert sum(parts.values()) == 40 and d.filter("split = 'train'").count() == parts["train"]
+        assert seen.value == 40

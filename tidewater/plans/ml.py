@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewater import refdata as R
 from tidewater.operators.ranking import range_rank, range_sums
+from tidewater.session import written_once
 
 
 def training_dataset(features: DataFrame, labels: DataFrame, feature_cols: list[str],
@@ -59,7 +60,10 @@ def chronological_split(dataset: DataFrame, train: float = 0.70, val: float = 0.
     No global window over rows: hourly counts (one row per hour) are
     cumulated, each row's index is its hour's offset plus its rank inside the
     hour (tie-break port code), and the cut points come from the total.
+    The dataset is written once: the counts, the rows and every part of the
+    split read it, and would else make it anew each.
     """
+    dataset = written_once(dataset, "split")
     hourly = dataset.groupBy("observation_hour").agg(F.count("*").alias("_n"))
     w = Window.orderBy("observation_hour").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (hourly.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -88,7 +92,9 @@ def stratified_split(dataset: DataFrame, key_cols: list[str], test_fraction: flo
     """Seeded split with exact class shares (M3): a class's first rows by the MD5 of their keys and the seed are test rows.
 
     Any engine computes the same order.  Rows are numbered over ranges of (class, digest); the driver holds class counts only.
+    The dataset is written once, for the counts, the ranges' sample and the rows.
     """
+    dataset = written_once(dataset, "split")
     if dataset.schema[R.TARGET].nullable:
         dataset = dataset.filter(F.col(R.TARGET).isNotNull())
     texts = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if dict(dataset.dtypes)[c].startswith("timestamp") else F.col(c).cast("string") for c in key_cols]

@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from tidewater.plans import features as FT
 from tidewater.plans import news as NW
+from tidewater.session import written_once
 from tidewater.sources.derived import Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +49,12 @@ class Graph:
             self._c[key] = build()
         return self._c[key]
 
+    def write_once(self, *names: str) -> Graph:
+        """Write these frames and read them from there, for a query that needs them several times."""
+        for name in names:
+            self._c[name] = written_once(getattr(self, name), name)
+        return self
+
     @property
     def as_of(self):
         return self._get("as_of", lambda: FT.as_of_column(None, self.inp.positions))
@@ -422,7 +429,8 @@ def q_split_stratified(spark, sf_dir):
 
 @register("train_gbt_importance")
 def q_train(spark, sf_dir):
-    d = ML.fill_features(ML.chronological_split(_dataset_v2(Graph(spark, sf_dir), thin=True)), RD.FEATURES_V2)
+    g = Graph(spark, sf_dir).write_once("inbound")
+    d = ML.fill_features(ML.chronological_split(_dataset_v2(g, thin=True)), RD.FEATURES_V2)
     train = d.filter(F.col("split") == "train")
     model = ML.train_gbt(ML.with_weights(train, ML.positive_weight(train)), RD.FEATURES_V2, max_iter=150)
     return ML.importance(model, RD.FEATURES_V2, spark)
@@ -436,14 +444,14 @@ def _trained_v1(g: Graph, max_iter: int = 100):
 
 @register("score_latest")
 def q_score_latest(spark, sf_dir):
-    g = Graph(spark, sf_dir)
+    g = Graph(spark, sf_dir).write_once("inbound", "status")
     return ML.score_latest(_trained_v1(g), g.status, g.ports, RD.FEATURES_V1)
 
 
 @register("score_latest_rows")
 def q_score_latest_rows(spark, sf_dir):
     """Which rows a model scores, and that its class follows from its probability; the probability itself is the model's."""
-    g = Graph(spark, sf_dir)
+    g = Graph(spark, sf_dir).write_once("inbound", "status")
     scored = ML.score_latest(_trained_v1(g, max_iter=10), g.status, g.ports, RD.FEATURES_V1)
     p = F.col("congestion_probability")
     follows = (p == 0.5) | ((p > 0.5).cast("int") == F.col("predicted_congested"))
@@ -453,7 +461,7 @@ def q_score_latest_rows(spark, sf_dir):
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
     """A v2 candidate and the saved v1 model on the same last hours (30 and 15 rounds)."""
-    g = Graph(spark, sf_dir)
+    g = Graph(spark, sf_dir).write_once("inbound", "weather_h", "signals")  # read by both models' datasets
     serving, candidate = scratch_path(spark, "serving-v1"), scratch_path(spark, "candidate-v2")
     _trained_v1(g, max_iter=15).write().save(serving)
     return ML.compare_models(spark, _dataset_v2(g, thin=True), serving, candidate, max_iter=30)[0]
