@@ -770,3 +770,19 @@ def test_pipeline_empty_table(spark):
         assert out.count() == 0, name
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_suffix_array_sorts_windows_by_bytes_then_place():
+    """Few letters and many repeats: windows equal a plain sort of their bytes, ties in the order of their places."""
+    import random
+
+    import numpy as np
+    from tidewater.llm.suffix_dedup import suffix_array
+    rng = random.Random(4)
+    for width in (5, 8, 20, 200):
+        texts = [bytes(rng.choice(b"ab") if rng.random() < 0.1 else 97 for _ in range(width + rng.randint(0, 40))) for _ in range(30)]
+        size = np.array([len(t) for t in texts])
+        raw, first = b"".join(texts), np.cumsum(size) - size
+        windows = np.concatenate([np.arange(a, a + n - width + 1) for a, n in zip(first, size, strict=True)])
+        got = suffix_array(raw, first, size, windows, width).tolist()
+        assert got == sorted(windows.tolist(), key=lambda p: (raw[p:p + width], p))

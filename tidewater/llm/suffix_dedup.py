@@ -79,7 +79,7 @@ def contexts(raw: bytes, ends: np.ndarray, width: int = WIDTH, core: int = CORE)
         done *= 2
     if span > done:
         low = np.minimum(low[:-(span - done)], low[span - done:])
-    text_of = np.searchsorted(ends, np.arange(n - width + 1), "right")
+    text_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n - width + 1]
     starts = np.flatnonzero(np.arange(n - width + 1) + width <= ends[text_of])
     if not len(starts):
         return none, none, none.astype(np.uint64)
@@ -123,34 +123,36 @@ def suffix_array(raw: bytes, first: np.ndarray, size: np.ndarray, windows: np.nd
     depth h is known for every place with h bytes left; a rank of depth g + h joins two of them.
     """
     n = len(raw)
-    left = np.zeros(n, np.int64)
+    left = np.zeros(n, np.int32)
     for a, m in zip(first.tolist(), size.tolist(), strict=True):
         left[a:a + m] = np.arange(m, 0, -1)
     depth = min(8, width)
     places = np.flatnonzero(left >= depth)
     key = _words(raw, n)[places] >> np.uint64(8 * (8 - depth))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # ties share a rank, in any order
     places, key = places[order], key[order]
     new = np.r_[True, key[1:] != key[:-1]]
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n, np.int32)
     rank[places] = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
     while depth < width:
         step = min(depth, width - depth)
         # only tied groups are refined; single members keep their rank
-        members = np.bincount(rank[places], minlength=n + 1)
-        tied = places[(members[rank[places]] > 1) & (left[places] >= depth + step)]
+        tied = places[~(new & np.r_[new[1:], True])]
+        tied = tied[left[tied] >= depth + step]
         if not len(tied):
             break
-        second = rank[tied + step]
-        order = np.argsort(rank[tied] << 32 | second)
-        tied, second, group = tied[order], second[order], rank[tied][order]
+        pair = rank[tied].astype(np.int64) << 32 | rank[tied + step]
+        order = np.argsort(pair)
+        tied, pair = tied[order], pair[order]
+        group = pair >> 32
         head = np.r_[True, group[1:] != group[:-1]]
-        new = head | np.r_[True, second[1:] != second[:-1]]
+        new = np.r_[True, pair[1:] != pair[:-1]]
         at = np.arange(len(tied))
         rank[tied] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(head, at, 0))
         depth += step
         places = tied
-    return windows[np.argsort(rank[windows], kind="stable")]
+    # equal windows in the order of their places: numbers that all differ need no stable sort
+    return windows[np.argsort(rank[windows].astype(np.int64) << 32 | np.arange(len(windows)))]
 
 
 def _leading(differ: np.ndarray) -> np.ndarray:
